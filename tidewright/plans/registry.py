@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("change_data",)
+FAMILIES = ("change_data", "monitoring")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
