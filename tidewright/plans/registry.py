@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("change_data", "monitoring")
+FAMILIES = ("change_data", "monitoring", "maintenance")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
