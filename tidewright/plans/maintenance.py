@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from tidewright.operators import maintenance as mt
 from tidewright.plans import tables as t
-from tidewright.plans.tables import Query, cents, stats_sql, table
+from tidewright.plans.tables import Query, stats_sql, table
 from tidewright.session import scratch_path
-from tidewright.sinks.tables import append_dated, replace_batch
+from tidewright.sinks.tables import replace_batch
 from tidewright.sources.inventory import partition_listing as list_partitions
 
 BATCH = "20240131"

@@ -41,10 +41,13 @@ def write_script(blocks: DataFrame, path: str) -> None:
 
 
 def export_queries(
-    spark: SparkSession, workbooks: dict[str, Iterable[tuple[str, str]]], path: str
+    spark: SparkSession, workbooks: dict[str, Iterable[tuple[str, str]]], path: str,
+    **tables: DataFrame,
 ) -> DataFrame:
     """Run named queries, one output folder per title, and report each.
 
+    Queries name the given tables in braces, or anything in the session catalog.
+
     An empty result is reported and skipped; a failing query ends its own workbook only.
     Rows are counted while they are written.
     """
@@ -53,7 +56,7 @@ def export_queries(
         for title, sql in specs:
             seen = Observation()
             try:
-                rows = spark.sql(sql).observe(seen, F.count(F.lit(1)).alias("n"))
+                rows = spark.sql(sql, **tables).observe(seen, F.count(F.lit(1)).alias("n"))
                 rows.write.mode("overwrite").parquet(f"{path}/{workbook}/{title}")
                 n = seen.get["n"]
                 report.append((workbook, title, "done" if n else "empty", n))
