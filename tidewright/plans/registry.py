@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("change_data", "monitoring", "maintenance", "loading", "retention", "workload", "services")
+FAMILIES = ("change_data", "lineage", "monitoring", "maintenance", "loading", "retention", "workload", "services")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
