@@ -56,13 +56,3 @@ QUOTED_TYPES = [
     "char", "varchar", "text", "string", "date", "datetime", "timestamp", "time", "enum", "json",
 ]
 
-
-def sql_literal(value: Column, type_name: Column) -> Column:
-    """A value as SQL text: NULL bare, text-like types quoted with quotes doubled."""
-    quoted = F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("''")), F.lit("'"))
-    base = F.lower(F.substring_index(F.coalesce(type_name, F.lit("string")), "(", 1))
-    return (
-        F.when(value.isNull(), F.lit("NULL"))
-        .when(base.isin(QUOTED_TYPES), quoted)
-        .otherwise(value)
-    )

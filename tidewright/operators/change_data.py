@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions.ordered import latest_per_key, numbered
-from tidewright.functions.text import clock_in_zone, epoch_seconds, sql_literal
+from tidewright.functions.text import QUOTED_TYPES, clock_in_zone, epoch_seconds
 
 OPERATIONS = ("insert", "update", "delete")
 
@@ -49,37 +49,33 @@ def feed_usable(row_format: str, row_image: str) -> bool:
     return row_format.upper() == "ROW" and row_image.upper() == "FULL"
 
 
-def _entries(image: Column, render) -> Column:
-    types = F.col("types")
-    return F.transform(
-        F.map_entries(image),
-        lambda e: render(
-            F.concat(F.lit("`"), e["key"], F.lit("`")),
-            sql_literal(e["value"], F.element_at(types, e["key"])),
-            e["value"],
-        ),
-    )
+# A value of an image as SQL text, for the entry ``e`` of its map.
+_LITERAL = f"""CASE WHEN e.value IS NULL THEN 'NULL'
+  WHEN lower(substring_index(coalesce(element_at(types, e.key), 'string'), '(', 1))
+    IN ({", ".join(repr(t) for t in QUOTED_TYPES)})
+  THEN concat("'", replace(e.value, "'", "''"), "'") ELSE e.value END"""
 
 
-def _assignments(image: Column) -> Column:
-    return F.array_join(_entries(image, lambda name, lit, _: F.concat(name, F.lit("="), lit)), ",")
+def _each(image: str, item: str, separator: str) -> Column:
+    """An image's columns as text, in their order."""
+    return F.expr(f"array_join(transform(map_entries({image}), e -> {item}), '{separator}')")
 
 
-def _predicate(image: Column) -> Column:
-    def test(name, lit, value):
-        return F.when(value.isNull(), F.concat(name, F.lit(" IS NULL"))).otherwise(
-            F.concat(name, F.lit("="), lit)
-        )
+def _assignments(image: str) -> Column:
+    return _each(image, f"concat('`', e.key, '`=', {_LITERAL})", ",")
+
 
-    return F.array_join(_entries(image, test), " AND ")
+def _predicate(image: str) -> Column:
+    test = f"concat('`', e.key, CASE WHEN e.value IS NULL THEN '` IS NULL' ELSE concat('`=', {_LITERAL}) END)"
+    return _each(image, test, " AND ")
 
 
-def _names(image: Column) -> Column:
-    return F.array_join(_entries(image, lambda name, _, __: name), ",")
+def _names(image: str) -> Column:
+    return _each(image, "concat('`', e.key, '`')", ",")
 
 
-def _values(image: Column) -> Column:
-    return F.array_join(_entries(image, lambda _, lit, __: lit), ",")
+def _values(image: str) -> Column:
+    return _each(image, _LITERAL, ",")
 
 
 def _table_name() -> Column:
@@ -94,7 +90,7 @@ def undo_statements(feed: DataFrame, limit_one: bool = False) -> DataFrame:
     ``limit_one`` guards tables without a key, where a predicate over every column
     may match several rows.
     """
-    table, before, after = _table_name(), F.col("before"), F.col("after")
+    table, before, after = _table_name(), "before", "after"
     end = F.lit(" LIMIT 1;" if limit_one else ";")
 
     def insert(image):
@@ -121,16 +117,15 @@ def undo_statements(feed: DataFrame, limit_one: bool = False) -> DataFrame:
             "rollback_sql": F.when(op == "insert", delete(after))
             .when(op == "update", update(before, after))
             .when(op == "delete", insert(before)),
-            "replace_sql": F.when(op == "update", replace_statement(before, after)),
+            "replace_sql": F.when(op == "update", replace_statement(before)),
         }
     )
 
 
-def replace_statement(image: Column, names_of: Column | None = None) -> Column:
+def replace_statement(image: str) -> Column:
     """``REPLACE INTO`` of a row image."""
-    names = _names(image if names_of is None else names_of)
     return F.concat(
-        F.lit("REPLACE INTO "), _table_name(), F.lit(" ("), names, F.lit(") VALUES ("),
+        F.lit("REPLACE INTO "), _table_name(), F.lit(" ("), _names(image), F.lit(") VALUES ("),
         _values(image), F.lit(");"),
     )
 
@@ -221,7 +216,7 @@ def reconcile_plan(source: DataFrame, replica: DataFrame, key: str) -> DataFrame
         )
         .withColumn(
             "repair_sql",
-            F.when(F.col("action") != "skip", replace_statement(F.col("image"))),
+            F.when(F.col("action") != "skip", replace_statement("image")),
         )
         .select("db", "tbl", key, "action", "error_code", "repair_sql", "image")
     )

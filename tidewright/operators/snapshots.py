@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.functions.once import settled
 from tidewright.functions.ordered import numbered
 from tidewright.operators.maintenance import user_schemas
 
@@ -55,7 +56,7 @@ def parsed_snapshots(snapshots: DataFrame) -> DataFrame:
     taken = F.try_to_timestamp(
         F.nullif(F.regexp_extract("snapshot", NAME_PATTERN, 2), F.lit("")), F.lit("yyyyMMddHHmmss")
     ).cast("timestamp_ntz")
-    return snapshots.withColumn("taken_at", taken).withColumn(
+    return settled(snapshots, {"taken_at": taken}).withColumn(
         "db", F.when(F.col("taken_at").isNotNull(), F.regexp_extract("snapshot", NAME_PATTERN, 1))
     )
 

@@ -34,7 +34,7 @@ def _services(spark, sf_dir):
     bus = table(spark, sf_dir, "region").filter(F.col("r_regionkey") == 0).select(
         F.lit(1000).alias("id"), F.lit("kafka").alias("url_pattern"), F.lit("bus").alias("service_name")
     )
-    return sql.unionByName(star).unionByName(bus)
+    return ln.services(sql.unionByName(star).unionByName(bus), DEFAULT)
 
 
 def _datasources(spark, sf_dir):
@@ -79,19 +79,19 @@ def _tasks(spark, sf_dir):
     return tasks.join(_datasources(spark, sf_dir), "datasource")
 
 
-def _sql_edges(spark, sf_dir):
-    return ln.sql_edges(_tasks(spark, sf_dir), _services(spark, sf_dir), DEFAULT)
+def _sql_edges(spark, sf_dir, names):
+    return ln.sql_edges(_tasks(spark, sf_dir), names)
 
 
 def lineage_sql_edges(spark, sf_dir):
-    return _sql_edges(spark, sf_dir).drop("kind")
+    return _sql_edges(spark, sf_dir, _services(spark, sf_dir)).drop("kind")
 
 
 def lineage_sql_unparsed(spark, sf_dir):
     return ln.sql_unparsed(_tasks(spark, sf_dir))
 
 
-def _copy_edges(spark, sf_dir):
+def _copy_edges(spark, sf_dir, names):
     """Customers as reader-to-writer jobs; the nation picks the writer's column list."""
     nation, k, n = F.col("c_nationkey"), _text("c_custkey"), _text("c_nationkey")
     segment = F.lower("c_mktsegment")
@@ -122,14 +122,14 @@ def _copy_edges(spark, sf_dir):
     jobs = table(spark, sf_dir, "customer").select(
         k.alias("source_id"), document.alias("json"), F.concat(F.lit("copy "), k).alias("description")
     )
-    return ln.copy_edges(jobs, _services(spark, sf_dir), DEFAULT)
+    return ln.copy_edges(jobs, names)
 
 
 def lineage_datax_edges(spark, sf_dir):
-    return _copy_edges(spark, sf_dir).drop("kind")
+    return _copy_edges(spark, sf_dir, _services(spark, sf_dir)).drop("kind")
 
 
-def _stream_edges(spark, sf_dir):
+def _stream_edges(spark, sf_dir, names):
     """Suppliers as stream jobs: topics for most nations, a change-capture table for some."""
     k, n = _text("s_suppkey"), _text("s_nationkey")
     topic = F.format_string(
@@ -159,14 +159,14 @@ def _stream_edges(spark, sf_dir):
     scripts = stream_scripts(jobs).select(
         _text("app_id").alias("source_id"), "script", F.concat(F.lit("stream "), _text("app_id")).alias("description")
     )
-    return ln.stream_edges(scripts, _services(spark, sf_dir), DEFAULT)
+    return ln.stream_edges(scripts, names)
 
 
 def lineage_flink_edges(spark, sf_dir):
-    return _stream_edges(spark, sf_dir).drop("kind")
+    return _stream_edges(spark, sf_dir, _services(spark, sf_dir)).drop("kind")
 
 
-def _topic_edges(spark, sf_dir):
+def _topic_edges(spark, sf_dir, names):
     """Customers as replication instances; some lack an address or the topic block."""
     nation, k, n = F.col("c_nationkey"), _text("c_custkey"), _text("c_nationkey")
     address = F.when(nation != 21, F.format_string("canal.instance.master.address=h%s:3306\n", n)).otherwise("")
@@ -181,15 +181,16 @@ def _topic_edges(spark, sf_dir):
     properties = table(spark, sf_dir, "customer").select(
         k.alias("source_id"), text.alias("text"), F.concat(F.lit("topic "), k).alias("description")
     )
-    return ln.topic_edges(properties, _services(spark, sf_dir), DEFAULT)
+    return ln.topic_edges(properties, names)
 
 
 def lineage_canal_edges(spark, sf_dir):
-    return _topic_edges(spark, sf_dir).drop("kind")
+    return _topic_edges(spark, sf_dir, _services(spark, sf_dir)).drop("kind")
 
 
 def _all(spark, sf_dir):
-    parts = [f(spark, sf_dir) for f in (_sql_edges, _copy_edges, _stream_edges, _topic_edges)]
+    names = _services(spark, sf_dir)
+    parts = [f(spark, sf_dir, names) for f in (_sql_edges, _copy_edges, _stream_edges, _topic_edges)]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -232,7 +233,7 @@ def url_service_lookup(spark, sf_dir):
             F.min(F.substring_index("host", ".", 2)).alias("service_name"),
         )
     )
-    found = ln.with_service(pages.select("page_id", "url"), {"url": "service"}, services, DEFAULT)
+    found = ln.with_service(pages.select("page_id", "url"), {"url": "service"}, ln.services(services, DEFAULT))
     return found.select("page_id", "service")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.functions.once import settled
+
 TASK_SCHEMA = (
     "projectName string, processDefinitionName string, taskName string, taskCode bigint, "
     "userName string, taskType string, taskParams struct<sql:string,json:string,datasource:int>"
@@ -13,7 +15,7 @@ TASK_SCHEMA = (
 
 def task_rows(documents: DataFrame, text_col: str = "value") -> DataFrame:
     """Task definitions from JSON documents."""
-    parsed = documents.select(F.from_json(text_col, TASK_SCHEMA).alias("t"))
+    parsed = settled(documents, {"t": F.from_json(text_col, TASK_SCHEMA)})
     return parsed.filter(F.col("t.taskCode").isNotNull()).select(
         F.col("t.taskCode").alias("task_code"),
         F.col("t.taskType").alias("task_type"),
