@@ -13,26 +13,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # A key above this many rows is cut. At most total_rows / HOT_ROWS keys can pass,
-# which is what bounds the broadcast list in ``mark_hot``.
+# which is what bounds the broadcast list in ``with_previous``.
 HOT_ROWS = 10_000_000
 
 # Rows per segment where the segment is cut from a dense numeric position.
 SEGMENT_ROWS = 65_536
 
 
-def mark_hot(df: DataFrame, keys: list[str], segment: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add ``_segment``: the segment for rows of hot keys, NULL for all others."""
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("_rows"))
-        .filter(F.col("_rows") > hot_rows)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
-    return (
-        df.join(F.broadcast(hot), keys, "left")
-        .withColumn("_segment", F.when(F.col("_hot"), segment))
-        .drop("_hot")
-    )
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The keys with more than ``hot_rows`` rows."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    return counts.filter(F.col("_rows") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
 
 
 def with_previous(
@@ -47,13 +38,18 @@ def with_previous(
 
     Cold keys take one window over the key. Hot keys are windowed per segment and
     the first row of a segment reads the last row of the segment before it. The
-    carry join uses the window's own partitioning, so rows shuffle only once.
+    carry join uses the window's own partitioning, so rows shuffle only once. Without
+    hot keys the list is empty and adaptive execution drops the whole carry side.
     """
-    marked = mark_hot(df, keys, segment, hot_rows)
+    hot = F.broadcast(hot_keys(df, keys, hot_rows))
+    marked = (
+        df.join(hot, keys, "left").withColumn("_segment", F.when(F.col("_hot"), segment)).drop("_hot")
+    )
     image = F.struct(*[F.col(src).alias(new) for new, src in values.items()])
     inside = Window.partitionBy(*keys, "_segment").orderBy(*order)
     carried = (
-        marked.filter(F.col("_segment").isNotNull())
+        df.join(hot, keys)
+        .withColumn("_segment", segment)
         .groupBy(*keys, "_segment")
         .agg(F.max_by(image, F.struct(*order)).alias("_last"))
         .withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_segment")))

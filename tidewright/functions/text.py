@@ -48,7 +48,7 @@ def clock_text(seconds: Column) -> Column:
     hours = F.floor(held / 3600)
     minutes = F.floor((held - hours * 3600) / 60)
     text = F.format_string("%02d:%02d:%02d", hours, minutes, held - hours * 3600 - minutes * 60)
-    return F.when(seconds < 0, F.concat(F.lit("-"), text)).otherwise(text)
+    return F.when(seconds < 0, F.concat(F.lit("-"), text)).when(seconds >= 0, text)
 
 
 # Column types whose values are quoted in SQL text.

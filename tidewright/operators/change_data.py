@@ -198,8 +198,9 @@ def reconcile_plan(source: DataFrame, replica: DataFrame, key: str) -> DataFrame
     both = source.join(theirs, ["db", "tbl", key], "full")
     gone = F.col("op").isNull() | (F.col("op") == "delete")
     has_row = F.col("replica_image").isNotNull()
-    # Maps do not compare, entry arrays do.
-    differs = ~F.map_entries("image").eqNullSafe(F.map_entries("replica_image"))
+    # Maps do not compare, sorted entry arrays do.
+    ours, other = (F.array_sort(F.map_entries(c)) for c in ("image", "replica_image"))
+    differs = ~ours.eqNullSafe(other)
     action = (
         F.when(gone & has_row, "skip")
         .when(~gone & ~has_row, "insert")

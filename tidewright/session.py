@@ -25,6 +25,9 @@ def local_session(cores: int | str = "*", app_name: str = "tidewright") -> Spark
     )
 
 
+_local_root: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder under the cluster's ``spark.checkpoint.dir``.
 
@@ -36,6 +39,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="tidewright-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _local_root:
+            _local_root.append(tempfile.mkdtemp(prefix="tidewright-"))
+        root = _local_root[0]
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -18,10 +18,9 @@ def read_strings(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
 
     Without ``multi_line`` large files split over tasks, but no value may hold a newline.
     """
-    return (
-        spark.read.option("header", True).option("multiLine", multi_line)
-        .option("escape", '"').option("nullValue", "\u0000").option("emptyValue", "").csv(path)
-    )
+    raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
+    # The reader turns blanks into NULL; there is no other way to write a NULL in the file.
+    return raw.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns])
 
 
 def _as_date(value: Column) -> Column:
@@ -51,10 +50,14 @@ def infer_types(rows: DataFrame, order_by: list[str] | None = None) -> DataFrame
     """One row per column: ``ordinal, column, type``, voted on the first rows.
 
     The sample is the first rows of the file, or of an explicit order where the rows
-    come from several files.
+    come from several files. Without an order the few rows are taken first, which reads
+    the start of one file; a limit inside the plan would touch every split.
     """
-    first = rows.orderBy(*order_by) if order_by else rows
-    votes = first.limit(SAMPLE_ROWS).agg(
+    if order_by:
+        sample = rows.orderBy(*order_by).limit(SAMPLE_ROWS)
+    else:
+        sample = rows.sparkSession.createDataFrame(rows.take(SAMPLE_ROWS), rows.schema)
+    votes = sample.agg(
         F.array(
             *[
                 F.struct(F.lit(i + 1).alias("ordinal"), F.lit(c).alias("column"), _vote(c).alias("type"))
