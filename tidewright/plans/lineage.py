@@ -292,8 +292,8 @@ stream_e AS (
     unnest(['id', 'name']), sr || '.default.dw.Dim_' || k, unnest(['id', 'label']) FROM sk WHERE n % 3 = 0),
 topic_e AS (
   SELECT 'topic' AS kind, k AS source_id, 'topic ' || k AS description,
-    svc || 'db_' || nt || '.' || unnest(['t_', 'u_']) || k AS from_fqn, NULL AS from_col,
-    'bus.ods-' || k || '-' || unnest(['a', 'b']) AS to_fqn, NULL AS to_col
+    svc || 'db_' || nt || '.' || unnest(['t_', 'u_']) || k AS from_fqn, CAST(NULL AS VARCHAR) AS from_col,
+    'bus.ods-' || k || '-' || unnest(['a', 'b']) AS to_fqn, CAST(NULL AS VARCHAR) AS to_col
   FROM ck WHERE n NOT IN (21, 22)),
 all_e AS (SELECT * FROM sql_e UNION ALL SELECT * FROM copy_e UNION ALL SELECT * FROM stream_e
   UNION ALL SELECT * FROM topic_e)"""
