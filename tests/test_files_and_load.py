@@ -37,6 +37,7 @@ def test_csv_file_load(spark, tmp_path):
     lines = ['id,day,note,price'] + [f'{i},2024-1-{i % 28 + 1},"say ""{i}"", ok",{i}.50' for i in range(100)]
     lines += ['x,2024-02-30,,"nan"', ',,"two', 'lines",']
     path.write_text("\n".join(lines) + "\n")
+    assert csv_load.table_name(str(path)) == "people"
     strings = csv_load.read_strings(spark, str(path))
     types = csv_load.type_map(csv_load.infer_types(strings))
     assert types == {"id": "BIGINT", "day": "DATE", "note": "VARCHAR(255)", "price": "DECIMAL(36,6)"}

@@ -153,3 +153,14 @@ def test_replace_batch_leaves_other_batches(spark, tmp_path):
     replace_batch(day, path)
     replace_batch(spark.createDataFrame([("2", "c"), ("2", "d")], day.schema), path)
     assert rows(spark.read.schema(day.schema).parquet(path), "batchno", "tabname") == [("1", "a"), ("2", "c"), ("2", "d")]
+
+
+def test_sql_functions(spark):
+    from tidewright.functions.sql_functions import register
+
+    register(spark)
+    got = spark.sql("""SELECT t.i, s.piece_no, s.piece FROM VALUES (1, 'a;b;', ';'), (2, NULL, ';'), (3, 'x||y', '||'),
+        (4, 'a', NULL) t(i, v, d), LATERAL f_str_split(t.v, t.d) s ORDER BY 1, 2""").collect()
+    assert [tuple(r) for r in got] == [(1, 1, "a"), (1, 2, "b"), (1, 3, None), (2, 1, None), (3, 1, "x"), (3, 2, "y")]
+    texts = spark.sql("SELECT f_rollback_time(1000, 800, 5) a, f_rollback_time(9, 9, 5) b").first()
+    assert texts.a == "回滚估计时间 : 00:00:20 待回滚行数 800" and texts.b is None

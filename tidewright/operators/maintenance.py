@@ -78,16 +78,17 @@ def indexes_to_rebuild(tables: DataFrame, indexes: DataFrame, partitioned_indexe
     """Indexes to rebuild after a table is moved.
 
     All but LOB indexes; of a partitioned table only those that are not partitioned too.
+    ``tables`` is the report, one row per table, with ``is_parttab``.
     """
-    usable = indexes.filter(F.col("index_type") != "LOB")
-    plain = tables.filter(F.col("is_parttab") == 0).select("table_name")
-    parted = tables.filter(F.col("is_parttab") == 1).select("table_name")
-    of_plain = usable.join(plain, "table_name", "left_semi")
-    of_parted = usable.join(parted, "table_name", "left_semi").join(
-        partitioned_indexes, ["table_name", "index_name"], "left_anti"
-    )
+    parted = partitioned_indexes.select("table_name", "index_name", F.lit(True).alias("_part")).distinct()
     statement = F.concat(F.lit("alter index "), "index_name", F.lit(" rebuild online"))
-    return of_plain.unionByName(of_parted).select("table_name", "index_name", statement.alias("statement"))
+    return (
+        indexes.filter(F.col("index_type") != "LOB")
+        .join(tables.select("table_name", "is_parttab"), "table_name")
+        .join(parted, ["table_name", "index_name"], "left")
+        .filter((F.col("is_parttab") == 0) | F.col("_part").isNull())
+        .select("table_name", "index_name", statement.alias("statement"))
+    )
 
 
 def tables_without_key(tables: DataFrame, constraints: DataFrame) -> DataFrame:

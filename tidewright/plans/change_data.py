@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tidewright.operators import change_data as cd
 from tidewright.plans.tables import FEED_SQL, Query, as_feed, feed, feed_rows, stream_table, table
 from tidewright.session import scratch_path
-from tidewright.sources.change_feed import canal_changes
+from tidewright.sources.change_feed import canal_changes, stream_feed
+from tidewright.streaming.tail import undo_available
 from tidewright.streaming.upsert import current_rows, upsert_available
 
 START, END = "2024-01-05 00:00:00", "2024-01-20 00:00:00"
@@ -73,6 +74,18 @@ def cdc_stream_upsert(spark, sf_dir):
     return image_columns(current_rows(spark, f"{work}/table", ["id"], order), "log_pos")
 
 
+def undo_stream_tail(spark, sf_dir):
+    """The feed arrives as files in two instalments; the second run resumes the first."""
+    work = scratch_path(spark, "undo-tail")
+    changes = feed(spark, sf_dir)
+    early = F.col("event_time") < cd.epoch_seconds(F.lit(START).cast("timestamp_ntz"))
+    for part in (early, ~early):
+        changes.filter(part).write.mode("append").parquet(f"{work}/feed")
+        tail = stream_feed(spark, f"{work}/feed")
+        undo_available(tail, f"{work}/undo", f"{work}/checkpoint", end=END)
+    return spark.read.parquet(f"{work}/undo").select("log_pos", "rollback_sql")
+
+
 def gtid_next(spark, sf_dir):
     """One replica per customer, its GTID sets built from the customer's numbers."""
     c = table(spark, sf_dir, "customer")
@@ -135,7 +148,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         change_feed_filter, undo_statements, undo_update_as_replace, undo_ordered_script,
-        rollback_to_time, cdc_upsert_latest, cdc_stream_upsert, gtid_next, txn_slice,
+        rollback_to_time, cdc_upsert_latest, cdc_stream_upsert, undo_stream_tail, gtid_next, txn_slice,
         replica_reconcile_plan, replica_repaired,
     )
 }
@@ -222,6 +235,8 @@ ORACLES: dict[str, str] = {
       SELECT log_file, log_pos, event_time, op, id FROM feed
       WHERE op = 'update' AND event_time BETWEEN {_START_SECONDS} AND {_END_SECONDS}""",
     "undo_statements": f"WITH {FEED_SQL}, {_UNDO} SELECT log_pos, op, sql, rollback_sql FROM undo",
+    "undo_stream_tail": f"""WITH {FEED_SQL}, {_UNDO}
+      SELECT log_pos, rollback_sql FROM undo WHERE event_time <= {_END_SECONDS}""",
     "undo_update_as_replace": f"""WITH {FEED_SQL}
       SELECT log_pos, 'REPLACE INTO {_T} {_NAMES} VALUES (' || {_vals('p_')} || ');' AS replace_sql
       FROM imaged WHERE op = 'update'""",

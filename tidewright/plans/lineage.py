@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewright.operators import lineage as ln
 from tidewright.plans.tables import Query, table
+from tidewright.session import scratch_path
 from tidewright.sources.definitions import datasource_urls, stream_scripts, task_rows
 
 DEFAULT = "default-service"
@@ -204,8 +205,13 @@ def lineage_all_edges(spark, sf_dir):
 
 
 def edges_known_entities(spark, sf_dir):
-    """Known are the sources of SQL, copy and topic jobs and the targets of all but copy jobs."""
-    edges = _all(spark, sf_dir)
+    """Known are the sources of SQL, copy and topic jobs and the targets of all but copy jobs.
+
+    The edges are stored once and read three times, so no definition is read again.
+    """
+    path = scratch_path(spark, "edges")
+    _all(spark, sf_dir).write.parquet(path)
+    edges = spark.read.parquet(path)
     sources = edges.filter(F.col("kind") != "stream").select(F.col("from_fqn").alias("fqn"))
     targets = edges.filter(F.col("kind") != "copy").select(F.col("to_fqn").alias("fqn"))
     checked = ln.check_entities(ln.collect_edges(edges), sources.union(targets))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.functions.once import settled
+
 FEED_SCHEMA = (
     "db string, tbl string, op string, event_time bigint, log_file string, log_pos bigint, "
     "gtid string, before map<string,string>, after map<string,string>, types map<string,string>"
@@ -56,7 +58,8 @@ def canal_changes(messages: DataFrame) -> DataFrame:
     may carry several rows; ``row_no`` keeps their order. For an update ``old`` holds only
     the changed columns, so the before image is the row overlaid with them.
     """
-    parsed = messages.withColumn("m", F.from_json("value", CANAL_SCHEMA, {"mode": "PERMISSIVE"}))
+    message = F.from_json("value", CANAL_SCHEMA, {"mode": "PERMISSIVE"})
+    parsed = settled(messages.select("value", "log_file", "log_pos"), {"m": message})
     rows = parsed.filter(
         F.upper("m.type").isin("INSERT", "UPDATE", "DELETE") & F.col("m.data").isNotNull()
     ).select("log_file", "log_pos", "m", F.posexplode("m.data").alias("row_no", "row"))

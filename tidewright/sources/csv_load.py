@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ DECIMAL = r"(?i)^[+-]?(nan|inf|infinity|([0-9][0-9_]*\.?[0-9]*|\.[0-9]+)(e[+-]?[
 DATE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
 
 
+def table_name(path: str) -> str:
+    """A file's table: its name without folder and ending."""
+    return os.path.splitext(os.path.basename(path))[0]
+
+
 def read_strings(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """All columns as text, blanks kept as empty text; the first row names the columns.
 
