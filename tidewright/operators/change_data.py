@@ -49,33 +49,38 @@ def feed_usable(row_format: str, row_image: str) -> bool:
     return row_format.upper() == "ROW" and row_image.upper() == "FULL"
 
 
-# A value of an image as SQL text, for the entry ``e`` of its map.
-_LITERAL = f"""CASE WHEN e.value IS NULL THEN 'NULL'
-  WHEN lower(substring_index(coalesce(element_at(types, e.key), 'string'), '(', 1))
-    IN ({", ".join(repr(t) for t in QUOTED_TYPES)})
-  THEN concat("'", replace(e.value, "'", "''"), "'") ELSE e.value END"""
+# Columns whose values stand bare in SQL text; a column without a type counts as text.
+_BARE = f"""map_keys(map_filter(types, (k, t) -> lower(substring_index(t, '(', 1))
+  NOT IN ({", ".join(repr(t) for t in QUOTED_TYPES)})))"""
 
 
-def _each(image: str, item: str, separator: str) -> Column:
-    """An image's columns as text, in their order."""
-    return F.expr(f"array_join(transform(map_entries({image}), e -> {item}), '{separator}')")
+def _rendered(image: str) -> Column:
+    """An image's columns in their order: quoted name and value as SQL text."""
+    return F.expr(
+        f"""transform(map_entries({image}), e -> named_struct('n', concat('`', e.key, '`'),
+          'v', CASE WHEN e.value IS NULL THEN NULL WHEN array_contains(_bare, e.key) THEN e.value
+            ELSE concat("'", replace(e.value, "'", "''"), "'") END))"""
+    )
+
+
+def _each(rendered: str, item: str, separator: str) -> Column:
+    return F.expr(f"array_join(transform({rendered}, e -> {item}), '{separator}')")
 
 
-def _assignments(image: str) -> Column:
-    return _each(image, f"concat('`', e.key, '`=', {_LITERAL})", ",")
+def _assignments(rendered: str) -> Column:
+    return _each(rendered, "concat(e.n, '=', coalesce(e.v, 'NULL'))", ",")
 
 
-def _predicate(image: str) -> Column:
-    test = f"concat('`', e.key, CASE WHEN e.value IS NULL THEN '` IS NULL' ELSE concat('`=', {_LITERAL}) END)"
-    return _each(image, test, " AND ")
+def _predicate(rendered: str) -> Column:
+    return _each(rendered, "coalesce(concat(e.n, '=', e.v), concat(e.n, ' IS NULL'))", " AND ")
 
 
-def _names(image: str) -> Column:
-    return _each(image, "concat('`', e.key, '`')", ",")
+def _names(rendered: str) -> Column:
+    return _each(rendered, "e.n", ",")
 
 
-def _values(image: str) -> Column:
-    return _each(image, _LITERAL, ",")
+def _values(rendered: str) -> Column:
+    return _each(rendered, "coalesce(e.v, 'NULL')", ",")
 
 
 def _table_name() -> Column:
@@ -90,7 +95,7 @@ def undo_statements(feed: DataFrame, limit_one: bool = False) -> DataFrame:
     ``limit_one`` guards tables without a key, where a predicate over every column
     may match several rows.
     """
-    table, before, after = _table_name(), "before", "after"
+    table, before, after = _table_name(), "_before", "_after"
     end = F.lit(" LIMIT 1;" if limit_one else ";")
 
     def insert(image):
@@ -109,7 +114,10 @@ def undo_statements(feed: DataFrame, limit_one: bool = False) -> DataFrame:
         )
 
     op = F.col("op")
-    return feed.withColumns(
+    rendered = feed.withColumn("_bare", F.expr(_BARE)).withColumns(
+        {"_before": _rendered("before"), "_after": _rendered("after")}
+    )
+    return rendered.withColumns(
         {
             "sql": F.when(op == "insert", insert(after))
             .when(op == "update", update(after, before))
@@ -117,19 +125,24 @@ def undo_statements(feed: DataFrame, limit_one: bool = False) -> DataFrame:
             "rollback_sql": F.when(op == "insert", delete(after))
             .when(op == "update", update(before, after))
             .when(op == "delete", insert(before)),
-            "replace_sql": F.when(op == "update", replace_statement(before)),
+            "replace_sql": F.when(op == "update", _replace(before)),
         }
-    )
+    ).drop("_bare", "_before", "_after")
 
 
-def replace_statement(image: str) -> Column:
-    """``REPLACE INTO`` of a row image."""
+def _replace(rendered: str) -> Column:
     return F.concat(
-        F.lit("REPLACE INTO "), _table_name(), F.lit(" ("), _names(image), F.lit(") VALUES ("),
-        _values(image), F.lit(");"),
+        F.lit("REPLACE INTO "), _table_name(), F.lit(" ("), _names(rendered), F.lit(") VALUES ("),
+        _values(rendered), F.lit(");"),
     )
 
 
+def with_replace(rows: DataFrame, image: str, name: str) -> DataFrame:
+    """Add the ``REPLACE INTO`` of a row image."""
+    rendered = rows.withColumn("_bare", F.expr(_BARE)).withColumn("_image", _rendered(image))
+    return rendered.withColumn(name, _replace("_image")).drop("_bare", "_image")
+
+
 # The comment lines around one event of a recovery script.
 TIME_LINE = "-- SQL执行时间:"
 ORIGINAL_LINE = "-- 原生sql:\n \t-- "
@@ -150,10 +163,11 @@ def recovery_script(
         F.lit(TIME_LINE), clock_in_zone(F.col("event_time"), zone), F.lit("\n" + ORIGINAL_LINE),
         F.col("sql"), F.lit("\n" + ROLLBACK_LINE), F.col(statement), F.lit("\n" + RULE_LINE),
     )
-    rows = undo_statements(feed).filter(F.col(statement).isNotNull())
-    return numbered(
-        rows.select("db", "tbl", "event_time", "log_file", "log_pos", block.alias("block")),
-        [], ["log_file", "log_pos"], F.col("log_file"), "seq", descending=newest_first,
+    kept = feed.filter(F.col("op").isin(["update"] if statement == "replace_sql" else list(OPERATIONS)))
+    # Numbered before the text is built, so the short rows are shuffled.
+    placed = numbered(kept, [], ["log_file", "log_pos"], F.col("log_file"), "seq", newest_first)
+    return undo_statements(placed).select(
+        "seq", "db", "tbl", "event_time", "log_file", "log_pos", block.alias("block")
     )
 
 
@@ -206,20 +220,14 @@ def reconcile_plan(source: DataFrame, replica: DataFrame, key: str) -> DataFrame
         .when(~gone & ~has_row, "insert")
         .when(~gone & differs, "replace")
     )
-    return (
-        both.withColumn("action", action)
-        .filter(F.col("action").isNotNull())
-        .withColumn(
-            "error_code",
-            F.when(F.col("action") == "insert", MISSING_ROW)
-            .when(F.col("action") == "replace", DUPLICATE_KEY)
-            .otherwise(MISSING_ROW),
-        )
-        .withColumn(
-            "repair_sql",
-            F.when(F.col("action") != "skip", replace_statement("image")),
-        )
-        .select("db", "tbl", key, "action", "error_code", "repair_sql", "image")
+    planned = with_replace(both.withColumn("action", action), "image", "_replace").filter(
+        F.col("action").isNotNull()
+    )
+    return planned.select(
+        "db", "tbl", key, "action",
+        F.when(F.col("action") == "replace", DUPLICATE_KEY).otherwise(MISSING_ROW).alias("error_code"),
+        F.when(F.col("action") != "skip", F.col("_replace")).alias("repair_sql"),
+        "image",
     )
 
 
