@@ -7,6 +7,7 @@ from tidewright.session import local_session
 def spark():
     session = local_session(8, "tests")
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("spark.sql.maxMetadataStringLength", 10000)
     return session
 
 

@@ -14,6 +14,16 @@ def age_days(mtime: Column, now: Column) -> Column:
     return F.floor((epoch_seconds(now) - epoch_seconds(mtime)) / 86400)
 
 
+def younger_than(mtime: Column, days: int, now: Column) -> Column:
+    """``age_days < days`` as a range on the column itself, which a scan can prune on."""
+    return mtime >= F.timestamp_add("SECOND", F.lit(1 - days * 86400), now)
+
+
+def older_than(mtime: Column, days: int, now: Column) -> Column:
+    """``age_days > days`` as a range on the column itself."""
+    return mtime < F.timestamp_add("SECOND", F.lit(1 - (days + 1) * 86400), now)
+
+
 def retention_plan(files: DataFrame, rules: list[tuple[str, str, int]], now: Column) -> DataFrame:
     """What happens to each file (``path, mtime``) under (directory, name prefix, days) rules.
 
@@ -35,8 +45,12 @@ def retention_plan(files: DataFrame, rules: list[tuple[str, str, int]], now: Col
 
 
 def expired_days(history: DataFrame, day: str, now: Column, keep_days: int = 30) -> DataFrame:
-    """Rows of days past the limit; every such day goes, not one per run."""
-    return history.filter(F.col(day).cast("date") < F.date_sub(now.cast("date"), keep_days))
+    """Rows of days past the limit; every such day goes, not one per run.
+
+    The column is compared as it is, so day partitions or file statistics prune the scan.
+    """
+    limit = F.date_sub(now.cast("date"), keep_days)
+    return history.filter(F.col(day) < limit.cast(history.schema[day].dataType))
 
 
 def copy_plan(
@@ -45,7 +59,7 @@ def copy_plan(
     """Files modified within the days are copied to the same relative path."""
     root = source_root.rstrip("/") + "/"
     relative = F.substring("path", len(root) + 1, 2**31 - 1)
-    fresh = age_days(F.col("mtime"), now) < days
+    fresh = younger_than(F.col("mtime"), days, now)
     inside = F.startswith("path", F.lit(root))
     return files.filter(inside & fresh).select(
         "path", F.concat(F.lit(target_root.rstrip("/") + "/"), relative).alias("target")
@@ -54,7 +68,7 @@ def copy_plan(
 
 def target_cleanup(files: DataFrame, days: int, now: Column) -> DataFrame:
     """Files of the target older than the days."""
-    return files.filter(age_days(F.col("mtime"), now) > days).select("path")
+    return files.filter(older_than(F.col("mtime"), days, now)).select("path")
 
 
 def idle_keys(keys: DataFrame, idle_sec: int = 259_200) -> DataFrame:
@@ -86,9 +100,9 @@ def next_generation(names: DataFrame, group: str, name: str, start: int = 1) ->
 
 def completeness(expected: DataFrame, files: DataFrame, day: Column) -> DataFrame:
     """How many files of a day match each expected pattern; none is an error."""
-    counts = files.filter(F.col("mtime").cast("date") == day).groupBy("pattern").agg(
-        F.count("*").alias("n")
-    )
+    mtime = F.col("mtime")
+    of_day = (mtime >= day.cast("timestamp_ntz")) & (mtime < F.date_add(day, 1).cast("timestamp_ntz"))
+    counts = files.filter(of_day).groupBy("pattern").agg(F.count("*").alias("n"))
     n = F.coalesce("n", F.lit(0))
     return expected.join(counts, "pattern", "left").select(
         "pattern", n.alias("n"), F.when(n == 0, "error").otherwise("ok").alias("state")
