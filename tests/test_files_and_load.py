@@ -103,6 +103,8 @@ def test_snapshot_export_and_read_back(spark, tmp_path):
     spark.sql("CREATE DATABASE IF NOT EXISTS tidewright_snap")
     spark.sql("DROP TABLE IF EXISTS tidewright_snap.t")
     spark.range(3).write.saveAsTable("tidewright_snap.t")
+    spark.sql("ANALYZE TABLE tidewright_snap.t COMPUTE STATISTICS")
+    assert rows(inventory.catalog_statistics(spark, "tidewright_snap"), "table_name", "is_partitioned", "num_rows") == [("t", False, 3)]
     tables = [tuple(r) for r in inventory.catalog_tables(spark, "tidewright_snap").collect()]
     manifest = sn.export_snapshot(spark, tables, str(tmp_path), "20240101000000")
     (r,) = manifest.collect()

@@ -82,7 +82,8 @@ def test_gauges_are_zero_without_rows_and_max_with(spark):
     assert (got["a"].trans_uncommited, got["a"].lock_flush_sec) == (0, 0)
     assert (got["b"].conn_active_sec, got["b"].trans_uncommited, got["b"].trans_uncommited_sec) == (0, 5, 50)
     long = mon.long_form(mon.session_gauges(processes, trx), ts("2024-01-01 00:00:00"))
-    assert long.count() == 2 * 7
+    assert long.count() == 2 * 10
+    assert (got["a"].conn_cur, got["a"].conn_max, got["a"].conn_ratio) == (3, 2000, 0)
 
 
 def test_lock_waits_of_one_hot_blocker(spark):

@@ -63,15 +63,16 @@ def fragmented_partitions(
     )
 
 
-def empty_partitions(partitions: DataFrame, rows: DataFrame, keep: str = "P1") -> DataFrame:
+def empty_partitions(
+    partitions: DataFrame, rows: DataFrame, keys: list[str] | None = None, keep: str = "P1"
+) -> DataFrame:
     """Listed partitions no row falls into; the first partition is never dropped.
 
     Rows are counted per partition before the join, so a hot partition costs one row.
     """
-    counts = rows.groupBy("partition_name").agg(F.count("*").alias("n"))
-    return partitions.filter(F.col("partition_name") != keep).join(
-        counts, "partition_name", "left_anti"
-    )
+    keys = keys or ["partition_name"]
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    return partitions.filter(F.col("partition_name") != keep).join(counts, keys, "left_anti")
 
 
 def indexes_to_rebuild(tables: DataFrame, indexes: DataFrame, partitioned_indexes: DataFrame) -> DataFrame:
@@ -91,6 +92,44 @@ def indexes_to_rebuild(tables: DataFrame, indexes: DataFrame, partitioned_indexe
     )
 
 
+def action_plan(
+    report: DataFrame, empty: DataFrame, fragmented: DataFrame, rebuilds: DataFrame
+) -> DataFrame:
+    """What to run for the reported tables, as statements with their step.
+
+    Plain tables are moved; of partitioned ones the ``empty`` partitions are dropped and the
+    ``fragmented`` ones moved (both ``table_name, partition_name``); then indexes are rebuilt.
+    """
+    plain = report.filter(F.col("is_parttab") == 0).select(F.col("tabname").alias("table_name"))
+    parted = report.filter(F.col("is_parttab") == 1).select(F.col("tabname").alias("table_name"))
+
+    def step(rows: DataFrame, number: int, *text) -> DataFrame:
+        return rows.select("table_name", F.lit(number).alias("step"), F.concat(*text).alias("statement"))
+
+    alter, part = F.lit("alter table "), F.col("table_name")
+    moves = step(plain, 1, alter, part, F.lit(" move online"))
+    drops = step(
+        empty.join(parted, "table_name", "left_semi"), 2,
+        alter, part, F.lit(" drop partition "), "partition_name", F.lit(" update global indexes"),
+    )
+    part_moves = step(
+        fragmented.join(parted, "table_name", "left_semi"), 3,
+        alter, part, F.lit(" move partition "), "partition_name", F.lit(" online"),
+    )
+    indexes = rebuilds.select("table_name", F.lit(4).alias("step"), "statement")
+    return moves.unionByName(drops).unionByName(part_moves).unionByName(indexes)
+
+
+def mark_done(report: DataFrame, done: DataFrame) -> DataFrame:
+    """The report with status 1 for the tables that were worked on (``tabname``)."""
+    hits = done.select("tabname", F.lit(True).alias("_done")).distinct()
+    return (
+        report.join(hits, "tabname", "left")
+        .withColumn("status", F.when(F.col("_done"), "1").otherwise(F.col("status")))
+        .drop("_done")
+    )
+
+
 def tables_without_key(tables: DataFrame, constraints: DataFrame) -> DataFrame:
     """User tables that have no primary-key constraint."""
     primary = constraints.filter(F.col("constraint_name") == "PRIMARY")

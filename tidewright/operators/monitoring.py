@@ -78,7 +78,9 @@ def max_or_zero(value: Column, condition: Column) -> Column:
     return F.coalesce(F.max(F.when(condition, value)), F.count_if(condition))
 
 
-def session_gauges(processes: DataFrame, transactions: DataFrame) -> DataFrame:
+def session_gauges(
+    processes: DataFrame, transactions: DataFrame, max_connections: int = 2000
+) -> DataFrame:
     """Session, transaction and lock-wait gauges per instance, one wide row each.
 
     Transactions are counted per thread before they meet the process list, so a thread
@@ -94,7 +96,11 @@ def session_gauges(processes: DataFrame, transactions: DataFrame) -> DataFrame:
     asleep = F.col("command") == "Sleep"
     in_trx = F.col("running") > 0
     active = ~F.col("command").isin(BACKGROUND_COMMANDS) & ~F.col("user").isin(BACKGROUND_USERS)
+    limit = F.lit(max_connections).cast("bigint")
     return rows.groupBy("instance").agg(
+        F.count("*").alias("conn_cur"),
+        limit.alias("conn_max"),
+        ratio_percent(F.count("*"), limit).alias("conn_ratio"),
         max_or_zero(time, active).alias("conn_active_sec"),
         F.sum("running").alias("trans_active"),
         max_or_zero(time, in_trx & ~asleep).alias("trans_active_sec"),
@@ -105,6 +111,11 @@ def session_gauges(processes: DataFrame, transactions: DataFrame) -> DataFrame:
     )
 
 
+def latest_rates(rates: DataFrame) -> DataFrame:
+    """The newest rate of every counter as ``instance, item, value``."""
+    return rates.groupBy("instance", "item").agg(F.max_by("rate", "ts").alias("value"))
+
+
 def long_form(gauges: DataFrame, ts: Column) -> DataFrame:
     """Wide gauges as ``ts, instance, item, value`` rows."""
     items = [c for c in gauges.columns if c != "instance"]

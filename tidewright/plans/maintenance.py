@@ -47,13 +47,37 @@ def batch_replace(spark, sf_dir):
 
 
 def fragmented_partitions(spark, sf_dir):
+    rows = mt.fragmented_partitions(_partition_stats(spark, sf_dir), min_wasted_mib=5, max_percent=60)
+    return _plain(rows).select("table_name", "partition_name", "current_size", "real_size",
+                               "hwm_size", "rate")
+
+
+def _partition_stats(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").withColumn("year", F.year("l_shipdate"))
-    stats = t.table_stats(lines, "year").withColumn(
+    return t.table_stats(lines, "year").withColumn(
         "partition_name", F.concat(F.lit("P"), F.col("year").cast("string"))
     )
-    rows = mt.fragmented_partitions(stats, min_wasted_mib=5, max_percent=60)
-    return _plain(rows).select("table_name", "partition_name", "current_size", "real_size",
-                               "hwm_size", "rate")
+
+
+def space_action_plan(spark, sf_dir):
+    """The report's statements; a supplier's partitions are the years from 1994 to 2003."""
+    stats, report = _partition_stats(spark, sf_dir), _report(spark, sf_dir)
+    names = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("T_"), F.col("s_suppkey").cast("string")).alias("table_name"),
+        F.explode(F.sequence(F.lit(1994), F.lit(2003))).alias("year"),
+    )
+    listed = names.select("table_name", F.concat(F.lit("P"), F.col("year").cast("string")).alias("partition_name"))
+    rows = stats.select("table_name", "partition_name")
+    empty = mt.empty_partitions(listed, rows, ["table_name", "partition_name"])
+    fragmented = mt.fragmented_partitions(stats, min_wasted_mib=5, max_percent=60)
+    return mt.action_plan(report, empty, fragmented, indexes_to_rebuild(spark, sf_dir))
+
+
+def report_after_run(spark, sf_dir):
+    """The report once every plain table has been moved."""
+    report = _report(spark, sf_dir)
+    done = mt.mark_done(report, report.filter(F.col("is_parttab") == 0))
+    return done.select("tabname", "is_parttab", "status")
 
 
 def _month(ts):
@@ -227,6 +251,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         wasted_space_report, batch_replace, fragmented_partitions, empty_partitions,
+        space_action_plan, report_after_run,
         partition_listing, indexes_to_rebuild, tables_without_key, property_audit,
         calendar_table_plan, calendar_control_advance, sequence_step_plan, job_log_append,
         control_state_transition, split_to_rows,
@@ -285,6 +310,29 @@ ORACLES: dict[str, str] = {
       SELECT table_name, index_name, 'alter index ' || index_name || ' rebuild online' AS statement
       FROM ix JOIN report ON tabname = table_name
       WHERE f <> 'R' AND (is_parttab = 0 OR f <> 'A')""",
+    "space_action_plan": f"""{_REPORT},
+      years AS (SELECT 'T_' || CAST(l_suppkey AS VARCHAR) AS table_name, year(l_shipdate) AS y,
+          CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS blocks, count(*) AS num_rows,
+          l_suppkey % 100 * 2000 AS avg_row_len FROM lineitem GROUP BY l_suppkey, year(l_shipdate)),
+      parted AS (SELECT tabname FROM report WHERE is_parttab = 1),
+      frag AS (SELECT table_name, y FROM years WHERE blocks <> 0
+        AND round(CAST(blocks * 8192 / 1048576.0::DOUBLE - num_rows * avg_row_len / 1048576.0::DOUBLE AS DECIMAL(28,9)), 2) >= 5
+        AND round(CAST((num_rows * avg_row_len / 1048576.0::DOUBLE) / (blocks * 8192 / 1048576.0::DOUBLE) AS DECIMAL(28,9)), 3) * 100 < 60),
+      spine AS (SELECT 'T_' || CAST(s_suppkey AS VARCHAR) AS table_name, unnest(range(1994, 2004)) AS y FROM supplier),
+      ix AS (SELECT DISTINCT 'T_' || CAST(l_suppkey AS VARCHAR) AS table_name, l_returnflag AS f,
+          'IX_' || CAST(l_suppkey AS VARCHAR) || '_' || l_returnflag || '_' || CAST(year(l_shipdate) AS VARCHAR) AS index_name
+        FROM lineitem)
+      SELECT tabname AS table_name, 1 AS step, 'alter table ' || tabname || ' move online' AS statement
+        FROM report WHERE is_parttab = 0
+      UNION ALL SELECT table_name, 2, 'alter table ' || table_name || ' drop partition P' || CAST(y AS VARCHAR)
+          || ' update global indexes' FROM spine JOIN parted ON tabname = table_name
+        WHERE (table_name, y) NOT IN (SELECT table_name, y FROM years)
+      UNION ALL SELECT table_name, 3, 'alter table ' || table_name || ' move partition P' || CAST(y AS VARCHAR) || ' online'
+        FROM frag JOIN parted ON tabname = table_name
+      UNION ALL SELECT table_name, 4, 'alter index ' || index_name || ' rebuild online'
+        FROM ix JOIN report ON tabname = table_name WHERE f <> 'R' AND (is_parttab = 0 OR f <> 'A')""",
+    "report_after_run": f"""{_REPORT} SELECT tabname, is_parttab,
+        CASE is_parttab WHEN 0 THEN '1' ELSE '0' END AS status FROM report""",
     "tables_without_key": """SELECT CASE min(l_returnflag) WHEN 'N' THEN 'sys_app' ELSE 'app' END AS table_schema,
         't_' || CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR) AS table_name
       FROM lineitem GROUP BY l_orderkey, l_linenumber

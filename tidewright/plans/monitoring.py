@@ -102,8 +102,29 @@ def lock_wait_graph(spark, sf_dir):
 
 
 def monitor_long_form(spark, sf_dir):
+    """All gauges of a poll: sessions, sizes, tables without key and the newest rates."""
+    now = at(ORDERS_NOW)
     gauges = mon.session_gauges(*_sessions(spark, sf_dir)).withColumn("mysql_alive", F.lit(1))
-    return mon.long_form(gauges, at(ORDERS_NOW))
+    lines = table(spark, sf_dir, "lineitem")
+
+    def instance(key: str):
+        return F.concat(F.lit("330"), (F.col(key) % 4).cast("string"))
+
+    sizes = t.table_stats(lines).select(
+        instance("l_suppkey").alias("instance"), (F.col("blocks") * 8192).alias("data_bytes")
+    )
+    keyed = lines.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
+    no_key = keyed.groupBy(instance("l_orderkey").alias("instance")).agg(
+        F.count_if(F.col("n") > 1).alias("tab_no_primary_key")
+    )
+    size = mon.size_rollup(sizes, ["instance"]).withColumnRenamed("size_gb", "db_size_gb")
+    rates = mon.latest_rates(mon.counter_rates(_samples(spark, sf_dir)))
+    return (
+        mon.long_form(gauges, now)
+        .unionByName(mon.long_form(size, now))
+        .unionByName(mon.long_form(no_key, now))
+        .unionByName(rates.select(now.alias("ts"), "instance", "item", "value"))
+    )
 
 
 def item_max(spark, sf_dir):
@@ -283,7 +304,8 @@ _RATES = f"""WITH {SAMPLES_SQL},
 _GAUGES = f"""WITH {SESSIONS_SQL},
   run AS (SELECT thread_id, count(*) AS n FROM trx WHERE trx_state = 'RUNNING' GROUP BY thread_id),
   p AS (SELECT p.*, coalesce(n, 0) AS n FROM processes p LEFT JOIN run ON id = thread_id),
-  g AS (SELECT instance,
+  g AS (SELECT instance, count(*) AS conn_cur, CAST(2000 AS BIGINT) AS conn_max,
+    CAST(round_even(count(*) / 2000 * 100, 0) AS BIGINT) AS conn_ratio,
     coalesce(max("time") FILTER (command NOT IN ('Binlog Dump', 'Sleep') AND "user" <> 'system user'), 0)
       AS conn_active_sec,
     CAST(sum(n) AS BIGINT) AS trans_active,
@@ -335,10 +357,20 @@ ORACLES: dict[str, str] = {
         b.trx_query AS blocking_query
       FROM w JOIN trx b ON b.trx_id = w.blocker LEFT JOIN processes p ON p.id = b.thread_id
       WHERE w.trx_state = 'LOCK WAIT'""",
-    "monitor_long_form": f"""{_GAUGES}
+    "monitor_long_form": f"""{_GAUGES},
+      r AS ({_RATES}),
+      s AS (SELECT instance, CAST(floor(sum(q) * 8192 / 1073741824 + 0.5) AS BIGINT) AS v FROM (
+        SELECT '330' || CAST(l_suppkey % 4 AS VARCHAR) AS instance, CAST(l_quantity AS BIGINT) AS q FROM lineitem)
+        GROUP BY instance),
+      k AS (SELECT '330' || CAST(l_orderkey % 4 AS VARCHAR) AS instance, count(*) FILTER (n > 1) AS v FROM (
+        SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)
+        GROUP BY 1)
       SELECT TIMESTAMP '{ORDERS_NOW}' AS ts, instance, item, value FROM (
-        UNPIVOT (SELECT *, CAST(1 AS BIGINT) AS mysql_alive FROM g)
-        ON COLUMNS(* EXCLUDE instance) INTO NAME item VALUE value)""",
+        (SELECT instance, item, value FROM (UNPIVOT (SELECT *, CAST(1 AS BIGINT) AS mysql_alive FROM g)
+          ON COLUMNS(* EXCLUDE instance) INTO NAME item VALUE value))
+        UNION ALL SELECT instance, 'db_size_gb', v FROM s
+        UNION ALL SELECT instance, 'tab_no_primary_key', v FROM k
+        UNION ALL SELECT instance, item, arg_max(rate, ts) FROM r GROUP BY instance, item)""",
     "item_max": f"""WITH {SAMPLES_SQL}
       SELECT instance, item, max(value) AS value FROM samples GROUP BY instance, item""",
     "latest_error": """SELECT event_id, ts, CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT) AS error_number,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,28 @@ def catalog_tables(spark: SparkSession, schema: str) -> DataFrame:
     ).filter(F.col("table_schema") != "")
 
 
+def catalog_statistics(spark: SparkSession, schema: str) -> DataFrame:
+    """Provider, partitioning and, after ANALYZE TABLE, size and rows of a schema's tables.
+
+    Only the catalog is asked, one description per table.
+    """
+    found = []
+    for row in catalog_tables(spark, schema).collect():
+        described = spark.sql(f"DESCRIBE TABLE EXTENDED {schema}.{row.table_name}").collect()
+        facts = {r.col_name: r.data_type for r in described}
+        numbers = re.findall(r"(\d+) (bytes|rows)", facts.get("Statistics", ""))
+        sizes = {unit: int(n) for n, unit in numbers}
+        found.append(
+            (schema, row.table_name, facts.get("Provider"), "# Partition Information" in facts,
+             sizes.get("bytes"), sizes.get("rows"))
+        )
+    return spark.createDataFrame(
+        found,
+        "table_schema string, table_name string, provider string, is_partitioned boolean, "
+        "size_bytes bigint, num_rows bigint",
+    )
+
+
 def jdbc_query(
     spark: SparkSession, url: str, query: str, partition_column: str | None = None,
     bounds: tuple[int, int] | None = None, partitions: int = 1, **options: str,
