@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewright.functions.measures import pages_to_gib
 from tidewright.functions.ordered import SEGMENT_ROWS, latest_per_key, with_previous
 from tidewright.functions.text import epoch_seconds, version_prefix
 from tidewright.operators import monitoring as mon
@@ -49,7 +50,8 @@ def counter_rates_stream(spark, sf_dir):
 
 def gauge_ratios(spark, sf_dir):
     hourly = t.hourly_counts(table(spark, sf_dir, "events")).withColumnRenamed("n", "value")
-    return mon.gauge_ratios(hourly).withColumn("buffer_gb", mon.half_even(F.col("value") * 16 / 1024))
+    pages = F.col("value") * 1024
+    return mon.gauge_ratios(hourly).withColumn("buffer_gb", pages_to_gib(pages))
 
 
 def session_gauges(spark, sf_dir):
