@@ -217,3 +217,12 @@ def test_names_keep_their_order(spark):
     image = {c: "1" for c in "zyxba"}
     (r,) = undo(spark, event("delete", image, None))
     assert r.rollback_sql == "INSERT INTO `db`.`t`(`z`,`y`,`x`,`b`,`a`) VALUES ('1','1','1','1','1');"
+
+
+def test_update_that_changes_the_key_removes_the_old_one(spark):
+    events = [
+        event("insert", None, {"id": "1", "v": "1"}, 1), event("insert", None, {"id": "2", "v": "2"}, 2),
+        event("update", {"id": "1", "v": "1"}, {"id": "9", "v": "1"}, 3),
+    ]
+    state = cd.state_as_of(feed_of(spark, events), "id")
+    assert rows(state.select("id", F.col("image")["v"])) == [("2", "2"), ("9", "1")]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from tidewright.operators.monitoring import counter_rates
 from tidewright.streaming.rates import rates_available
-from tidewright.streaming.upsert import compact, current_rows, upsert_available
+from tidewright.streaming.upsert import compact, current_rows, start_upsert, upsert_available
 
 CHANGE = "id int, op string, log_pos bigint, v string"
 KEYS, ORDER = ["id"], ["log_pos"]
@@ -46,6 +46,20 @@ def test_upsert_replay_of_a_batch_changes_nothing(spark, tmp_path):
     assert rows(current_rows(spark, f"{base}/t", KEYS, ORDER), "id", "v") == [(1, "b")]
 
 
+def test_upsert_on_an_interval(spark, tmp_path):
+    base = str(tmp_path)
+    add(spark, f"{base}/in", (1, "insert", 1, "a"))
+    stream = spark.readStream.schema(CHANGE).parquet(f"{base}/in")
+    query = start_upsert(stream, KEYS, ORDER, f"{base}/t", f"{base}/cp", interval="1 second")
+    try:
+        query.processAllAvailable()
+        add(spark, f"{base}/in", (1, "update", 2, "b"))
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert rows(current_rows(spark, f"{base}/t", KEYS, ORDER), "id", "v") == [(1, "b")]
+
+
 SAMPLE = "ts timestamp_ntz, instance string, item string, value bigint, uptime bigint"
 
 

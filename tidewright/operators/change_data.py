@@ -171,6 +171,30 @@ def recovery_script(
     )
 
 
+def key_changes(feed: DataFrame, key: str) -> DataFrame:
+    """The feed per key: ``op`` and ``image`` (the row after it). An update that changes the
+    key also deletes the old one."""
+    before, after, op = F.col("before"), F.col("after"), F.col("op")
+    moved = (op == "update") & before[key].isNotNull() & (before[key] != after[key])
+    here = F.struct(
+        F.coalesce(after, before)[key].alias(key), op.alias("op"), after.alias("image")
+    )
+    gone = F.struct(
+        before[key].alias(key), F.lit("delete").alias("op"),
+        F.lit(None).cast("map<string,string>").alias("image"),
+    )
+    rest = [c for c in feed.columns if c not in ("op", "before", "after")]
+    return feed.select(*rest, F.inline(F.when(moved, F.array(here, gone)).otherwise(F.array(here))))
+
+
+def key_state(feed: DataFrame, key: str) -> DataFrame:
+    """The last change per key, deletions kept."""
+    changes = key_changes(feed, key).select(
+        "db", "tbl", key, "op", "log_file", "log_pos", "image", "types"
+    )
+    return latest_per_key(changes, ["db", "tbl", key], ["log_file", "log_pos"])
+
+
 def state_as_of(feed: DataFrame, key: str, until: str | None = None) -> DataFrame:
     """The live row per key at a time (inclusive): last image wins, deleted keys are gone.
 
@@ -178,23 +202,7 @@ def state_as_of(feed: DataFrame, key: str, until: str | None = None) -> DataFram
     """
     if until is not None:
         feed = filter_changes(feed, end=until)
-    image = F.coalesce(F.col("after"), F.col("before"))
-    keyed = feed.select(
-        "db", "tbl", image[key].alias(key), "op", "log_file", "log_pos",
-        F.col("after").alias("image"), "types",
-    )
-    last = latest_per_key(keyed, ["db", "tbl", key], ["log_file", "log_pos"])
-    return last.filter(F.col("op") != "delete").drop("op")
-
-
-def key_state(feed: DataFrame, key: str) -> DataFrame:
-    """The last event per key, deletions kept."""
-    image = F.coalesce(F.col("after"), F.col("before"))
-    keyed = feed.select(
-        "db", "tbl", image[key].alias(key), "op", "log_file", "log_pos",
-        F.col("after").alias("image"), "types",
-    )
-    return latest_per_key(keyed, ["db", "tbl", key], ["log_file", "log_pos"])
+    return key_state(feed, key).filter(F.col("op") != "delete").drop("op")
 
 
 # Server error codes a repair answers to.

@@ -64,10 +64,7 @@ def cdc_stream_upsert(spark, sf_dir):
         )
     )
     changes = canal_changes(flat.select(message.alias("value"), "log_file", "log_pos"))
-    keyed = changes.select(
-        F.coalesce("after", "before")["id"].alias("id"), "op", "log_file", "log_pos", "row_no",
-        F.col("after").alias("image"),
-    )
+    keyed = cd.key_changes(changes, "id").select("id", "op", "log_file", "log_pos", "row_no", "image")
     order = ["log_file", "log_pos", "row_no"]
     work = scratch_path(spark, "cdc-upsert")
     upsert_available(keyed, ["id"], order, f"{work}/table", f"{work}/checkpoint")

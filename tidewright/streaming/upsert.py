@@ -10,15 +10,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tidewright.functions.ordered import latest_per_key
 
 
-def upsert_available(
+def start_upsert(
     changes: DataFrame, keys: list[str], order: list[str], target: str, checkpoint: str,
-    etl_time: bool = False,
-) -> None:
-    """Ingest everything available since the checkpoint, then stop."""
+    etl_time: bool = False, interval: str | None = None,
+) -> StreamingQuery:
+    """Start ingesting: every ``interval`` (such as ``5 seconds``), or once over what is there.
+
+    The size of a batch is the reader's (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
+    """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         last = latest_per_key(batch, keys, order)
@@ -26,13 +30,18 @@ def upsert_available(
             last = last.withColumn("etl_time", F.localtimestamp())
         last.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
-    (
-        changes.writeStream.foreachBatch(write_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
+    writer = changes.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    return (
+        writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
+    ).start()
+
+
+def upsert_available(
+    changes: DataFrame, keys: list[str], order: list[str], target: str, checkpoint: str,
+    etl_time: bool = False,
+) -> None:
+    """Ingest everything available since the checkpoint, then stop."""
+    start_upsert(changes, keys, order, target, checkpoint, etl_time).awaitTermination()
 
 
 def current_rows(spark: SparkSession, target: str, keys: list[str], order: list[str]) -> DataFrame:
