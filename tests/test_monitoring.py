@@ -7,7 +7,7 @@ from tests.conftest import rows, ts
 from tidewright.functions.measures import half_even, pages_to_gib, ratio_percent
 from tidewright.functions.text import clock_text, host_part, port_part, version_prefix
 from tidewright.operators import monitoring as mon
-from tidewright.sources.status import key_value_rows, metric_rows, read_status
+from tidewright.sources.status import key_value_rows, metric_rows, read_metric_log, read_status
 
 
 def t(minute):
@@ -127,8 +127,7 @@ def test_throughput(spark):
     lines = [("1.2 GB/s", 1228.8, "excellent"), ("2048 KB/s", 2.0, "fair"), ("100 MB/s", 100.0, "good"),
              ("50 MB/s", 50.0, "fair"), ("1023 KB/s", 0.99, "fair"), ("n/a", None, None)]
     df = spark.createDataFrame([(x,) for x, _, _ in lines], "l string")
-    speed = mon.throughput(F.col("l"))
-    got = [tuple(r) for r in df.select(speed.cast("double"), mon.throughput_rating(speed)).collect()]
+    got = [tuple(r) for r in mon.throughput(df, "l").select(F.col("mbps").cast("double"), "rating").collect()]
     assert got == [(m, r) for _, m, r in lines]
 
 
@@ -173,6 +172,8 @@ def test_metric_lines_and_status_file(spark, tmp_path):
     lines = ["2024-01-01 00:00:05 | 3306 | conn_cur 12", "garbage", "2024-01-01 00:00:05  |  3307 |  net_kb   1.5"]
     df = metric_rows(spark.createDataFrame([(x,) for x in lines], "value string"))
     assert rows(df, "instance", "item", "value") == [("3306", "conn_cur", 12.0), ("3307", "net_kb", 1.5)]
+    (tmp_path / "log").write_text("\n".join(lines))
+    assert rows(read_metric_log(spark, str(tmp_path / "log"))) == rows(df)
     (tmp_path / "status").write_text("Variable_name\tValue\nUptime\t100\nName\tx\n")
     got = {r.item: r.value for r in read_status(spark, str(tmp_path / "status")).collect()}
     assert got["Uptime"] == 100.0 and got["Name"] is None

@@ -286,23 +286,32 @@ def health_notices(checks: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     )
 
 
-# Units to MB/s and the rating limits.
-def throughput(line: Column) -> Column:
-    """The speed named in a log line, in MB/s; KB/s is cut to two places as ``scale=2`` does."""
+def throughput(lines: DataFrame, line: str) -> DataFrame:
+    """Add ``mbps``, the speed named in a log line, and its ``rating``.
+
+    Fixed values: units to MB/s and the limits of the rating. KB/s is cut to two places,
+    as ``scale=2`` does. A line without a speed has neither.
+    """
     pattern = r"([0-9.]+)\s*(KB/s|MB/s|GB/s)"
-    number = F.regexp_extract(line, pattern, 1).try_cast("decimal(20,6)")
-    unit = F.regexp_extract(line, pattern, 2)
-    kb = F.floor(number * 100 / 1024).cast("decimal(28,6)") / 100
+    parts = lines.withColumns(
+        {
+            "_number": F.regexp_extract(line, pattern, 1).try_cast("decimal(20,6)"),
+            "_unit": F.regexp_extract(line, pattern, 2),
+        }
+    )
+    number, unit, mbps = F.col("_number"), F.col("_unit"), F.col("mbps")
+    speed = (
+        F.when(unit == "KB/s", F.floor(number * 100 / 1024).cast("decimal(28,6)") / 100)
+        .when(unit == "MB/s", number)
+        .when(unit == "GB/s", number * 1024)
+    )
+    rating = F.when(mbps > 100, "excellent").when(mbps > 50, "good").when(mbps.isNotNull(), "fair")
     return (
-        F.when(unit == "KB/s", kb.cast("decimal(28,6)"))
-        .when(unit == "MB/s", number.cast("decimal(28,6)"))
-        .when(unit == "GB/s", (number * 1024).cast("decimal(28,6)"))
+        parts.withColumn("mbps", speed.cast("decimal(28,6)"))
+        .withColumn("rating", rating)
+        .drop("_number", "_unit")
     )
 
 
-def throughput_rating(mbps: Column) -> Column:
-    return F.when(mbps > 100, "excellent").when(mbps > 50, "good").when(mbps.isNotNull(), "fair")
-
-
 def usage_percent(used: Column, total: Column) -> Column:
     return rounded(F.try_divide(used.cast("double"), total.cast("double")) * 100, 2).cast("decimal(10,2)")

@@ -61,7 +61,8 @@ def _partition_stats(spark, sf_dir):
 
 def space_action_plan(spark, sf_dir):
     """The report's statements; a supplier's partitions are the years from 1994 to 2003."""
-    stats, report = _partition_stats(spark, sf_dir), _report(spark, sf_dir)
+    stats = t.stored(_partition_stats(spark, sf_dir), "partition-stats")
+    report = t.stored(_report(spark, sf_dir), "space-report")
     names = table(spark, sf_dir, "supplier").select(
         F.concat(F.lit("T_"), F.col("s_suppkey").cast("string")).alias("table_name"),
         F.explode(F.sequence(F.lit(1994), F.lit(2003))).alias("year"),
@@ -70,12 +71,12 @@ def space_action_plan(spark, sf_dir):
     rows = stats.select("table_name", "partition_name")
     empty = mt.empty_partitions(listed, rows, ["table_name", "partition_name"])
     fragmented = mt.fragmented_partitions(stats, min_wasted_mib=5, max_percent=60)
-    return mt.action_plan(report, empty, fragmented, indexes_to_rebuild(spark, sf_dir))
+    return mt.action_plan(report, empty, fragmented, _rebuilds(spark, sf_dir, report))
 
 
 def report_after_run(spark, sf_dir):
     """The report once every plain table has been moved."""
-    report = _report(spark, sf_dir)
+    report = t.stored(_report(spark, sf_dir), "space-report")
     done = mt.mark_done(report, report.filter(F.col("is_parttab") == 0))
     return done.select("tabname", "is_parttab", "status")
 
@@ -109,7 +110,7 @@ def partition_listing(spark, sf_dir):
     return list_partitions(listed, "orders")
 
 
-def indexes_to_rebuild(spark, sf_dir):
+def _rebuilds(spark, sf_dir, report):
     """A supplier's indexes are its (return flag, ship year) pairs; R ones hold LOBs."""
     lines = table(spark, sf_dir, "lineitem")
     name = F.concat_ws("_", F.lit("IX"), F.col("l_suppkey").cast("string"), "l_returnflag",
@@ -120,8 +121,12 @@ def indexes_to_rebuild(spark, sf_dir):
         F.when(F.col("l_returnflag") == "R", "LOB").otherwise("NORMAL").alias("index_type"),
     ).distinct()
     partitioned = indexes.filter(F.col("index_name").like("%_A_%")).select("table_name", "index_name")
-    report = _report(spark, sf_dir).select(F.col("tabname").alias("table_name"), "is_parttab")
-    return mt.indexes_to_rebuild(report, indexes, partitioned)
+    tables = report.select(F.col("tabname").alias("table_name"), "is_parttab")
+    return mt.indexes_to_rebuild(tables, indexes, partitioned)
+
+
+def indexes_to_rebuild(spark, sf_dir):
+    return _rebuilds(spark, sf_dir, _report(spark, sf_dir))
 
 
 def tables_without_key(spark, sf_dir):

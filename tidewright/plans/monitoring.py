@@ -27,12 +27,17 @@ def _samples(spark, sf_dir):
     return t.samples(table(spark, sf_dir, "events"))
 
 
+def _stored_samples(spark, sf_dir):
+    """The samples as the table a poller would have written."""
+    return t.stored(_samples(spark, sf_dir), "samples")
+
+
 def _sessions(spark, sf_dir):
     return t.processes(table(spark, sf_dir, "customer")), t.transactions(table(spark, sf_dir, "orders"))
 
 
 def counter_rates(spark, sf_dir):
-    return mon.counter_rates(_samples(spark, sf_dir))
+    return mon.counter_rates(_stored_samples(spark, sf_dir))
 
 
 def counter_rates_stream(spark, sf_dir):
@@ -120,7 +125,7 @@ def monitor_long_form(spark, sf_dir):
         F.count_if(F.col("n") > 1).alias("tab_no_primary_key")
     )
     size = mon.size_rollup(sizes, ["instance"]).withColumnRenamed("size_gb", "db_size_gb")
-    rates = mon.latest_rates(mon.counter_rates(_samples(spark, sf_dir)))
+    rates = mon.latest_rates(counter_rates(spark, sf_dir))
     return (
         mon.long_form(gauges, now)
         .unionByName(mon.long_form(size, now))
@@ -168,7 +173,7 @@ def usage_threshold(spark, sf_dir):
 
 
 def backlog_eta(spark, sf_dir):
-    counted = _samples(spark, sf_dir).filter(F.col("item") != "bytes_sent")
+    counted = _stored_samples(spark, sf_dir).filter(F.col("item") != "bytes_sent")
     top = counted.groupBy("instance", "item").agg(F.max("value").alias("total"))
     pending = counted.join(top, ["instance", "item"]).select(
         "instance", "item", "ts", (F.col("total") - F.col("value")).alias("pending"),
@@ -226,7 +231,7 @@ def health_changes(spark, sf_dir):
     hourly = t.hourly_counts(table(spark, sf_dir, "events")).groupBy("instance", "ts").agg(
         (errors * 4 <= total).alias("healthy")
     )
-    return mon.health_notices(hourly)
+    return mon.health_notices(t.stored(hourly, "health"))
 
 
 def throughput_rating(spark, sf_dir):
@@ -238,10 +243,8 @@ def throughput_rating(spark, sf_dir):
     line = F.concat(
         F.lit("seq read: "), F.col("value").cast("decimal(18,2)").cast("string"), unit, F.lit(" avg")
     )
-    speed = mon.throughput(F.col("line"))
-    return table(spark, sf_dir, "events").select("event_id", line.alias("line")).select(
-        "event_id", speed.cast("double").alias("mbps"), mon.throughput_rating(speed).alias("rating")
-    )
+    lines = table(spark, sf_dir, "events").select("event_id", line.alias("line"))
+    return mon.throughput(lines, "line").select("event_id", F.col("mbps").cast("double").alias("mbps"), "rating")
 
 
 def replica_status(spark, sf_dir):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.ordered import SEGMENT_ROWS, with_previous
 from tidewright.functions.text import epoch_seconds
+from tidewright.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +30,14 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """A small derived table written once, where several steps read it. Without this each
+    step would scan and aggregate the large table again."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cents(col: str):
     """Money as a whole number of cents, exact in every engine."""
     return (F.col(col).cast("decimal(18,2)") * 100).cast("bigint")
