@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", app_name: str = "tidewright") -> SparkSession:
@@ -25,21 +24,24 @@ def local_session(cores: int | str = "*", app_name: str = "tidewright") -> Spark
     )
 
 
-_local_root: list[str] = []
+def shared_root(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; where it is unset, a folder of the warehouse.
+
+    Written tables and checkpoints must outlive any one executor. Both places are
+    storage that the driver and all executors share.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    return root.rstrip("/") if root else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new folder under the cluster's ``spark.checkpoint.dir``.
+    """A new folder under the shared root."""
+    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
-    Written tables and stream checkpoints must outlive any one executor, so on a
-    cluster the setting has to name shared storage. Only a local master, where
-    there is a single machine, falls back to a temporary folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        if not _local_root:
-            _local_root.append(tempfile.mkdtemp(prefix="tidewright-"))
-        root = _local_root[0]
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+def settled_rows(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once into the shared checkpoint folder and cut its lineage there."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
+    return df.checkpoint()
