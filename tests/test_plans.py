@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from tidewright.plans import registry
 from tests.conftest import ts
 from tidewright.operators import change_data as cd
 from tidewright.operators import retention as rt
@@ -54,7 +55,7 @@ WRITING = {"cdc_stream_upsert", "undo_stream_tail", "counter_rates_stream", "edg
            "batch_replace", "dated_state_dump", "job_log_append", "query_batch_export"}
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - WRITING))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - WRITING))
 def test_no_pairwise_joins_and_no_python_rows(spark, sf_dir, name):
     plan = plan_of(contract.queries()[name](spark, sf_dir))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "MapInPandas", "ArrowEvalPython"):
