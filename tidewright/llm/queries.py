@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, mixing, simhash, substring, toxicity
+from tidewright.llm import bpe, embedding_dedup, licenses, mixing, quality, revisits, simhash, substring, toxicity, url_filter
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -15,6 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page URL; trees learn from the URLs that the rules decide."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    known = url_filter.train(url_filter.rule_labels(pages))
+    return url_filter.judged(pages, known).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.9."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by source with weights 5, 2, 1, copies bounded by three."""
     mix = mixing.mixed(table(spark, sf_dir, "documents"))
@@ -60,6 +72,47 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality rules on all whole documents."""
+    judged = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+OP5_SQL = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+), read AS (
+    SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, string_split(text, chr(10)) AS all_lines FROM docs
+), counts AS (
+    SELECT *, list_filter(all_lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
+           len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+           len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+           len(list_filter(w, lambda x: list_contains({stops}, lower(x)))) AS n_stop_words
+    FROM read
+), places AS (
+    SELECT rid, w, unnest(range(1, n_words - 3)) AS i FROM counts WHERE n_words >= 5
+), windows AS (
+    SELECT rid, i, w[i : i + 4] AS win FROM places
+), twice AS (
+    SELECT rid, win FROM windows GROUP BY ALL HAVING count(*) > 1
+), covered AS (
+    SELECT v.rid, count(DISTINCT x.j) AS n FROM windows v JOIN twice t ON v.rid = t.rid AND v.win = t.win, unnest(range(v.i, v.i + 5)) x(j) GROUP BY v.rid
+), measured AS (
+    SELECT c.*, len(ls) AS n_lines, len(all_lines) AS n_all_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(v.n, 0) AS n_repeat_words
+    FROM counts c LEFT JOIN covered v ON c.rid = v.rid
+), judged AS (
+    SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed AND 100 * word_chars BETWEEN 200 * n_words AND 1500 * n_words AND 100 * n_symbols <= 30 * n_words
+       AND 100 * n_stop_words >= 4 * n_words AND 100 * n_dup_lines <= 40 * n_lines AND 100 * n_lines >= 20 * n_all_lines AS kept
+FROM judged
+""".replace("{stops}", "[" + ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS.split()))) + "]")
+
+
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the 13-word windows that an earlier document has."""
     cut = substring.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -100,6 +153,81 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "severity", "grade", F.col("rejected").alias("toxic"))
 
 
+def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All second visits of the pages resolved against the full captures."""
+    found = revisits.resolved(revisits.recrawled(table(spark, sf_dir, "pages")))
+    return found.withColumn("headers", revisits.header_text(F.col("headers")))
+
+
+OP8_SQL = r"""
+WITH keyed AS (
+    SELECT page_id, coalesce(html, '') AS html, md5(coalesce(html, '')) AS digest,
+           regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?.*$', 1) AS host,
+           regexp_replace(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?.*$', 2), '/$', '') AS path,
+           array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?.*$', 3), '&'),
+                                                 lambda p: p <> '' AND NOT starts_with(p, 'utm_'))), '&') AS query,
+           contains(url, '://') AS whole
+    FROM pages
+), pages_of AS (
+    SELECT page_id, html, digest,
+           CASE WHEN whole THEN regexp_replace(translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ':(80|443)$', '')
+                                || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS url_key
+    FROM keyed
+), found AS (
+    SELECT v.*, (SELECT arg_max(r.page_id, r.page_id) FROM pages_of r
+                 WHERE r.url_key = v.url_key AND r.page_id < v.page_id + length(v.html)) AS original
+    FROM pages_of v
+)
+SELECT (f.page_id * 2 + 1)::BIGINT AS record_id, f.url_key, (f.page_id + length(f.html))::BIGINT AS captured, (f.original * 2)::BIGINT AS original_id,
+       CASE WHEN f.original IS NULL THEN 'no_original' WHEN o.digest = f.digest THEN 'resolved' ELSE 'validator_mismatch' END AS outcome,
+       CASE WHEN o.digest = f.digest
+            THEN 'content-length: ' || strlen(o.html) || chr(10) || 'content-type: text/html' || chr(10)
+            ELSE 'content-length: 0' || chr(10) END
+       || 'date: ' || (f.page_id + length(f.html)) || chr(10) || 'etag: W/"' || f.digest || '"' || chr(10)
+       || 'expires: ' || (f.page_id + length(f.html) + 60) AS headers,
+       CASE WHEN o.digest = f.digest THEN o.digest END AS digest
+FROM found f LEFT JOIN pages_of o ON o.page_id = f.original
+"""
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence notices of all whole documents."""
+    return licenses.scanned(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def _op9_sql() -> str:
+    rows = ", ".join(
+        f"({k}, '{name}', {licenses.bigrams(text)!r}::VARCHAR[])" for k, (name, text) in enumerate(licenses.TEMPLATES)
+    )
+    return (
+        r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS rid, doc_id, lower(coalesce(text, '')) AS text FROM documents
+), units AS (
+    SELECT rid, unnest(list_append(string_split(text, chr(10)), replace(text, chr(10), ' '))) AS unit FROM docs
+), words AS (
+    SELECT rid, regexp_extract_all(unit, '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM units
+), grams AS (
+    SELECT DISTINCT rid, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g,
+           array_to_string(w, ' ') AS line
+    FROM words WHERE len(w) > 1
+), templates(k, name, t) AS (VALUES """
+        + rows
+        + r"""
+), scored AS (
+    SELECT rid, line, k, name, 2.0::DOUBLE * len(list_intersect(t, g)) / (len(t) + len(g)) AS dice FROM grams, templates
+), best AS (
+    SELECT rid, line, max(dice) AS dice, arg_max(name, dice * 1000 - k / 1000.0) AS name, arg_max(k, dice * 1000 - k / 1000.0) AS k
+    FROM scored WHERE dice * 100 >= 80 GROUP BY rid, line
+), top AS (
+    SELECT rid, max(dice) AS dice, arg_max(name, dice * 1000 - k / 1000.0) AS name, arg_max(k, dice * 1000 - k / 1000.0) AS k, count(*) AS n
+    FROM best GROUP BY rid
+)
+SELECT doc_id, name AS license, k::INTEGER AS template, dice, coalesce(n, 0)::BIGINT AS n_notices FROM docs LEFT JOIN top USING (rid)
+"""
+    )
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded by the public rank file, and decoded again."""
     docs = table(spark, sf_dir, "documents")
@@ -108,11 +236,22 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op2_embeddings": op2_embeddings,
     "op3_mix": op3_mix,
     "op4_simhash": op4_simhash,
+    "op5_quality": op5_quality,
     "op6_substring": op6_substring,
     "op7_toxicity": op7_toxicity,
+    "op8_revisits": op8_revisits,
+    "op9_licenses": op9_licenses,
     "op10_bpe": op10_bpe,
 }
 
-ORACLES = {"op3_mix": OP3_SQL, "op6_substring": OP6_SQL}
+ORACLES = {
+    "op3_mix": OP3_SQL,
+    "op5_quality": OP5_SQL,
+    "op6_substring": OP6_SQL,
+    "op8_revisits": OP8_SQL,
+    "op9_licenses": _op9_sql(),
+}

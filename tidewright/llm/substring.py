@@ -258,10 +258,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     start in a document with a smaller id; windows are judged on the input. The text that is left
     is its words joined by one space; a null text becomes empty. A row with a null id neither
     loses words nor makes others lose any; rows of one id are one document to others and do
-    not cut each other. ``window`` is odd. An empty table gives an empty one.
+    not cut each other. ``window`` is odd. An empty table gives an empty one. Columns of the new names
+    are replaced, other columns are kept.
     """
     if window % 2 == 0:
         raise ValueError("an odd window holds a block of half its words at any offset")
+    docs = docs.drop("n_words", "n_removed", "_doc", "answers")
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))

@@ -99,12 +99,13 @@ def portions(batches: Iterable[pa.RecordBatch], text: str, limit: int) -> Iterat
     """Rows in lists of about ``limit`` characters; a longer text makes a list of its own."""
     rows, size = [], 0
     for batch in batches:
-        for row in batch.to_pylist():
-            n = len(row[text] or "")
-            if rows and size + n > limit:
-                yield rows
-                rows, size = [], 0
-            rows.append(row)
-            size += n
+        for at in range(0, batch.num_rows, 256):
+            for row in batch.slice(at, 256).to_pylist():
+                n = len(row[text] or "")
+                if rows and size + n > limit:
+                    yield rows
+                    rows, size = [], 0
+                rows.append(row)
+                size += n
     if rows:
         yield rows

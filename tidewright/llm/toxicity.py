@@ -144,9 +144,9 @@ def severities(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
     The model is a fixed-size table of hashed weights and travels with the tasks. A null or empty text
     has no features; it scores what the thresholds alone say, which is clean. Rows are judged one by
-    one, so null ids, repeated rows and other columns do not matter.
+    one, so null ids, repeated rows and other columns do not matter; columns of the new names are replaced.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop("severity", "grade", "rejected")
     used = np.flatnonzero(model.weights)
     shared = spark.sparkContext.broadcast((used.astype(np.int32), model.weights[used], model.thresholds))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
