@@ -56,3 +56,15 @@ def test_a_passage_all_documents_share(spark):
 
 def test_empty_table(spark):
     assert substring.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_are_dealt_out_once(spark, sf_dir):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = queries.table(spark, sf_dir, "documents")
+        plan = substring.without_repeats(docs)._jdf.queryExecution().executedPlan().toString()
+        assert "ReusedExchange" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

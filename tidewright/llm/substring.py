@@ -26,7 +26,7 @@ from tidewright.llm.text import Words, mix, portions, utf8
 
 WINDOW = 13
 PORTION = 3 << 20  # characters hashed together
-BUCKET_BYTES = 6 << 20  # bytes of text per hash bucket
+BUCKET_BYTES = 12 << 20  # bytes of text per hash bucket
 
 _LOW = np.uint64((1 << 40) - 1)
 _NONE = np.iinfo(np.int64).max
@@ -34,8 +34,11 @@ _SCHEMA = "bucket int, doc_id long, packed binary"
 
 
 def _pack(docs: np.ndarray, low: np.ndarray, check: np.ndarray | None, doc: np.ndarray, flag: np.ndarray, reply: np.ndarray) -> bytes:
-    """Entries of one bucket: 5 bytes of hash, 6 of check in the second round, a place in ``docs``, two bits."""
-    parts = [np.array([len(docs), len(low), check is not None], np.int64), docs, np.ascontiguousarray(low.view(np.uint8).reshape(-1, 8)[:, :5])]
+    """Entries of one bucket: 5 bytes of hash, 6 of check in the second round, a place in ``docs``, two bits.
+
+    ``docs`` ascends and goes as differences, which the shuffle's compression takes in.
+    """
+    parts = [np.array([len(docs), len(low), check is not None], np.int64), np.diff(docs, prepend=0), np.ascontiguousarray(low.view(np.uint8).reshape(-1, 8)[:, :5])]
     if check is not None:
         parts.append(np.ascontiguousarray(check.view(np.uint8).reshape(-1, 8)[:, :6]))
     return b"".join(p.tobytes() for p in [*parts, doc.astype(np.uint16), np.packbits(flag), np.packbits(reply)])
@@ -44,7 +47,7 @@ def _pack(docs: np.ndarray, low: np.ndarray, check: np.ndarray | None, doc: np.n
 def _unpack(packed: bytes):
     n_docs, n, checked = np.frombuffer(packed, np.int64, 3)
     at = 24 + 8 * n_docs
-    docs = np.frombuffer(packed, np.int64, n_docs, 24)
+    docs = np.cumsum(np.frombuffer(packed, np.int64, n_docs, 24))
 
     def number(width):
         nonlocal at
@@ -145,18 +148,18 @@ def _arrow(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _block_hashes(buckets: int, window: int):
+def _block_hashes(buckets: int, window: int, id_col: str, text_col: str):
     """First round: every rolling window of ``block`` words, indexed where it is a block of its document."""
     block = (window + 1) // 2
 
     def rows(batches):
-        for portion in portions(batches, "text", PORTION):
-            portion = [r for r in portion if r["doc_id"] is not None and r["text"]]
+        for portion in portions(_only(batches, id_col, text_col), text_col, PORTION):
+            portion = [r for r in portion if r[text_col]]
             for part in (portion[k : k + 60_000] for k in range(0, len(portion), 60_000)):
-                words = Words([utf8(r["text"]) for r in part])
+                words = Words([utf8(r[text_col]) for r in part])
                 h, whole = words.windows(block, 1)
                 indexed = words.places()[: len(h)] % block == 0
-                ids = np.array([r["doc_id"] for r in part], np.int64)
+                ids = np.array([r[id_col] for r in part], np.int64)
                 yield from _send(ids, words.owner[: len(h)][whole], h[whole], None, indexed[whole], buckets)
 
     return lambda batches: _arrow(rows(batches))
@@ -198,14 +201,18 @@ def _told(row: dict) -> np.ndarray:
     return np.frombuffer(b"".join(row["answers"] or ()), np.uint64)
 
 
-def _extended(buckets: int, window: int):
+def _only(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[pa.RecordBatch]:
+    return (batch.select(list(names)) for batch in batches)
+
+
+def _extended(buckets: int, window: int, id_col: str, text_col: str):
     """Second round: every window around a hit, all of them indexed."""
     block = (window + 1) // 2
 
     def rows(batches):
-        for portion in portions(batches, "text", PORTION):
+        for portion in portions(_only(batches, id_col, text_col, "answers"), text_col, PORTION):
             for part in (portion[k : k + 60_000] for k in range(0, len(portion), 60_000)):
-                words = Words([utf8(r["text"]) for r in part])
+                words = Words([utf8(r[text_col]) for r in part])
                 small, whole = words.windows(block, 1)
                 answers = _answer(small & _LOW, np.zeros(1, np.uint64))
                 hit = np.zeros(len(words.owner) + 1, np.int64)
@@ -216,7 +223,7 @@ def _extended(buckets: int, window: int):
                 h, check, whole = _window_hashes(words, window)
                 at = np.arange(len(h))
                 whole &= hits[at + block] > hits[at]
-                ids = np.array([r["doc_id"] for r in part], np.int64)
+                ids = np.array([r[id_col] for r in part], np.int64)
                 yield from _send(ids, words.owner[: len(h)][whole], h[whole], check[whole], np.ones(whole.sum(), bool), buckets)
 
     return lambda batches: _arrow(rows(batches))
@@ -264,13 +271,16 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     if window % 2 == 0:
         raise ValueError("an odd window holds a block of half its words at any offset")
     docs = docs.drop("n_words", "n_removed", "_doc", "answers")
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    named = docs.filter(F.col(id_col).isNotNull())
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
-    hits = _exchanged(slim.mapInArrow(_block_hashes(buckets, window), _SCHEMA), buckets, both=True)
-    near = docs.join(hits, F.col(id_col) == F.col("_doc")).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), "answers")
-    repeats = _exchanged(near.mapInArrow(_extended(buckets, window), _SCHEMA), buckets, both=False)
-    told = docs.join(repeats, F.col(id_col) == F.col("_doc"), "left")
+    sent = named.select(id_col, text_col).mapInArrow(_block_hashes(buckets, window, id_col, text_col), _SCHEMA)
+    hits = _exchanged(sent, buckets, both=True)
+    # The texts are dealt out by id once: both joins read the same columns of the same rows.
+    near = named.join(hits, F.col(id_col) == F.col("_doc"))
+    repeats = _exchanged(near.mapInArrow(_extended(buckets, window, id_col, text_col), _SCHEMA), buckets, both=False)
+    told = named.join(repeats, F.col(id_col) == F.col("_doc"), "left")
+    told = told.unionByName(docs.filter(F.col(id_col).isNull()), allowMissingColumns=True)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col]
     schema = ", ".join([*fields, f"`{text_col}` string", "n_words long", "n_removed long"])
     cut = told.mapInArrow(_cut(window, text_col), schema)
