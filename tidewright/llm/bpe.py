@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from tidewright.llm.text import portions
 from tidewright.session import settled_rows
 
-PORTION = 12 << 20  # characters whose words are shuffled together
+PORTION = 8 << 20  # characters whose words are shuffled together
+REMEMBERED = 1 << 17  # pieces of text kept with their words
 BUCKET = 16 << 20  # characters of the corpus per bucket of words
 
 
@@ -128,7 +129,7 @@ def _cut(pattern: str, buckets: int):
             pieces, places = _Pieces(cut), []
             for row in rows:
                 places.append(np.fromiter(pre_tokens(row["text"] or "", pieces), np.uint32))
-                if len(pieces) > 1 << 19:
+                if len(pieces) > REMEMBERED:
                     pieces.clear()
             at = np.concatenate(places)
             # Frequent words get small numbers, which pack well.
@@ -159,7 +160,8 @@ def _cut(pattern: str, buckets: int):
 
 def _words_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.select(["portion", "words"]).to_pylist():
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).select(["portion", "words"]).to_pylist()[0]
             lists = row["words"]
             yield pa.RecordBatch.from_pydict(
                 {
@@ -212,7 +214,8 @@ def _joined(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
 
 def _assembled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.select(["ids", "sizes", "places", "encoded"]).to_pylist():
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).select(["ids", "sizes", "places", "encoded"]).to_pylist()[0]
             numbers, sizes, ids = [], [], []
             for part in row["encoded"] or ():
                 numbers.append(np.cumsum(_unpress(part["numbers"]), dtype=np.int64))
