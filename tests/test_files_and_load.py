@@ -38,8 +38,9 @@ def test_csv_file_load(spark, tmp_path):
     lines += ['x,2024-02-30,,"nan"', ',,"two', 'lines",']
     path.write_text("\n".join(lines) + "\n")
     assert csv_load.table_name(str(path)) == "people"
-    strings = csv_load.read_strings(spark, str(path))
-    types = csv_load.type_map(csv_load.infer_types(strings))
+    strings = csv_load.read_strings(spark, str(path), multi_line=True)
+    assert csv_load.type_map(csv_load.infer_types(strings))["id"] == "VARCHAR(255)"
+    types = csv_load.type_map(csv_load.infer_types(strings, sample=100))
     assert types == {"id": "BIGINT", "day": "DATE", "note": "VARCHAR(255)", "price": "DECIMAL(36,6)"}
     loaded = csv_load.load_typed(strings, types)
     assert loaded.count() == 102
@@ -47,6 +48,7 @@ def test_csv_file_load(spark, tmp_path):
     assert (first.day, first.note, float(first.price), first._corrupt) == (dt.date(2024, 1, 4), 'say "3", ok', 3.5, False)
     bad = loaded.filter("_corrupt").collect()
     assert [(r.id, r.day, r.note, r.price) for r in bad] == [(None, None, "", None)]
+    assert bad[0]["_misfits"]["id"] == "x" and bad[0]["_misfits"]["day"] == "2024-02-30"
     blank = loaded.filter("id is null and not _corrupt").first()
     assert (blank.day, blank.note, blank.price) == (None, "two\nlines", None)
     with pytest.raises(Exception, match="does not fit"):
@@ -70,7 +72,8 @@ def test_export_reports_empty_and_stops_at_a_failure(spark, tmp_path):
                       ("bad", "select nope from {t}"), ("late", "select 1")],
                 "x": [("one", "select 1 as a")]}, str(tmp_path), t=t,
     )
-    assert rows(report) == [("w", "all", "done", 2), ("w", "bad", "failed", 0), ("w", "none", "empty", 0), ("x", "one", "done", 1)]
+    assert "nope" in report.filter("status = 'failed'").first().message
+    assert rows(report.drop("message")) == [("w", "all", "done", 2), ("w", "bad", "failed", 0), ("w", "none", "empty", 0), ("x", "one", "done", 1)]
     assert spark.read.parquet(str(tmp_path / "w" / "all")).count() == 2
     assert not (tmp_path / "w" / "late").exists()
 
@@ -85,7 +88,9 @@ def test_snapshot_lists_are_bounded_and_ordered(spark):
     assert {(r.table_schema, r.list_no): r.n_tables for r in got} == {("big", 1): 100, ("big", 2): 100, ("big", 3): 12, ("small", 1): 9}
     names = [n for r in sorted((r for r in got if r.table_schema == "big"), key=lambda r: r.list_no) for n in r.tables.split(", ")]
     assert names == [f"`t{i}`" for i in range(5, 240) if i % 10]
-    assert {r.label for r in got} == {"big_20240101000000_backup", "small_20240101000000_backup"}
+    assert {r.label for r in got} == {"big_20240101000000_backup", "big_20240101000000_backup_2", "big_20240101000000_backup_3", "small_20240101000000_backup"}
+    listed = spark.createDataFrame([(i, r.label, "OK") for i, r in enumerate(got)] + [(90, "big_20230101000000_backup_4", "OK")], "n int, snapshot string, status string")
+    assert {r.snapshot for r in sn.latest_snapshots(listed, "n").collect()} == {r.label for r in got}
 
 
 def test_latest_snapshot(spark):
@@ -168,6 +173,17 @@ def test_generations_and_completeness(spark):
     assert rows(rt.completeness(expected, files, F.lit("2024-01-02").cast("date"))) == [("p", 1, "ok"), ("q", 0, "error")]
 
 
+def test_files_by_pattern(spark):
+    day = F.lit("2024-01-02").cast("date")
+    listed = ["/b/db_level0_20240102_1.bak", "/b/db_level0_20240103_1.bak", "/b/db+level0_20240102_1.bak", "/b/arch_20240102.bak", "/b/x/arch_20240102.bakk"]
+    files = spark.createDataFrame([(p, dt.datetime(2024, 1, 2, 5)) for p in listed], FILE)
+    patterns = ["db_level0_<day>_*.bak", "arch_<day>.ba?", "none_*"]
+    matched = rt.by_pattern(files, patterns, day)
+    assert rows(matched, "path", "pattern") == [(listed[3], patterns[1]), (listed[0], patterns[0])]
+    expected = spark.createDataFrame([(p,) for p in patterns], "pattern string")
+    assert rows(rt.completeness(expected, matched, day)) == [(patterns[1], 1, "ok"), (patterns[0], 1, "ok"), ("none_*", 0, "error")]
+
+
 def test_file_inventory_reads_no_content(spark, tmp_path):
     (tmp_path / "d" / "e").mkdir(parents=True)
     (tmp_path / "d" / "a").write_text("abc")

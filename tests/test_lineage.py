@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,15 +38,19 @@ def parsed(spark, sql):
         ("insert into t select d.u.x from d.u join d.v on 1 = 1", "t", [("d.u", "x", "x")]),
         ("insert overwrite table t select distinct x from s group by x, y order by x, z", "t", [("s", "x", "x")]),
         ("insert into t select a.x from s a, r as b", "t", [("s", "x", "x")]),
-        ("insert into t select x from s, r", "t", []),
         ("insert into t select * from s a join r b on a.i = b.i", "t", [("s", "*", "*"), ("r", "*", "*")]),
         ("insert into t select b.* from s a join r b on a.i = b.i", "t", [("r", "*", "*")]),
         ("insert into t select f(g(a, b), c) as m, x, 1 as one, 'a, from b' as l, a.x + a.y as z, null as n from s a", "t",
-         [("s", "x", "x")]),
+         [("s", "a", "m"), ("s", "b", "m"), ("s", "c", "m"), ("s", "x", "x"), ("s", "x", "z"), ("s", "y", "z")]),
+        ("insert into dw.t (a,b) select max(x.v) as mx, coalesce(x.w,0) as w from ods.s x", "dw.t",
+         [("ods.s", "v", "a"), ("ods.s", "w", "b")]),
+        ("insert into t select " + "f(" * 8 + "x, '('" + ")" * 8 + " y from s", "t", [("s", "x", "y")]),
+        ("insert into t select extract(year from s.d) as y, case when s.k in ('a', 'b') then s.v end as v from s", "t",
+         [("s", "d", "y"), ("s", "k", "v"), ("s", "v", "v")]),
+        ("insert into t select max(x), y from s", "t", [("s", "y", "y")]),
         ("insert into t select x -- , y from nowhere\nfrom s where n = '(select'", "t", [("s", "x", "x")]),
         ("insert into t select x from s where n = '-- not a comment' and m in (1, 2);\n", "t", [("s", "x", "x")]),
         ("insert into 表 select 列 from 源", "表", [("源", "列", "列")]),
-        ("insert into t select cast(x as int) as y, z from s left join r using (i)", "t", []),
     ],
 )
 def test_statements_that_are_read(spark, sql, target, pairs):
@@ -56,19 +62,28 @@ def test_statements_that_are_read(spark, sql, target, pairs):
     [
         ("insert into t select a from (select b from s) x", "subquery"),
         ("insert into t select a from s where i in ( select i from r)", "subquery"),
-        ("insert into t select a from s union all select a from r", "set operation"),
         ("with x as (select 1) insert into t select a from x", "subquery"),
         ("update t set a = 1", "not insert select"),
         ("insert into t values (1)", "not insert select"),
         ("insert into t select 1", "no source"),
         ("insert into t (a, b) select x from s", "column count differs"),
-        ("insert into t select " + "f(" * 8 + "x" + ")" * 8 + " from s", "nesting"),
+        ("insert into t select f((x) as y from s", "unbalanced"),
+        ("insert into t select x from s, r", "no source column"),
+        ("insert into t select cast(x as int) as y, z from s left join r using (i)", "no source column"),
+        ("insert into t select count(*) as n from s", "no source column"),
     ],
 )
 def test_statements_that_are_reported(spark, sql, reason):
     assert parsed(spark, sql)[2] == reason
 
 
+def test_arms_of_a_set_operation(spark):
+    sql = "insert into t select a, f(b) as c from s union all select x, y from r except distinct select count(*), z from q"
+    df = spark.createDataFrame([(sql,)], "sql string")
+    got = [[tuple(p) for p in r.pairs] for r in ln.parse_insert_select(df, "sql").collect()]
+    assert got == [[("s", "a", "a"), ("s", "b", "c")], [("r", "x", "a"), ("r", "y", "c")], [("q", "z", "c")]]
+
+
 def test_classifier_stops_at_the_line(spark):
     df = spark.createDataFrame([("insert into t select 1",), ("INSERT  into t (a)\nselect 1",), ("insert into\nt\nselect 1",)], "s string")
     assert [r[0] for r in df.select(ln.is_insert_select(F.col("s"))).collect()] == [True, True, False]
@@ -116,26 +131,22 @@ def test_sql_edges_name_service_and_database(spark, names):
 URLS = ["jdbc:mysql://h1:3306/x", "jdbc:mysql://h1:9/x", "zzz", None, "", "db9h1", "kafka"]
 
 
-@pytest.mark.parametrize("limit", [256, 0])
-def test_url_lookup_inline_and_joined(spark, patterns, limit):
-    names = ln.services(patterns, "uat", inline_limit=limit)
-    assert (names.listed is None) == (limit == 0)
+@pytest.mark.parametrize("extra", [[], [(None, None, "n"), (9, None, "n"), (2, "h1:", "tie"), (10, "", "empty")]])
+def test_url_lookup(spark, patterns, extra):
+    """Equal ids go by pattern text, NULL patterns match nothing."""
+    names = ln.services(patterns.union(spark.createDataFrame(extra, patterns.schema)).filter("url_pattern IS NULL OR url_pattern <> ''"), "uat")
     urls = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "i int, url string")
     got = [r.s for r in ln.with_service(urls, {"url": "s"}, names).orderBy("i").collect()]
     assert got == ["svc-a", '"svc.b"', "uat", "uat", "uat", '"svc.b"', "bus"]
 
 
-def test_both_lookups_agree_on_all_pages(spark, sf_dir):
+def test_lookup_equals_a_scan_of_all_patterns(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    parts = pages.select(F.explode(F.split("url", r"[/?#=&.]")).alias("url_pattern")).filter("url_pattern <> ''")
-    listed = parts.groupBy("url_pattern").agg(F.count("*").alias("n"))
-    pats = listed.select(
-        F.row_number().over(__import__("pyspark").sql.Window.orderBy("url_pattern")).alias("id"), "url_pattern",
-        F.concat(F.lit("s-"), "url_pattern").alias("service_name"),
-    )
-    inline = ln.with_service(pages, {"url": "s"}, ln.services(pats, "none", inline_limit=10**6))
-    joined = ln.with_service(pages, {"url": "s"}, ln.services(pats, "none", inline_limit=1))
-    assert rows(inline) == rows(joined)
+    parts = sorted({p for r in pages.collect() for p in re.split("[/?#=&.]", r.url) if p})
+    pats = spark.createDataFrame([(i, p, f"s-{p}") for i, p in enumerate(parts)], "id int, url_pattern string, service_name string")
+    got = ln.with_service(pages, {"url": "s"}, ln.services(pats, "none"))
+    want = [(r.page_id, r.url, next(f"s-{p}" for p in parts if p in r.url)) for r in pages.collect()]
+    assert rows(got) == sorted(want, key=repr)
 
 
 def copy_job(items, columns, table="src.t"):
@@ -147,6 +158,16 @@ def copy_job(items, columns, table="src.t"):
     }]}})
 
 
+def test_copy_jobs_without_edges_have_a_reason(spark, names):
+    deep = "f(" * 8 + "concat(x, '(')" + ")" * 8 + " as d"
+    jobs = [("1", copy_job(f"a, {deep}", ["x", "y"])), ("2", copy_job("a, b", ["x"])), ("3", copy_job("a", ["x"], "bare")),
+            ("4", copy_job(deep, ["x"])), ("5", "not json"), ("6", copy_job("'a, (b', c", ["x", "y"]))]
+    df = spark.createDataFrame([(i, j, "d") for i, j in jobs], "source_id string, json string, description string")
+    assert rows(ln.copy_unparsed(df)) == [
+        ("2", "column count differs"), ("3", "no qualified table"), ("4", "no bare column"), ("5", "not a query copy")]
+    assert rows(ln.copy_edges(df, names), "source_id", "from_col", "to_col") == [("1", "a", "x"), ("6", "'a, (b'", "x"), ("6", "c", "y")]
+
+
 def test_copy_edges_pair_by_position(spark, names):
     many = ", ".join(f"`c{i}`" for i in range(41)) + ",\n now() as etl_time"
     jobs = [

@@ -140,11 +140,25 @@ def test_sequence_steps(spark):
 
 def test_job_log_rows(spark):
     df = spark.createDataFrame(
-        [(1, "p", "1", "fine"), (2, "p", "1", "x" * 1001), (3, None, "1", "y")],
-        "log_id bigint, proc_name string, proc_status string, proc_desc string",
-    ).withColumns({"starttime": F.lit(None).cast("timestamp_ntz"), "endtime": F.lit(None).cast("timestamp_ntz")})
-    got = rows(mt.job_log_rows(df), "log_id", "proc_name", "proc_status", "proc_desc")
-    assert got == [(1, "p", "1", "fine"), (2, "proc_job_log", "0", "proc_desc too long: 1001"), (3, "proc_job_log", "0", "proc_name is null")]
+        [(1, "p", "1", "x" * 4000, 1), (2, "p", "1", "x" * 4001, 1), (3, None, "1", "y", 1), (4, "p" * 81, "1", "y", 1),
+         (5, "p", "1" * 11, "y", 1), (6, "p", "1", "y", None), (7, "p", "1", None, 1)],
+        "log_id bigint, proc_name string, proc_status string, proc_desc string, s int",
+    ).withColumns({"starttime": F.when(F.col("s") == 1, ts("2024-01-01 00:00:00")), "endtime": ts("2024-01-02 00:00:00")})
+    got = {r.log_id: r for r in mt.job_log_rows(df, ts("2024-02-01 00:00:00")).collect()}
+    assert {i for i, r in got.items() if r.proc_status == "1"} == {1, 7}
+    assert {i: r.proc_desc for i, r in got.items() if r.proc_status == "0"} == {
+        2: "proc_desc too long: 4001", 3: "proc_name is null", 4: "proc_name too long: 81", 5: "proc_status too long: 11", 6: "starttime is null"}
+    assert {r.starttime.month for i, r in got.items() if r.proc_status == "0"} == {2}
+
+
+def test_controls_of_one_name_advance_as_rows(spark):
+    rows_ = control(spark, "M").union(control(spark, "M"))
+    assert mt.advance_controls(rows_, ts("2024-01-15 00:00:00")).count() == 2
+
+
+def test_property_names_with_a_dot(spark):
+    t = spark.createDataFrame([("d", "t", "OLAP", "", '{"a.b": "3"}', "x")], "TABLE_SCHEMA string, TABLE_NAME string, TABLE_ENGINE string, PARTITION_KEY string, PROPERTIES string, create_statement string")
+    assert mt.property_changes(t, "a.b").count() == 1
 
 
 def test_replace_batch_leaves_other_batches(spark, tmp_path):

@@ -22,13 +22,12 @@ def rates(spark, *samples, **kw):
     return [(r.rate, r.reset) for r in mon.counter_rates(df, **kw).orderBy("ts").collect()]
 
 
-@pytest.mark.parametrize("hot_rows", [10**7, 0])
-def test_rates(spark, hot_rows):
-    assert rates(spark, ("Queries", 1000, 100), ("Queries", 1600, 160), hot_rows=hot_rows) == [(10, False)]
-    assert rates(spark, ("Queries", 1000, 100), ("Queries", 1600, 100), hot_rows=hot_rows) == [(600, False)]
-    assert rates(spark, ("Queries", 1000, 100), hot_rows=hot_rows) == []
-    assert rates(spark, ("bytes_sent", 0, 0), ("bytes_sent", 122880, 60), hot_rows=hot_rows) == [(2, False)]
-    assert rates(spark, ("q", 500, 0), ("q", 100, 10), hot_rows=hot_rows) == [(-40, True)]
+def test_rates(spark):
+    assert rates(spark, ("Queries", 1000, 100), ("Queries", 1600, 160)) == [(10, False)]
+    assert rates(spark, ("Queries", 1000, 100), ("Queries", 1600, 100)) == [(600, False)]
+    assert rates(spark, ("Queries", 1000, 100)) == []
+    assert rates(spark, ("bytes_sent", 0, 0), ("bytes_sent", 122880, 60)) == [(2, False)]
+    assert rates(spark, ("q", 500, 0), ("q", 100, 10)) == [(-40, True)]
 
 
 def test_half_even_and_ratios(spark):
@@ -81,6 +80,9 @@ def test_gauges_are_zero_without_rows_and_max_with(spark):
     assert (got["a"].conn_active_sec, got["a"].trans_active, got["a"].trans_active_sec) == (9, 1, 9)
     assert (got["a"].trans_uncommited, got["a"].lock_flush_sec) == (0, 0)
     assert (got["b"].conn_active_sec, got["b"].trans_uncommited, got["b"].trans_uncommited_sec) == (0, 5, 50)
+    lost = trx.union(spark.createDataFrame([("RUNNING", 77), ("RUNNING", 77)], trx.schema))
+    alone = {r.instance: r for r in mon.session_gauges(processes, lost).collect()}[None]
+    assert (alone.trans_active, alone.conn_cur, alone.conn_active_sec, alone.lock_flush_sec) == (2, 0, 0, 0)
     long = mon.long_form(mon.session_gauges(processes, trx), ts("2024-01-01 00:00:00"))
     assert long.count() == 2 * 10
     assert (got["a"].conn_cur, got["a"].conn_max, got["a"].conn_ratio) == (3, 2000, 0)
@@ -115,11 +117,10 @@ def test_probe_codes(spark):
     assert got == [1, 4, 4, 2, 3, 4, 5, 6]
 
 
-@pytest.mark.parametrize("hot_rows", [10**7, 0])
-def test_health_notices(spark, hot_rows):
+def test_health_notices(spark):
     states = [True, True, False, False, True, True, False]
     df = spark.createDataFrame([("a", t(i), s) for i, s in enumerate(states)], "instance string, ts timestamp_ntz, healthy boolean")
-    got = [(r.ts.minute, r.notice) for r in mon.health_notices(df, hot_rows).orderBy("ts").collect()]
+    got = [(r.ts.minute, r.notice) for r in mon.health_notices(df).orderBy("ts").collect()]
     assert got == [(0, "healthy"), (2, "error"), (3, "error"), (4, "healthy"), (6, "error")]
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
+from tidewright.functions import ordered
 from tidewright.functions.ordered import latest_per_key, numbered, with_previous
 
 
@@ -18,10 +19,12 @@ def skewed(spark):
     ).repartition(7)
 
 
-@pytest.mark.parametrize("hot_rows,width", [(10, 64), (100, 1000), (10**9, 64), (0, 1)])
-def test_with_previous_equals_lag(skewed, hot_rows, width):
+@pytest.mark.parametrize("group", [2, 1024])
+@pytest.mark.parametrize("width", [1, 64, 1000])
+def test_with_previous_equals_lag(skewed, width, group, monkeypatch):
+    monkeypatch.setattr(ordered, "GROUP", group)
     got = with_previous(
-        skewed, ["k"], ["pos"], {"pv": "v", "pp": "pos"}, F.floor(F.col("pos") / width), hot_rows
+        skewed, ["k"], ["pos"], {"pv": "v", "pp": "pos"}, F.floor(F.col("pos") / width)
     )
     w = Window.partitionBy("k").orderBy("pos")
     want = skewed.withColumn("pv", F.lag("v").over(w)).withColumn("pp", F.lag("pos").over(w))
@@ -31,7 +34,8 @@ def test_with_previous_equals_lag(skewed, hot_rows, width):
 
 @pytest.mark.parametrize("width", [1, 64, 10**6])
 @pytest.mark.parametrize("descending", [False, True])
-def test_numbered_equals_row_number(skewed, width, descending):
+def test_numbered_equals_row_number(skewed, width, descending, monkeypatch):
+    monkeypatch.setattr(ordered, "GROUP", 8)
     seg = F.floor(F.col("pos") / width)
     got = numbered(skewed, ["k"], ["pos"], seg, "rn", descending, total="n")
     order = F.col("pos").desc() if descending else F.col("pos").asc()
@@ -55,10 +59,17 @@ def test_latest_per_key(skewed):
     assert rows(got, "k", "pos", "v") == rows(want, "k", "pos", "v")
 
 
-def test_without_hot_keys_the_carry_side_drops_out(spark):
-    flat = spark.range(3000).select((F.col("id") % 9).alias("k"), F.col("id").alias("pos"))
-    df = with_previous(flat, ["k"], ["pos"], {"pp": "pos"}, F.floor(F.col("pos") / 64))
-    df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    final, initial = plan.split("== Initial Plan ==")
-    assert "max_by" in initial and "max_by" not in final
+def test_null_keys_and_segments_stay(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", None), ("a", 5), ("a", 900)], "k string, pos int")
+    got = numbered(df, ["k"], ["pos"], F.floor(F.col("pos") / 4), "rn", total="n")
+    want = [(None, 1, 1, 2), (None, 2, 2, 2), ("a", None, 1, 3), ("a", 5, 2, 3), ("a", 900, 3, 3)]
+    assert rows(got, "k", "pos", "rn", "n") == sorted(want, key=repr)
+    before = with_previous(df, ["k"], ["pos"], {"p": "pos"}, F.floor(F.col("pos") / 4))
+    assert rows(before, "k", "pos", "p") == sorted([(None, 1, None), (None, 2, 1), ("a", None, None), ("a", 5, None), ("a", 900, 5)], key=repr)
+
+
+def test_no_single_task_over_segments(spark):
+    """Without keys only the rows of groups, one for GROUP segments, meet in one task."""
+    flat = spark.range(3000).select(F.col("id").alias("pos"))
+    plan = numbered(flat, [], ["pos"], F.floor(F.col("pos") / 2), "rn")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SinglePartition") == 1

@@ -1,4 +1,5 @@
 import datetime as dt
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,8 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from tidewright.operators.monitoring import counter_rates
 from tidewright.streaming.rates import rates_available
+from tidewright.sources.change_feed import stream_feed
+from tidewright.streaming.tail import undo_available, undo_slice
 from tidewright.streaming.upsert import compact, current_rows, start_upsert, upsert_available
 
 CHANGE = "id int, op string, log_pos bigint, v string"
@@ -31,10 +34,28 @@ def test_upsert_over_batches_resumes_and_keeps_late_changes_out(spark, tmp_path)
     ingest(spark, base)
     assert rows(current_rows(spark, f"{base}/t", KEYS, ORDER), "id", "v") == [(1, "223")]
     assert len(list((tmp_path / "t").glob("batch_id=*"))) == 3
-    compact(spark, f"{base}/t", f"{base}/c", KEYS, ORDER)
-    add(spark, f"{base}/in2", (2, "update", 3, "older than the delete"))
-    spark.read.parquet(f"{base}/in2").write.parquet(f"{base}/c/batch_id=9")
-    assert rows(current_rows(spark, f"{base}/c", KEYS, ORDER), "id", "v") == [(1, "223")]
+    compact(spark, f"{base}/t", KEYS, ORDER)
+    assert [p.name for p in (tmp_path / "t").glob("batch_id=*")] == ["batch_id=-1"]
+    add(spark, f"{base}/in", (2, "update", 3, "older than the delete"), (3, "insert", 9, "new"))
+    ingest(spark, base)
+    compact(spark, f"{base}/t", KEYS, ORDER)
+    assert [p.name for p in (tmp_path / "t").glob("batch_id=*")] == ["batch_id=-2"]
+    assert rows(current_rows(spark, f"{base}/t", KEYS, ORDER), "id", "v") == [(1, "223"), (3, "new")]
+
+
+def test_a_later_slice_has_what_an_earlier_run_read(spark, tmp_path):
+    base = str(tmp_path)
+    day = 86_400
+    feed = spark.range(10).select(
+        F.lit("d").alias("db"), F.lit("t").alias("tbl"), F.lit("insert").alias("op"),
+        (F.lit(1_704_067_200) + F.col("id") * day).alias("event_time"), F.lit("bin.1").alias("log_file"), F.col("id").alias("log_pos"),
+        F.lit(None).cast("string").alias("gtid"), F.lit(None).cast("map<string,string>").alias("before"),
+        F.create_map(F.lit("id"), F.col("id").cast("string")).alias("after"), F.create_map(F.lit("id"), F.lit("int")).alias("types"),
+    )
+    feed.coalesce(1).write.parquet(f"{base}/feed")
+    for end, n in (("2024-01-04 00:00:00", 4), ("2024-01-08 00:00:00", 8)):
+        undo_available(stream_feed(spark, f"{base}/feed"), f"{base}/undo", f"{base}/cp")
+        assert undo_slice(spark, f"{base}/undo", end=end).count() == n
 
 
 def test_upsert_replay_of_a_batch_changes_nothing(spark, tmp_path):
@@ -85,17 +106,14 @@ def test_rates_over_batches_equal_the_batch_rates(spark, tmp_path):
     ]
 
 
-def test_scratch_path_needs_a_shared_folder_on_a_cluster(spark):
+def test_scratch_path_is_on_shared_storage(spark):
     from tidewright.session import scratch_path
 
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
 
-    class Remote:
-        class conf:
-            get = staticmethod(lambda key, default=None: default)
-
-        class sparkContext:
-            master = "spark://host:7077"
+    def cluster(**settings):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: settings.get(key.split(".")[1], default)))
 
-    with pytest.raises(ValueError):
-        scratch_path(Remote, "x")
+    both = cluster(checkpoint="hdfs://shared/checkpoints/", sql="hdfs://shared/warehouse")
+    assert scratch_path(both, "x").startswith("hdfs://shared/checkpoints/x-")
+    assert scratch_path(cluster(sql="hdfs://shared/warehouse"), "x").startswith("hdfs://shared/warehouse/_scratch/x-")

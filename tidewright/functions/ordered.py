@@ -1,67 +1,65 @@
 """Ordered computations that stay parallel when one key holds most of the rows.
 
-A plain ``Window.partitionBy(key)`` sends every row of a key to one task. The
-helpers here cut a key into *segments*: a segment is any coarse, order-preserving
-value (a log file, a day, ``id div width``) that bounds how many rows share it.
-Work happens inside (key, segment); one summary row per segment carries the
-result over the cut. Keys are expected to be non-NULL.
+A plain ``Window.partitionBy(key)`` sends every row of a key to one task. The helpers here cut
+every key into *segments*: a segment is any whole number that follows the order and bounds how many
+rows share it (a log file's number, a day, ``id div width``). Work happens inside (key, segment). One
+summary row per segment carries the result over the cuts, and those rows are themselves gathered
+in groups of ``GROUP`` segments, so neither a hot key's rows nor its segments meet in one task. NULL is
+a key and a segment like others; it comes first.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key above this many rows is cut. At most total_rows / HOT_ROWS keys can pass,
-# which is what bounds the broadcast list in ``with_previous``.
-HOT_ROWS = 10_000_000
-
 # Rows per segment where the segment is cut from a dense numeric position.
 SEGMENT_ROWS = 65_536
 
+# Segments gathered under one summary row.
+GROUP = 1024
+
+
+def _same(left: DataFrame, right: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
+    """A join on columns where NULL equals NULL; the left side's columns stay."""
+    renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in columns else F.col(c) for c in right.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in columns]
+    joined = left.join(renamed, reduce(lambda a, b: a & b, same), how)
+    return joined.drop(*[f"_r_{c}" for c in columns])
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The keys with more than ``hot_rows`` rows."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    return counts.filter(F.col("_rows") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
+
+def _grouped(segments: DataFrame) -> DataFrame:
+    return segments.withColumn("_group", F.floor(F.col("_segment") / GROUP))
 
 
 def with_previous(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    values: dict[str, str],
-    segment: Column,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: list[str], order: list[str], values: dict[str, str], segment: Column
 ) -> DataFrame:
     """``lag`` of several columns: ``values`` maps a new column to its source column.
 
-    Cold keys take one window over the key. Hot keys are windowed per segment and
-    the first row of a segment reads the last row of the segment before it. The
-    carry join uses the window's own partitioning, so rows shuffle only once. Without
-    hot keys the list is empty and adaptive execution drops the whole carry side.
+    Each key is windowed per segment, and the first row of a segment reads the last row of the
+    segment before it, if need be of the group of segments before.
     """
-    hot = F.broadcast(hot_keys(df, keys, hot_rows))
-    marked = (
-        df.join(hot, keys, "left").withColumn("_segment", F.when(F.col("_hot"), segment)).drop("_hot")
-    )
     image = F.struct(*[F.col(src).alias(new) for new, src in values.items()])
+    cut = df.withColumn("_segment", segment.cast("long"))
     inside = Window.partitionBy(*keys, "_segment").orderBy(*order)
-    carried = (
-        df.join(hot, keys)
-        .withColumn("_segment", segment)
-        .groupBy(*keys, "_segment")
-        .agg(F.max_by(image, F.struct(*order)).alias("_last"))
-        .withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_segment")))
-        .drop("_last")
-    )
-    joined = marked.withColumn("_before", F.lag(image).over(inside)).join(
-        carried, [*keys, "_segment"], "left"
+    place = F.struct("_segment", *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    last = _grouped(
+        cut.groupBy(*keys, "_segment").agg(F.max_by(image, place).alias("_last"))
     )
-    before = F.coalesce("_before", "_carry")
-    return joined.withColumns({new: before[new] for new in values}).drop(
-        "_before", "_carry", "_segment"
+    near = last.withColumn("_near", F.lag("_last").over(Window.partitionBy(*keys, "_group").orderBy("_segment")))
+    far = last.groupBy(*keys, "_group").agg(F.max_by("_last", F.struct("_segment")).alias("_top"))
+    far = far.withColumn("_far", F.lag("_top").over(Window.partitionBy(*keys).orderBy("_group"))).drop("_top")
+    carried = _same(near, far, [*keys, "_group"]).select(
+        *keys, "_segment", F.coalesce("_near", "_far").alias("_carry")
     )
+    first = F.row_number().over(inside) == 1
+    seen = cut.withColumn("_before", F.lag(image).over(inside)).withColumn("_first", first)
+    joined = _same(seen, carried, [*keys, "_segment"])
+    before = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_before"))
+    return joined.withColumns({new: before[new] for new in values}).drop("_before", "_first", "_carry", "_segment")
 
 
 def numbered(
@@ -75,30 +73,30 @@ def numbered(
 ) -> DataFrame:
     """``row_number`` per key (or over everything with no keys) without one-task keys.
 
-    Rows are numbered inside their segment; a running sum over the per-segment
-    counts gives each segment its offset. ``total`` names an optional row count.
+    Rows are numbered inside their segment; running sums over the counts of segments within
+    their group, and over those of groups, give each segment its offset. ``total`` names an
+    optional row count of the key.
     """
 
     def direction(col: str) -> Column:
         return F.col(col).desc() if descending else F.col(col).asc()
 
-    cut = df.withColumn("_segment", segment)
-    per_key = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    up_to = per_key.orderBy(direction("_segment")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        cut.groupBy(*keys, "_segment")
-        .agg(F.count("*").alias("_rows"))
-        .withColumn("_offset", F.coalesce(F.sum("_rows").over(up_to), F.lit(0)))
-    )
+    def before(per: list[str], by: str):
+        window = Window.partitionBy(*per).orderBy(direction(by))
+        return window.rowsBetween(Window.unboundedPreceding, -1)
+
+    cut = df.withColumn("_segment", segment.cast("long"))
+    counts = _grouped(cut.groupBy(*keys, "_segment").agg(F.count("*").alias("_rows")))
+    near = counts.withColumn("_near", F.coalesce(F.sum("_rows").over(before([*keys, "_group"], "_segment")), F.lit(0)))
+    far = counts.groupBy(*keys, "_group").agg(F.sum("_rows").alias("_rows"))
+    far = far.withColumn("_far", F.coalesce(F.sum("_rows").over(before(keys, "_group")), F.lit(0)))
     if total:
-        offsets = offsets.withColumn(total, F.sum("_rows").over(per_key))
+        far = far.withColumn(total, F.sum("_rows").over(Window.partitionBy(*keys)))
+    offsets = _same(near.drop("_rows"), far.drop("_rows"), [*keys, "_group"])
+    offsets = offsets.withColumn("_offset", F.col("_near") + F.col("_far")).drop("_near", "_far", "_group")
     inside = Window.partitionBy(*keys, "_segment").orderBy(*[direction(c) for c in order])
-    return (
-        cut.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets.drop("_rows"), [*keys, "_segment"])
-        .withColumn(name, F.col("_inside") + F.col("_offset"))
-        .drop("_inside", "_offset", "_segment")
-    )
+    placed = _same(cut.withColumn("_inside", F.row_number().over(inside)), offsets, [*keys, "_segment"])
+    return placed.withColumn(name, F.col("_inside") + F.col("_offset")).drop("_inside", "_offset", "_segment")
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from tidewright.functions.text import LONGEST_CLOCK
+
 SPLIT = """
 CREATE OR REPLACE TEMPORARY FUNCTION f_str_split(p_str STRING, p_delimiter STRING)
 RETURNS TABLE (piece_no INT, piece STRING)
@@ -17,15 +19,14 @@ RETURN SELECT pos + 1, nullif(col, '') FROM LATERAL posexplode(
 """
 
 # The wording of the estimate.
-ROLLBACK_TIME = """
+ROLLBACK_TIME = f"""
 CREATE OR REPLACE TEMPORARY FUNCTION f_rollback_time(rows_before BIGINT, rows_after BIGINT, seconds BIGINT)
 RETURNS STRING
-RETURN CASE WHEN rows_before > rows_after THEN concat('回滚估计时间 : ',
-  format_string('%02d:%02d:%02d',
-    least(cast(round(cast(rows_after * seconds AS DECIMAL(28,0)) / (rows_before - rows_after)) AS BIGINT), 3020399) div 3600,
-    least(cast(round(cast(rows_after * seconds AS DECIMAL(28,0)) / (rows_before - rows_after)) AS BIGINT), 3020399) % 3600 div 60,
-    least(cast(round(cast(rows_after * seconds AS DECIMAL(28,0)) / (rows_before - rows_after)) AS BIGINT), 3020399) % 60),
-  ' 待回滚行数 ', rows_after) END
+RETURN CASE WHEN rows_before > rows_after THEN (
+  SELECT concat('回滚估计时间 : ', format_string('%02d:%02d:%02d', held div 3600, held % 3600 div 60, held % 60),
+    ' 待回滚行数 ', rows_after)
+  FROM (SELECT least(cast(round(cast(rows_after * seconds AS DECIMAL(28,0)) / (rows_before - rows_after)) AS BIGINT),
+    {LONGEST_CLOCK}) AS held)) END
 """
 
 

@@ -42,17 +42,27 @@ def clock_in_zone(epoch: Column, zone: str) -> Column:
     return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), utc), "yyyy-MM-dd HH:mm:ss")
 
 
+# Fixed value: the longest time a TIME value holds, 838:59:59.
+LONGEST_CLOCK = 838 * 3600 + 59 * 60 + 59
+
+
 def clock_text(seconds: Column) -> Column:
-    """Seconds as ``HH:MM:SS``, held to the range of a TIME value (fixed value 838:59:59)."""
-    held = F.least(F.abs(seconds), F.lit(838 * 3600 + 59 * 60 + 59))
+    """Seconds as ``HH:MM:SS``, held to the range of a TIME value."""
+    held = F.least(F.abs(seconds), F.lit(LONGEST_CLOCK))
     hours = F.floor(held / 3600)
     minutes = F.floor((held - hours * 3600) / 60)
     text = F.format_string("%02d:%02d:%02d", hours, minutes, held - hours * 3600 - minutes * 60)
     return F.when(seconds < 0, F.concat(F.lit("-"), text)).when(seconds >= 0, text)
 
 
-# Column types whose values are quoted in SQL text.
-QUOTED_TYPES = [
-    "char", "varchar", "text", "string", "date", "datetime", "timestamp", "time", "enum", "json",
+def log_number(log_file: str) -> Column:
+    """The number a log file's name ends in; names count up in it, whatever their width."""
+    return F.coalesce(F.regexp_extract(log_file, r"(\d+)$", 1).try_cast("bigint"), F.lit(0))
+
+
+# The numeric column types, whose values stand bare in SQL text; all others are quoted.
+BARE_TYPES = [
+    "tinyint", "smallint", "mediumint", "int", "integer", "bigint", "decimal", "dec", "numeric", "fixed",
+    "float", "double", "real", "year", "bool", "boolean",
 ]
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions.ordered import latest_per_key, numbered
-from tidewright.functions.text import QUOTED_TYPES, clock_in_zone, epoch_seconds
+from tidewright.functions.text import BARE_TYPES, clock_in_zone, epoch_seconds, log_number
 
 OPERATIONS = ("insert", "update", "delete")
 
@@ -38,9 +38,8 @@ def filter_changes(
         keep &= F.col("event_time") <= epoch_seconds(F.lit(end).cast("timestamp_ntz"))
     if from_position is not None:
         log_file, log_pos = from_position
-        keep &= (F.col("log_file") > log_file) | (
-            (F.col("log_file") == log_file) & (F.col("log_pos") >= log_pos)
-        )
+        here, there = log_number("log_file"), log_number(F.lit(log_file))
+        keep &= (here > there) | ((here == there) & (F.col("log_pos") >= log_pos))
     return feed.filter(keep)
 
 
@@ -50,16 +49,20 @@ def feed_usable(row_format: str, row_image: str) -> bool:
 
 
 # Columns whose values stand bare in SQL text; a column without a type counts as text.
-_BARE = f"""map_keys(map_filter(types, (k, t) -> lower(substring_index(t, '(', 1))
-  NOT IN ({", ".join(repr(t) for t in QUOTED_TYPES)})))"""
+_BARE = f"""map_keys(map_filter(types, (k, t) -> lower(substring_index(substring_index(trim(t), '(', 1), ' ', 1))
+  IN ({", ".join(repr(t) for t in BARE_TYPES)})))"""
+
 
+def _rendered(image: str, backslash_escapes: bool = True) -> Column:
+    """An image's columns in their order: quoted name and value as SQL text.
 
-def _rendered(image: str) -> Column:
-    """An image's columns in their order: quoted name and value as SQL text."""
+    A server reads a backslash as an escape unless its mode says NO_BACKSLASH_ESCAPES.
+    """
+    value = r"replace(e.value, '\\', '\\\\')" if backslash_escapes else "e.value"
     return F.expr(
         f"""transform(map_entries({image}), e -> named_struct('n', concat('`', e.key, '`'),
           'v', CASE WHEN e.value IS NULL THEN NULL WHEN array_contains(_bare, e.key) THEN e.value
-            ELSE concat("'", replace(e.value, "'", "''"), "'") END))"""
+            ELSE concat("'", replace({value}, "'", "''"), "'") END))"""
     )
 
 
@@ -89,11 +92,12 @@ def _table_name() -> Column:
     return F.when(F.coalesce(F.col("db"), F.lit("")) == "", plain).otherwise(full)
 
 
-def undo_statements(feed: DataFrame, limit_one: bool = False) -> DataFrame:
+def undo_statements(feed: DataFrame, limit_one: bool = False, backslash_escapes: bool = True) -> DataFrame:
     """Add ``sql``, ``rollback_sql`` and, for updates, ``replace_sql`` to each event.
 
     ``limit_one`` guards tables without a key, where a predicate over every column
-    may match several rows.
+    may match several rows. Without ``backslash_escapes`` the text is for a server in
+    NO_BACKSLASH_ESCAPES mode.
     """
     table, before, after = _table_name(), "_before", "_after"
     end = F.lit(" LIMIT 1;" if limit_one else ";")
@@ -115,7 +119,7 @@ def undo_statements(feed: DataFrame, limit_one: bool = False) -> DataFrame:
 
     op = F.col("op")
     rendered = feed.withColumn("_bare", F.expr(_BARE)).withColumns(
-        {"_before": _rendered("before"), "_after": _rendered("after")}
+        {"_before": _rendered("before", backslash_escapes), "_after": _rendered("after", backslash_escapes)}
     )
     return rendered.withColumns(
         {
@@ -157,7 +161,7 @@ def recovery_script(
     """One numbered text block per event: time, original, undo, rule.
 
     Undo has to run backwards, so the newest event comes first unless asked otherwise.
-    Log files are the segments of the numbering: a server bounds their size.
+    Log files are the segments of the numbering, in the order of their numbers: a server bounds their size.
     """
     block = F.concat(
         F.lit(TIME_LINE), clock_in_zone(F.col("event_time"), zone), F.lit("\n" + ORIGINAL_LINE),
@@ -165,7 +169,8 @@ def recovery_script(
     )
     kept = feed.filter(F.col("op").isin(["update"] if statement == "replace_sql" else list(OPERATIONS)))
     # Numbered before the text is built, so the short rows are shuffled.
-    placed = numbered(kept, [], ["log_file", "log_pos"], F.col("log_file"), "seq", newest_first)
+    kept = kept.withColumn("_log", log_number("log_file"))
+    placed = numbered(kept, [], ["_log", "log_file", "log_pos"], F.col("_log"), "seq", newest_first).drop("_log")
     return undo_statements(placed).select(
         "seq", "db", "tbl", "event_time", "log_file", "log_pos", block.alias("block")
     )
@@ -190,9 +195,9 @@ def key_changes(feed: DataFrame, key: str) -> DataFrame:
 def key_state(feed: DataFrame, key: str) -> DataFrame:
     """The last change per key, deletions kept."""
     changes = key_changes(feed, key).select(
-        "db", "tbl", key, "op", "log_file", "log_pos", "image", "types"
+        "db", "tbl", key, "op", "log_file", "log_pos", "image", "types", log_number("log_file").alias("_log")
     )
-    return latest_per_key(changes, ["db", "tbl", key], ["log_file", "log_pos"])
+    return latest_per_key(changes, ["db", "tbl", key], ["_log", "log_file", "log_pos"]).drop("_log")
 
 
 def state_as_of(feed: DataFrame, key: str, until: str | None = None) -> DataFrame:

@@ -146,7 +146,7 @@ def property_changes(
     ``tables`` has ``TABLE_SCHEMA, TABLE_NAME, TABLE_ENGINE, PARTITION_KEY, PROPERTIES,
     create_statement``; views are rebuilt from their rewritten statement.
     """
-    hit = tables.filter(F.get_json_object("PROPERTIES", f"$.{prop}") == old)
+    hit = tables.filter(F.get_json_object("PROPERTIES", f"$['{prop}']") == old)
     name = F.concat(F.lit("`"), "TABLE_SCHEMA", F.lit("`.`"), "TABLE_NAME", F.lit("`"))
     table_sql = F.concat(F.lit("ALTER TABLE "), name, F.lit(f' SET ("default.{prop}" = "{new}")'))
     partition_sql = F.concat(
@@ -181,15 +181,20 @@ def rewrite_view(statement: Column, schema: Column, prop: str, old: str, new: st
 
 # -- calendar tables ---------------------------------------------------------
 
-def due_controls(controls: DataFrame, now: Column) -> DataFrame:
-    """Enabled, idle control rows whose period starts within a month."""
+def is_due(now: Column) -> Column:
+    """Whether a control row is enabled, idle and its period starts within a month."""
     month_before = F.trunc(F.add_months("tabdate", -1), "MM")
-    return controls.filter(
+    return (
         (F.col("tabstatus") != "1") & (F.col("tabenable") == "1")
         & (month_before <= F.trunc(now.cast("date"), "MM"))
     )
 
 
+def due_controls(controls: DataFrame, now: Column) -> DataFrame:
+    """Enabled, idle control rows whose period starts within a month."""
+    return controls.filter(is_due(now))
+
+
 def period_labels(interval: Column, day: Column) -> Column:
     """Labels a control row creates: every day of the month, or its month, quarter or year."""
     days = F.transform(
@@ -237,11 +242,10 @@ def calendar_plan(controls: DataFrame, existing: DataFrame, now: Column) -> Data
 
 def advance_controls(controls: DataFrame, now: Column) -> DataFrame:
     """Control rows after a run: due rows move one period on and are ready again."""
-    due = due_controls(controls, now).select("tabname", F.lit(True).alias("_due"))
     day = F.col("tabdate").cast("date")
     moved = next_period(F.col("tabinterval"), day)
-    ran = F.col("_due").isNotNull()
-    return controls.join(due, "tabname", "left").select(
+    ran = F.coalesce(is_due(now), F.lit(False))
+    return controls.select(
         "tabname",
         F.when(ran, moved).otherwise(day).alias("tabdate"),
         F.when(ran, "0").otherwise(F.col("tabstatus")).alias("tabstatus"),
@@ -277,17 +281,27 @@ def sequence_steps(sequences: DataFrame) -> DataFrame:
     return sequences.filter(named).withColumn("step", step.cast("bigint"))
 
 
-def job_log_rows(entries: DataFrame, max_text: int = 1000) -> DataFrame:
-    """Log rows as they are stored: an entry that does not fit is logged as a failed
-    ``proc_job_log`` entry instead (status 0)."""
-    bad = F.col("proc_name").isNull() | (F.length("proc_desc") > max_text)
-    reason = F.when(F.col("proc_name").isNull(), "proc_name is null").otherwise(
-        F.concat(F.lit("proc_desc too long: "), F.length("proc_desc").cast("string"))
-    )
+# What the log table takes, by column; None is a column that may not be NULL.
+LOG_LIMITS = {"proc_name": 80, "starttime": None, "endtime": None, "proc_status": 10, "proc_desc": 4000}
+
+
+def job_log_rows(entries: DataFrame, now: Column) -> DataFrame:
+    """Log rows as they are stored: an entry that does not fit the log table is logged as a failed
+    ``proc_job_log`` entry at this time instead (status 0), with the first column that failed."""
+    failures = []
+    for name, longest in LOG_LIMITS.items():
+        if name != "proc_desc":
+            failures.append(F.when(F.col(name).isNull(), F.lit(f"{name} is null")))
+        if longest is not None:
+            too_long = F.concat(F.lit(f"{name} too long: "), F.length(name).cast("string"))
+            failures.append(F.when(F.length(name) > longest, too_long))
+    reason = F.coalesce(*failures)
+    bad = reason.isNotNull()
     return entries.select(
         "log_id",
         F.when(bad, "proc_job_log").otherwise(F.col("proc_name")).alias("proc_name"),
-        "starttime", "endtime",
+        F.when(bad, now).otherwise(F.col("starttime")).alias("starttime"),
+        F.when(bad, now).otherwise(F.col("endtime")).alias("endtime"),
         F.when(bad, "0").otherwise(F.col("proc_status")).alias("proc_status"),
         F.when(bad, reason).otherwise(F.col("proc_desc")).alias("proc_desc"),
     )

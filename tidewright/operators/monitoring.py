@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions.measures import half_even, ratio_percent, rounded
-from tidewright.functions.ordered import HOT_ROWS, with_previous
+from tidewright.functions.ordered import with_previous
 from tidewright.functions.text import clock_text, host_part, port_part
 
 # Counters reported in KiB instead of units.
@@ -18,13 +18,11 @@ BACKGROUND_USERS = ["system user"]
 
 
 def day_of(ts: str) -> Column:
-    """Segment for time series: polling bounds the samples of one day."""
-    return F.col(ts).cast("date")
+    """Segment for time series, the day's number: polling bounds the samples of one day."""
+    return F.unix_date(F.col(ts).cast("date"))
 
 
-def counter_rates(
-    samples: DataFrame, extra: list[str] | None = None, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def counter_rates(samples: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """Per-second rate between neighbouring samples of a counter.
 
     The interval is the uptime difference, 0 counts as 1; halves round to even. A counter
@@ -32,7 +30,7 @@ def counter_rates(
     """
     rows = with_previous(
         samples, ["instance", "item"], ["ts"],
-        {"_value": "value", "_uptime": "uptime"}, day_of("ts"), hot_rows,
+        {"_value": "value", "_uptime": "uptime"}, day_of("ts"),
     ).filter(F.col("_value").isNotNull())
     gap = F.col("uptime") - F.col("_uptime")
     interval = F.when(gap == 0, 1).otherwise(gap)
@@ -46,21 +44,23 @@ def counter_rates(
     )
 
 
-def backlog_eta(samples: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def backlog_eta(samples: DataFrame, keys: list[str]) -> DataFrame:
     """Time left until ``pending`` reaches 0 at the pace since the previous sample.
 
-    NULL without progress. Rounding is half up on whole seconds.
+    ``eta`` is held to the range of a TIME value, ``eta_seconds`` is not; both are NULL without
+    progress. Rounding is half up on whole seconds.
     """
     rows = with_previous(
-        samples, keys, ["ts"], {"_pending": "pending", "_seconds": "seconds"}, day_of("ts"), hot_rows
+        samples, keys, ["ts"], {"_pending": "pending", "_seconds": "seconds"}, day_of("ts")
     ).filter(F.col("_pending").isNotNull())
     interval = F.col("seconds") - F.col("_seconds")
     done = F.col("_pending") - F.col("pending")
     left = F.try_divide(
         (F.col("pending") * interval).cast("decimal(28,0)"), done.cast("decimal(18,0)")
     )
+    seconds = F.round(left, 0).cast("bigint")
     return rows.select(
-        *keys, "ts", "pending", clock_text(F.round(left, 0).cast("bigint")).alias("eta")
+        *keys, "ts", "pending", clock_text(seconds).alias("eta"), seconds.alias("eta_seconds")
     )
 
 
@@ -84,23 +84,25 @@ def session_gauges(
     """Session, transaction and lock-wait gauges per instance, one wide row each.
 
     Transactions are counted per thread before they meet the process list, so a thread
-    with very many of them joins as one row.
+    with very many of them joins as one row. Running transactions of no listed process belong to no
+    instance: they make a row with a NULL instance.
     """
     running = (
         transactions.filter(F.col("trx_state") == "RUNNING")
         .groupBy(F.col("trx_mysql_thread_id").alias("id"))
         .agg(F.count("*").alias("running"))
     )
-    rows = processes.join(running, "id", "left").withColumn("running", F.coalesce("running", F.lit(0)))
+    listed = processes.withColumn("listed", F.lit(True))
+    rows = listed.join(running, "id", "full").withColumn("running", F.coalesce("running", F.lit(0)))
     time = F.col("time").cast("bigint")
     asleep = F.col("command") == "Sleep"
     in_trx = F.col("running") > 0
     active = ~F.col("command").isin(BACKGROUND_COMMANDS) & ~F.col("user").isin(BACKGROUND_USERS)
     limit = F.lit(max_connections).cast("bigint")
     return rows.groupBy("instance").agg(
-        F.count("*").alias("conn_cur"),
+        F.count("listed").alias("conn_cur"),
         limit.alias("conn_max"),
-        ratio_percent(F.count("*"), limit).alias("conn_ratio"),
+        ratio_percent(F.count("listed"), limit).alias("conn_ratio"),
         max_or_zero(time, active).alias("conn_active_sec"),
         F.sum("running").alias("trans_active"),
         max_or_zero(time, in_trx & ~asleep).alias("trans_active_sec"),
@@ -274,11 +276,11 @@ def check_lag(samples: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def health_notices(checks: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def health_notices(checks: DataFrame) -> DataFrame:
     """One notice per healthy run, one per failed check."""
     rows = with_previous(
         checks.withColumn("healthy", F.col("healthy").cast("boolean")),
-        ["instance"], ["ts"], {"_was": "healthy"}, day_of("ts"), hot_rows,
+        ["instance"], ["ts"], {"_was": "healthy"}, day_of("ts"),
     )
     starts = F.col("healthy") & ~F.coalesce("_was", F.lit(False))
     return rows.filter(starts | ~F.col("healthy")).select(

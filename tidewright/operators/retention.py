@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,6 +100,19 @@ def next_generation(names: DataFrame, group: str, name: str, start: int = 1) ->
     return names.groupBy(group).agg(F.coalesce(F.max(suffix) + 1, F.lit(start)).alias("next_no"))
 
 
+def by_pattern(files: DataFrame, patterns: list[str], day: Column) -> DataFrame:
+    """Files (``path``) with each ``pattern`` their name matches: ``*`` any text, ``?`` one character,
+    ``<day>`` the day as yyyyMMdd. The few patterns are tested inside the row."""
+    name = F.substring_index("path", "/", -1)
+    stamp = F.date_format(day, "yyyyMMdd")
+    tests = []
+    for pattern in patterns:
+        shape = "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in pattern).replace(re.escape("<day>"), "<day>")
+        fits = F.regexp_like(name, F.concat(F.lit("^"), F.replace(F.lit(shape), F.lit("<day>"), stamp), F.lit("$")))
+        tests.append(F.when(fits, F.lit(pattern)))
+    return files.withColumn("pattern", F.explode(F.array_compact(F.array(*tests))))
+
+
 def completeness(expected: DataFrame, files: DataFrame, day: Column) -> DataFrame:
     """How many files of a day match each expected pattern; none is an error."""
     mtime = F.col("mtime")

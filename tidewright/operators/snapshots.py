@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.once import settled
@@ -18,12 +18,13 @@ def snapshot_manifest(
     """Base tables of every user schema under its label, as ordered quoted lists.
 
     ``tables`` has ``table_schema, table_name, table_type``. Lists are cut to a bounded
-    length and numbered, so a schema with very many tables never meets in one row;
-    a schema without base tables has no list.
+    length and numbered, so a schema with very many tables never meets in one row; each list
+    has a label of its own. A schema without base tables has no list.
     """
     base = user_schemas(tables.filter(F.col("table_type") == "BASE TABLE"), "table_schema")
     placed = numbered(base, ["table_schema"], [order], segment, "rn")
-    label = F.concat(F.col("table_schema"), F.lit(f"_{stamp}_backup"))
+    number = F.when(F.col("list_no") > 1, F.concat(F.lit("_"), F.col("list_no").cast("string"))).otherwise("")
+    label = F.concat(F.col("table_schema"), F.lit(f"_{stamp}_backup"), number)
     quoted = F.concat(F.lit("`"), "table_name", F.lit("`"))
     names = F.transform(F.array_sort(F.collect_list(F.struct("rn", quoted.alias("name")))), lambda s: s["name"])
     return (
@@ -48,24 +49,28 @@ def read_snapshot(spark: SparkSession, repo: str, label: str, name: str) -> Data
     return spark.read.parquet(f"{repo}/{label}/{name}")
 
 
-NAME_PATTERN = r"^(.+)_(\d{14})_backup$"
+NAME_PATTERN = r"^(.+)_(\d{14})_backup(?:_(\d+))?$"
 
 
 def parsed_snapshots(snapshots: DataFrame) -> DataFrame:
-    """Add ``db`` and ``taken_at`` from the name; both NULL when the name is not valid."""
+    """Add ``db``, ``taken_at`` and ``list_no`` from the name; all NULL when the name is not valid."""
     taken = F.try_to_timestamp(
         F.nullif(F.regexp_extract("snapshot", NAME_PATTERN, 2), F.lit("")), F.lit("yyyyMMddHHmmss")
     ).cast("timestamp_ntz")
-    return settled(snapshots, {"taken_at": taken}).withColumn(
-        "db", F.when(F.col("taken_at").isNotNull(), F.regexp_extract("snapshot", NAME_PATTERN, 1))
+    valid = F.col("taken_at").isNotNull()
+    number = F.coalesce(F.nullif(F.regexp_extract("snapshot", NAME_PATTERN, 3), F.lit("")).cast("int"), F.lit(1))
+    return settled(snapshots, {"taken_at": taken}).withColumns(
+        {"db": F.when(valid, F.regexp_extract("snapshot", NAME_PATTERN, 1)), "list_no": F.when(valid, number)}
     )
 
 
 def latest_snapshots(snapshots: DataFrame, ordinal: str) -> DataFrame:
-    """The newest good snapshot per user database; of equal times the first listed wins."""
+    """The newest good snapshot per user database, all its lists; of equal names the first listed wins."""
     good = parsed_snapshots(snapshots).filter((F.col("status") == "OK") & F.col("db").isNotNull())
     best = F.max_by(F.struct("snapshot", "taken_at"), F.struct("taken_at", -F.col(ordinal)))
-    return user_schemas(good, "db").groupBy("db").agg(best.alias("b")).select("db", "b.*")
+    lists = user_schemas(good, "db").groupBy("db", "list_no").agg(best.alias("b")).select("db", "b.*")
+    newest = F.max("taken_at").over(Window.partitionBy("db"))
+    return lists.withColumn("_newest", newest).filter("taken_at = _newest").drop("_newest")
 
 
 def invalid_names(snapshots: DataFrame) -> DataFrame:

@@ -8,10 +8,10 @@ from tidewright.operators import change_data as cd
 from tidewright.plans.tables import FEED_SQL, Query, as_feed, feed, feed_rows, stream_table, table
 from tidewright.session import scratch_path
 from tidewright.sources.change_feed import canal_changes, stream_feed
-from tidewright.streaming.tail import undo_available
+from tidewright.streaming.tail import undo_available, undo_slice
 from tidewright.streaming.upsert import current_rows, upsert_available
 
-START, END = "2024-01-05 00:00:00", "2024-01-20 00:00:00"
+START, END, LATEST = "2024-01-05 00:00:00", "2024-01-20 00:00:00", "2024-01-25 00:00:00"
 
 
 def image_columns(df, *extra: str):
@@ -23,7 +23,7 @@ def image_columns(df, *extra: str):
 
 def change_feed_filter(spark, sf_dir):
     kept = cd.filter_changes(
-        feed(spark, sf_dir, before=False), START, END, "Update", ["accounts"],
+        feed(spark, sf_dir, before=False, start=START, end=END), START, END, "Update", ["accounts"],
         ("mysql-bin.000000000000", 0),
     )
     return kept.select("log_file", "log_pos", "event_time", "op", F.col("after.id").alias("id"))
@@ -43,7 +43,7 @@ def undo_ordered_script(spark, sf_dir):
 
 
 def rollback_to_time(spark, sf_dir):
-    return image_columns(cd.state_as_of(feed(spark, sf_dir, before=False), "id", END), "log_pos")
+    return image_columns(cd.state_as_of(feed(spark, sf_dir, before=False, end=END), "id", END), "log_pos")
 
 
 def cdc_upsert_latest(spark, sf_dir):
@@ -72,15 +72,20 @@ def cdc_stream_upsert(spark, sf_dir):
 
 
 def undo_stream_tail(spark, sf_dir):
-    """The feed arrives as files in two instalments; the second run resumes the first."""
+    """The feed arrives as files in two instalments, of each a slice is taken up to another time.
+
+    The first instalment holds changes beyond the first slice; the second run resumes the first.
+    """
     work = scratch_path(spark, "undo-tail")
-    changes = feed(spark, sf_dir)
-    early = F.col("event_time") < cd.epoch_seconds(F.lit(START).cast("timestamp_ntz"))
-    for part in (early, ~early):
-        changes.filter(part).write.mode("append").parquet(f"{work}/feed")
-        tail = stream_feed(spark, f"{work}/feed")
-        undo_available(tail, f"{work}/undo", f"{work}/checkpoint", end=END)
-    return spark.read.parquet(f"{work}/undo").select("log_pos", "rollback_sql")
+    early = F.col("event_time") < cd.epoch_seconds(F.lit(END).cast("timestamp_ntz"))
+    feed(spark, sf_dir).withColumn("early", early.cast("int")).write.partitionBy("early").parquet(f"{work}/all")
+    changes, slices = spark.read.parquet(f"{work}/all"), []
+    for number, (part, end) in enumerate(((1, START), (0, LATEST)), 1):
+        changes.filter(F.col("early") == part).drop("early").write.mode("append").parquet(f"{work}/feed")
+        undo_available(stream_feed(spark, f"{work}/feed"), f"{work}/undo", f"{work}/checkpoint")
+        taken = undo_slice(spark, f"{work}/undo", end=end)
+        slices.append(taken.select("log_pos", "rollback_sql", F.lit(number).alias("slice")))
+    return slices[0].unionByName(slices[1])
 
 
 def gtid_next(spark, sf_dir):
@@ -152,7 +157,9 @@ QUERIES: dict[str, Query] = {
 
 
 def _lit(col: str) -> str:
-    return f"CASE WHEN {col} IS NULL THEN 'NULL' ELSE '''' || replace({col}, '''', '''''') || '''' END"
+    """Quoted text: backslashes and quotes doubled."""
+    doubled = rf"replace(replace({col}, '\', '\\'), '''', '''''')"
+    return f"CASE WHEN {col} IS NULL THEN 'NULL' ELSE '''' || {doubled} || '''' END"
 
 
 def _num(col: str) -> str:
@@ -233,7 +240,9 @@ ORACLES: dict[str, str] = {
       WHERE op = 'update' AND event_time BETWEEN {_START_SECONDS} AND {_END_SECONDS}""",
     "undo_statements": f"WITH {FEED_SQL}, {_UNDO} SELECT log_pos, op, sql, rollback_sql FROM undo",
     "undo_stream_tail": f"""WITH {FEED_SQL}, {_UNDO}
-      SELECT log_pos, rollback_sql FROM undo WHERE event_time <= {_END_SECONDS}""",
+      SELECT log_pos, rollback_sql, 1 AS slice FROM undo WHERE event_time <= {_START_SECONDS}
+      UNION ALL SELECT log_pos, rollback_sql, 2 FROM undo
+      WHERE event_time <= date_diff('second', TIMESTAMP '1970-01-01', TIMESTAMP '{LATEST}')""",
     "undo_update_as_replace": f"""WITH {FEED_SQL}
       SELECT log_pos, 'REPLACE INTO {_T} {_NAMES} VALUES (' || {_vals('p_')} || ');' AS replace_sql
       FROM imaged WHERE op = 'update'""",

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tidewright.operators import lineage as ln
 from tidewright.plans.tables import Query, table
-from tidewright.session import scratch_path
 from tidewright.sources.definitions import datasource_urls, stream_scripts, task_rows
 
 DEFAULT = "default-service"
@@ -56,9 +55,12 @@ def _tasks(spark, sf_dir):
         "B.office_%s from ods.ledger_%s A left join ods.borrow_%s B on B.mid = A.id where A.state = 'a, (b'",
         k, k, s, b, b, s,
     )
-    plain = F.format_string("INSERT INTO `t_%s` SELECT `id`, `name` AS `label_%s` FROM `src_%s`;", k, s, b)
+    plain = F.format_string(
+        "INSERT INTO `t_%s` SELECT `id`, `name` AS `label_%s` FROM `src_%s` UNION ALL\nselect o.k, upper(o.nm) from alt_%s o;",
+        k, s, b, b,
+    )
     computed = F.format_string(
-        "insert into dw.agg_%s select max(a.v) as mx, a.grp, concat(a.x, ',', coalesce(a.y, 0)) as xy, "
+        "insert into dw.agg_%s select max(a.v) as mx, a.grp, concat(a.x, '(', f(g(h(f(g(h(coalesce(a.y, 0)))))))) as xy, "
         "now() as etl_time, 1 as one from ods.m_%s as a group by a.grp, a.x", k, b,
     )
     two_lines = F.format_string("insert into\ndw.x_%s\nselect a from ods.b", k)
@@ -92,12 +94,12 @@ def lineage_sql_unparsed(spark, sf_dir):
     return ln.sql_unparsed(_tasks(spark, sf_dir))
 
 
-def _copy_edges(spark, sf_dir, names):
+def _copy_jobs(spark, sf_dir):
     """Customers as reader-to-writer jobs; the nation picks the writer's column list."""
     nation, k, n = F.col("c_nationkey"), _text("c_custkey"), _text("c_nationkey")
     segment = F.lower("c_mktsegment")
     query = F.format_string(
-        "select `id`, name_%s,\n balance as bal, coalesce(x, y) as etl_time from src_%s.t_%s where id > 0",
+        "select `id`, name_%s,\n balance as bal, f(f(f(f(f(f(f(concat(x, '(', y)))))))) as etl_time from src_%s.t_%s where id > 0",
         n, segment, k,
     )
     columns = (
@@ -123,14 +125,18 @@ def _copy_edges(spark, sf_dir, names):
     jobs = table(spark, sf_dir, "customer").select(
         k.alias("source_id"), document.alias("json"), F.concat(F.lit("copy "), k).alias("description")
     )
-    return ln.copy_edges(jobs, names)
+    return jobs
+
+
+def _copy_edges(spark, sf_dir, names):
+    return ln.copy_edges(_copy_jobs(spark, sf_dir), names)
 
 
 def lineage_datax_edges(spark, sf_dir):
     return _copy_edges(spark, sf_dir, _services(spark, sf_dir)).drop("kind")
 
 
-def _stream_edges(spark, sf_dir, names):
+def _stream_scripts(spark, sf_dir):
     """Suppliers as stream jobs: topics for most nations, a change-capture table for some."""
     k, n = _text("s_suppkey"), _text("s_nationkey")
     topic = F.format_string(
@@ -160,14 +166,18 @@ def _stream_edges(spark, sf_dir, names):
     scripts = stream_scripts(jobs).select(
         _text("app_id").alias("source_id"), "script", F.concat(F.lit("stream "), _text("app_id")).alias("description")
     )
-    return ln.stream_edges(scripts, names)
+    return scripts
+
+
+def _stream_edges(spark, sf_dir, names):
+    return ln.stream_edges(_stream_scripts(spark, sf_dir), names)
 
 
 def lineage_flink_edges(spark, sf_dir):
     return _stream_edges(spark, sf_dir, _services(spark, sf_dir)).drop("kind")
 
 
-def _topic_edges(spark, sf_dir, names):
+def _properties(spark, sf_dir):
     """Customers as replication instances; some lack an address or the topic block."""
     nation, k, n = F.col("c_nationkey"), _text("c_custkey"), _text("c_nationkey")
     address = F.when(nation != 21, F.format_string("canal.instance.master.address=h%s:3306\n", n)).otherwise("")
@@ -182,7 +192,22 @@ def _topic_edges(spark, sf_dir, names):
     properties = table(spark, sf_dir, "customer").select(
         k.alias("source_id"), text.alias("text"), F.concat(F.lit("topic "), k).alias("description")
     )
-    return ln.topic_edges(properties, names)
+    return properties
+
+
+def _topic_edges(spark, sf_dir, names):
+    return ln.topic_edges(_properties(spark, sf_dir), names)
+
+
+def lineage_skipped_jobs(spark, sf_dir):
+    """Jobs of every other kind that give no edge, with the reason."""
+    parts = {
+        "copy": ln.copy_unparsed(_copy_jobs(spark, sf_dir)),
+        "stream": ln.stream_unparsed(_stream_scripts(spark, sf_dir)),
+        "topic": ln.topic_unparsed(_properties(spark, sf_dir)),
+    }
+    named = [rows.select(F.lit(kind).alias("kind"), "source_id", "reason") for kind, rows in parts.items()]
+    return reduce(lambda a, b: a.unionByName(b), named)
 
 
 def lineage_canal_edges(spark, sf_dir):
@@ -205,13 +230,8 @@ def lineage_all_edges(spark, sf_dir):
 
 
 def edges_known_entities(spark, sf_dir):
-    """Known are the sources of SQL, copy and topic jobs and the targets of all but copy jobs.
-
-    The edges are stored once and read three times, so no definition is read again.
-    """
-    path = scratch_path(spark, "edges")
-    _all(spark, sf_dir).write.parquet(path)
-    edges = spark.read.parquet(path)
+    """Known are the sources of SQL, copy and topic jobs and the targets of all but copy jobs."""
+    edges = _all(spark, sf_dir)
     sources = edges.filter(F.col("kind") != "stream").select(F.col("from_fqn").alias("fqn"))
     targets = edges.filter(F.col("kind") != "copy").select(F.col("to_fqn").alias("fqn"))
     checked = ln.check_entities(ln.collect_edges(edges), sources.union(targets))
@@ -247,7 +267,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         lineage_sql_edges, lineage_sql_unparsed, lineage_datax_edges, lineage_flink_edges,
-        lineage_canal_edges, lineage_all_edges, edges_known_entities, url_service_lookup,
+        lineage_canal_edges, lineage_skipped_jobs, lineage_all_edges, edges_known_entities, url_service_lookup,
     )
 }
 
@@ -275,7 +295,11 @@ sql_e AS (
   UNION ALL SELECT 'sql', k, d, svc || db || 'src_' || b, 'id', svc || db || 't_' || k, 'id' FROM tk WHERE p_type = 'SMALL'
   UNION ALL SELECT 'sql', k, d, svc || db || 'src_' || b, 'name', svc || db || 't_' || k, 'label_' || s
     FROM tk WHERE p_type = 'SMALL'
-  UNION ALL SELECT 'sql', k, d, svc || 'ods.m_' || b, 'grp', svc || 'dw.agg_' || k, 'grp' FROM tk WHERE p_type = 'MEDIUM'
+  UNION ALL SELECT 'sql', k, d, svc || db || 'alt_' || b, 'k', svc || db || 't_' || k, 'id' FROM tk WHERE p_type = 'SMALL'
+  UNION ALL SELECT 'sql', k, d, svc || db || 'alt_' || b, 'nm', svc || db || 't_' || k, 'label_' || s
+    FROM tk WHERE p_type = 'SMALL'
+  UNION ALL SELECT 'sql', k, d, svc || 'ods.m_' || b, unnest(['v', 'grp', 'x', 'y']), svc || 'dw.agg_' || k,
+    unnest(['mx', 'grp', 'xy', 'xy']) FROM tk WHERE p_type = 'MEDIUM'
   UNION ALL SELECT 'sql', k, d, svc || 'ods.big_' || b, NULL, svc || 'dw.copy_' || k, NULL
     FROM tk WHERE p_type NOT IN ('ECONOMY', 'SMALL', 'MEDIUM', 'PROMO', 'STANDARD')
   UNION ALL SELECT 'sql', k, d, svc || 'ods.dim_' || s, NULL, svc || 'dw.copy_' || k, NULL
@@ -317,6 +341,11 @@ ORACLES: dict[str, str] = {
     "lineage_datax_edges": _edges_of("copy_e"),
     "lineage_flink_edges": _edges_of("stream_e"),
     "lineage_canal_edges": _edges_of("topic_e"),
+    "lineage_skipped_jobs": """
+      SELECT 'copy' AS kind, CAST(c_custkey AS VARCHAR) AS source_id, 'column count differs' AS reason
+        FROM customer WHERE c_nationkey >= 16
+      UNION ALL SELECT 'topic', CAST(c_custkey AS VARCHAR), CASE c_nationkey WHEN 21 THEN 'no address' ELSE 'no topic block' END
+        FROM customer WHERE c_nationkey IN (21, 22)""",
     "lineage_all_edges": f"""WITH {_EDGES},
       u AS (SELECT from_fqn, to_fqn, from_col, to_col, min(description) AS description FROM all_e
         GROUP BY from_fqn, to_fqn, from_col, to_col)

@@ -38,22 +38,22 @@ def _document_text(spark, sf_dir):
     )
 
 
-def _order_types(rows):
-    return csv_load.infer_types(rows, order_by=["sort_day", "id"])
-
-
 def csv_type_inference(spark, sf_dir):
-    orders = _order_types(_order_text(spark, sf_dir)).withColumn("table_name", F.lit("orders"))
-    documents = csv_load.infer_types(_document_text(spark, sf_dir), order_by=["doc_id"])
+    orders = csv_load.infer_types(_order_text(spark, sf_dir)).withColumn("table_name", F.lit("orders"))
+    documents = csv_load.infer_types(_document_text(spark, sf_dir))
     return orders.unionByName(documents.withColumn("table_name", F.lit("documents")))
 
 
 def csv_typed_load(spark, sf_dir):
-    rows = _order_text(spark, sf_dir)
-    loaded = csv_load.load_typed(rows, csv_load.type_map(_order_types(rows)))
+    """The orders written as CSV files, read back and cast; the batch is declared a number."""
+    path = scratch_path(spark, "csv")
+    _order_text(spark, sf_dir).write.option("header", True).csv(path)
+    rows = csv_load.read_strings(spark, path)
+    types = csv_load.type_map(csv_load.infer_types(rows)) | {"batch": "BIGINT"}
+    loaded = csv_load.load_typed(rows, types)
     return loaded.select(
         "id", "cust", F.col("price").cast("double").alias("price"), "odate", "status", "batch",
-        F.col("_corrupt").alias("corrupt"),
+        F.col("_corrupt").alias("corrupt"), F.col("_misfits")["batch"].alias("batch_text"),
     )
 
 
@@ -72,7 +72,7 @@ def query_batch_export(spark, sf_dir):
         ],
     }
     frames = {n: table(spark, sf_dir, n) for n in ("orders", "customer", "supplier")}
-    return export_queries(spark, workbooks, scratch_path(spark, "export"), **frames)
+    return export_queries(spark, workbooks, scratch_path(spark, "export"), **frames).drop("message")
 
 
 def schema_snapshot_manifest(spark, sf_dir):
@@ -164,15 +164,15 @@ n AS (SELECT *, db || '_' || CASE WHEN latest THEN 'latest' ELSE stamp || '_back
 
 ORACLES: dict[str, str] = {
     "csv_type_inference": f"""WITH {_ORDER_TEXT},
-      orders_s AS (SELECT * FROM orders_t ORDER BY sort_day, id LIMIT 100),
+      orders_s AS (SELECT * FROM orders_t),
       documents_s AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source,
-          '-' || CAST(n_chars AS VARCHAR) AS balance FROM documents ORDER BY CAST(doc_id AS VARCHAR) LIMIT 100)
+          '-' || CAST(n_chars AS VARCHAR) AS balance FROM documents)
       {_votes('orders', ['id', 'cust', 'price', 'odate', 'sort_day', 'status', 'batch'])}
       UNION ALL {_votes('documents', ['doc_id', 'text', 'lang', 'source', 'balance'])}""",
     "csv_typed_load": f"""WITH {_ORDER_TEXT}
       SELECT CAST(id AS BIGINT) AS id, TRY_CAST(nullif(cust, '') AS BIGINT) AS cust,
         CAST(CAST(price AS DECIMAL(36,6)) AS DOUBLE) AS price, CAST(sort_day AS DATE) AS odate, status,
-        TRY_CAST(batch AS BIGINT) AS batch, batch = 'late' AS corrupt
+        TRY_CAST(batch AS BIGINT) AS batch, batch = 'late' AS corrupt, CASE WHEN batch = 'late' THEN batch END AS batch_text
       FROM orders_t""",
     "query_batch_export": """
       SELECT 'daily' AS workbook, 'open_orders' AS title, 'done' AS status, count(*) AS "rows"
@@ -186,7 +186,7 @@ ORACLES: dict[str, str] = {
         FROM documents WHERE source <> 'src0' AND lang <> 'fr')
       SELECT source AS table_schema, CAST((rn - 1) // 25 + 1 AS INT) AS list_no, count(*) AS n_tables,
         string_agg('`t_' || CAST(doc_id AS VARCHAR) || '`', ', ' ORDER BY rn) AS tables,
-        source || '_{STAMP}_backup' AS label
+        source || '_{STAMP}_backup' || CASE WHEN (rn - 1) // 25 > 0 THEN '_' || CAST((rn - 1) // 25 + 1 AS VARCHAR) ELSE '' END AS label
       FROM b GROUP BY source, (rn - 1) // 25""",
     "latest_snapshot_plan": f"""WITH {_SNAP},
       r AS (SELECT *, row_number() OVER (PARTITION BY db ORDER BY taken_at DESC, ordinal) AS rn FROM n

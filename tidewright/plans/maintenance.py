@@ -61,8 +61,7 @@ def _partition_stats(spark, sf_dir):
 
 def space_action_plan(spark, sf_dir):
     """The report's statements; a supplier's partitions are the years from 1994 to 2003."""
-    stats = t.stored(_partition_stats(spark, sf_dir), "partition-stats")
-    report = t.stored(_report(spark, sf_dir), "space-report")
+    stats, report = _partition_stats(spark, sf_dir), _report(spark, sf_dir)
     names = table(spark, sf_dir, "supplier").select(
         F.concat(F.lit("T_"), F.col("s_suppkey").cast("string")).alias("table_name"),
         F.explode(F.sequence(F.lit(1994), F.lit(2003))).alias("year"),
@@ -76,7 +75,7 @@ def space_action_plan(spark, sf_dir):
 
 def report_after_run(spark, sf_dir):
     """The report once every plain table has been moved."""
-    report = t.stored(_report(spark, sf_dir), "space-report")
+    report = _report(spark, sf_dir)
     done = mt.mark_done(report, report.filter(F.col("is_parttab") == 0))
     return done.select("tabname", "is_parttab", "status")
 
@@ -224,10 +223,10 @@ def job_log_append(spark, sf_dir):
         F.date_trunc("day", "ts").cast("timestamp_ntz").alias("starttime"),
         F.col("ts").alias("endtime"),
         F.when(k % 2 == 0, "1").otherwise("2").alias("proc_status"),
-        F.repeat(F.col("props"), k).alias("proc_desc"),
+        F.repeat(F.col("props"), k * 60).alias("proc_desc"),
     )
     path = scratch_path(spark, "job-log")
-    mt.job_log_rows(entries).write.mode("append").parquet(path)
+    mt.job_log_rows(entries, F.lit("2024-02-01").cast("timestamp_ntz")).write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -378,9 +377,10 @@ ORACLES: dict[str, str] = {
     "job_log_append": """WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k,
           CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) > 5 THEN 'proc_' || CAST(user_id AS VARCHAR) END AS p
         FROM events WHERE event_type = 'error'),
-      x AS (SELECT *, repeat(props, k) AS t, p IS NULL OR length(repeat(props, k)) > 1000 AS bad FROM e)
+      x AS (SELECT *, repeat(props, k * 60) AS t, p IS NULL OR length(repeat(props, k * 60)) > 4000 AS bad FROM e)
       SELECT event_id AS log_id, CASE WHEN bad THEN 'proc_job_log' ELSE p END AS proc_name,
-        date_trunc('day', ts) AS starttime, ts AS endtime,
+        CASE WHEN bad THEN TIMESTAMP '2024-02-01' ELSE date_trunc('day', ts) END AS starttime,
+        CASE WHEN bad THEN TIMESTAMP '2024-02-01' ELSE ts END AS endtime,
         CASE WHEN bad THEN '0' WHEN k % 2 = 0 THEN '1' ELSE '2' END AS proc_status,
         CASE WHEN NOT bad THEN t WHEN p IS NULL THEN 'proc_name is null'
           ELSE 'proc_desc too long: ' || CAST(length(t) AS VARCHAR) END AS proc_desc

@@ -27,17 +27,12 @@ def _samples(spark, sf_dir):
     return t.samples(table(spark, sf_dir, "events"))
 
 
-def _stored_samples(spark, sf_dir):
-    """The samples as the table a poller would have written."""
-    return t.stored(_samples(spark, sf_dir), "samples")
-
-
 def _sessions(spark, sf_dir):
     return t.processes(table(spark, sf_dir, "customer")), t.transactions(table(spark, sf_dir, "orders"))
 
 
 def counter_rates(spark, sf_dir):
-    return mon.counter_rates(_stored_samples(spark, sf_dir))
+    return mon.counter_rates(_samples(spark, sf_dir))
 
 
 def counter_rates_stream(spark, sf_dir):
@@ -173,7 +168,7 @@ def usage_threshold(spark, sf_dir):
 
 
 def backlog_eta(spark, sf_dir):
-    counted = _stored_samples(spark, sf_dir).filter(F.col("item") != "bytes_sent")
+    counted = _samples(spark, sf_dir).filter(F.col("item") != "bytes_sent")
     top = counted.groupBy("instance", "item").agg(F.max("value").alias("total"))
     pending = counted.join(top, ["instance", "item"]).select(
         "instance", "item", "ts", (F.col("total") - F.col("value")).alias("pending"),
@@ -231,7 +226,7 @@ def health_changes(spark, sf_dir):
     hourly = t.hourly_counts(table(spark, sf_dir, "events")).groupBy("instance", "ts").agg(
         (errors * 4 <= total).alias("healthy")
     )
-    return mon.health_notices(t.stored(hourly, "health"))
+    return mon.health_notices(hourly)
 
 
 def throughput_rating(spark, sf_dir):
@@ -402,11 +397,11 @@ ORACLES: dict[str, str] = {
       l AS (SELECT *, lag(pending) OVER w AS p0, lag(s) OVER w AS s0 FROM p
             WINDOW w AS (PARTITION BY instance, item ORDER BY ts)),
       e AS (SELECT *, CASE WHEN p0 <> pending THEN
-          least((2 * pending * (s - s0) + (p0 - pending)) // (2 * (p0 - pending)), 3020399) END AS left_s
+          (2 * pending * (s - s0) + (p0 - pending)) // (2 * (p0 - pending)) END AS raw_s, least(raw_s, 3020399) AS left_s
         FROM l WHERE p0 IS NOT NULL)
       SELECT instance, item, ts, pending,
         CASE WHEN left_s IS NOT NULL THEN printf('%02d:%02d:%02d', CAST(left_s // 3600 AS BIGINT),
-          CAST(left_s % 3600 // 60 AS BIGINT), CAST(left_s % 60 AS BIGINT)) END AS eta
+          CAST(left_s % 3600 // 60 AS BIGINT), CAST(left_s % 60 AS BIGINT)) END AS eta, CAST(raw_s AS BIGINT) AS eta_seconds
       FROM e""",
     "peak_interval": f"""WITH {_PEAK}
       SELECT snap - 1 AS begin_snap, snap AS end_snap, average, end_time FROM peak""",

@@ -82,11 +82,15 @@ def next_generation(spark, sf_dir):
 
 
 def completeness_check(spark, sf_dir):
-    files = table(spark, sf_dir, "orders").select(
-        F.col("o_orderpriority").alias("pattern"), F.col("o_orderdate").alias("mtime")
+    """Orders as backup files named by priority and day; one pattern for each priority."""
+    day = F.lit("1998-10-03").cast("date")
+    path = F.format_string(
+        "/backup/db_%s_%s_%d.bak", "o_orderpriority", F.date_format("o_orderdate", "yyyyMMdd"), "o_orderkey"
     )
-    expected = spark.createDataFrame([(p,) for p in [*PRIORITIES, "6-NEVER"]], "pattern string")
-    return rt.completeness(expected, files, F.lit("1998-10-03").cast("date"))
+    files = table(spark, sf_dir, "orders").select(path.alias("path"), F.col("o_orderdate").alias("mtime"))
+    patterns = [f"db_{p}_<day>_*.bak" for p in [*PRIORITIES, "6-NEVER"]]
+    expected = spark.createDataFrame([(p,) for p in patterns], "pattern string")
+    return rt.completeness(expected, rt.by_pattern(files, patterns, day), day)
 
 
 QUERIES: dict[str, Query] = {
@@ -127,7 +131,7 @@ ORACLES: dict[str, str] = {
     "next_generation": """SELECT o_custkey,
         coalesce(max(o_orderkey % 1000) FILTER (o_orderstatus = 'F') + 1, 1) AS next_no
       FROM orders GROUP BY o_custkey""",
-    "completeness_check": """SELECT pattern, count(o_orderkey) AS n,
+    "completeness_check": """SELECT 'db_' || pattern || '_<day>_*.bak' AS pattern, count(o_orderkey) AS n,
         CASE WHEN count(o_orderkey) = 0 THEN 'error' ELSE 'ok' END AS state
       FROM (VALUES ('1-URGENT'), ('2-HIGH'), ('3-MEDIUM'), ('4-NOT SPECIFIED'), ('5-LOW'), ('6-NEVER')) v(pattern)
       LEFT JOIN orders ON o_orderpriority = pattern AND CAST(o_orderdate AS DATE) = DATE '1998-10-03'

@@ -13,8 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.ordered import SEGMENT_ROWS, with_previous
-from tidewright.functions.text import epoch_seconds
-from tidewright.session import scratch_path
+from tidewright.functions.text import epoch_seconds, log_number
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,14 +29,6 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """A small derived table written once, where several steps read it. Without this each
-    step would scan and aggregate the large table again."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def cents(col: str):
     """Money as a whole number of cents, exact in every engine."""
     return (F.col(col).cast("decimal(18,2)") * 100).cast("bigint")
@@ -46,7 +37,7 @@ def cents(col: str):
 # -- change feed -------------------------------------------------------------
 
 def _note():
-    kind = F.concat(F.col("event_type"), F.lit("'s"))
+    kind = F.concat(F.col("event_type"), F.lit("'s C:\\dir\\"))
     return F.when(F.col("event_id") % 7 != 0, kind)
 
 
@@ -91,14 +82,14 @@ def as_feed(rows: DataFrame, before: bool = True) -> DataFrame:
     if before:
         rows = with_previous(
             rows, ["id"], ["log_file", "log_pos"],
-            {f"prev_{c}": c for c in IMAGE_COLUMNS}, F.col("log_file"),
+            {f"prev_{c}": c for c in IMAGE_COLUMNS}, log_number("log_file"),
         )
         old = image("prev_")
     else:
         old = F.create_map(F.lit("id"), F.col("id"))
     types = F.create_map(
         *[F.lit(x) for x in
-          ("id", "bigint", "value", "decimal(18,2)", "props", "json", "note", "varchar(40)")]
+          ("id", "bigint unsigned", "value", "decimal(18,2)", "props", "longtext", "note", "set('a','b')")]
     )
     return rows.select(
         F.lit("app").alias("db"),
@@ -110,8 +101,19 @@ def as_feed(rows: DataFrame, before: bool = True) -> DataFrame:
     )
 
 
-def feed(spark: SparkSession, sf_dir: str, before: bool = True) -> DataFrame:
-    return as_feed(feed_rows(table(spark, sf_dir, "events")), before)
+def feed(
+    spark: SparkSession, sf_dir: str, before: bool = True, start: str | None = None, end: str | None = None
+) -> DataFrame:
+    """The feed, or its changes between two times to the second; the times bound the stored column.
+
+    A bounded feed has no images of changes before it.
+    """
+    events = table(spark, sf_dir, "events")
+    if start is not None:
+        events = events.filter(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
+    if end is not None:
+        events = events.filter(F.col("ts") < F.timestamp_add("SECOND", F.lit(1), F.lit(end).cast("timestamp_ntz")))
+    return as_feed(feed_rows(events), before)
 
 
 FEED_SQL = f"""
@@ -124,7 +126,7 @@ feed AS (
     '3e11fa47-71ca-11e1-9e33-c80aa942956' || CAST(user_id % 3 AS VARCHAR) AS uuid,
     event_id // 10 + 1 AS txn,
     CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) AS value, props,
-    CASE WHEN event_id % 7 <> 0 THEN event_type || '''s' END AS note,
+    CASE WHEN event_id % 7 <> 0 THEN event_type || '''s C:\\dir\\' END AS note,
     ts
   FROM events),
 imaged AS (

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException, ArithmeticException, DateTimeException, IllegalArgumentException, NumberFormatException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+WRONG_QUERY = (AnalysisException, ArithmeticException, DateTimeException, IllegalArgumentException, NumberFormatException)
+
+
 def append_table(df: DataFrame, name: str) -> None:
     """Create the table if absent, then append."""
     df.write.mode("append").saveAsTable(name)
@@ -48,8 +52,9 @@ def export_queries(
 
     Queries name the given tables in braces, or anything in the session catalog.
 
-    An empty result is reported and skipped; a failing query ends its own workbook only.
-    Rows are counted while they are written.
+    An empty result is reported and skipped; a query that is wrong ends its own workbook only and is
+    reported with its message. What fails for other reasons, as a lost cluster, is raised. Rows are
+    counted while they are written.
     """
     report = []
     for workbook, specs in workbooks.items():
@@ -59,8 +64,8 @@ def export_queries(
                 rows = spark.sql(sql, **tables).observe(seen, F.count(F.lit(1)).alias("n"))
                 rows.write.mode("overwrite").parquet(f"{path}/{workbook}/{title}")
                 n = seen.get["n"]
-                report.append((workbook, title, "done" if n else "empty", n))
-            except Exception:
-                report.append((workbook, title, "failed", 0))
+                report.append((workbook, title, "done" if n else "empty", n, None))
+            except WRONG_QUERY as wrong:
+                report.append((workbook, title, "failed", 0, str(wrong)))
                 break
-    return spark.createDataFrame(report, "workbook string, title string, status string, rows bigint")
+    return spark.createDataFrame(report, "workbook string, title string, status string, rows bigint, message string")

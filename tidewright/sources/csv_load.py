@@ -1,4 +1,4 @@
-"""CSV loading with types voted on a sample of rows."""
+"""CSV loading with types voted over the rows."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS = 100
-
 # What counts as a decimal (any text a float parser takes) and as a date.
 DIGITS = r"^[0-9]+$"
 DECIMAL = r"(?i)^[+-]?(nan|inf|infinity|([0-9][0-9_]*\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?)$"
@@ -20,10 +18,11 @@ def table_name(path: str) -> str:
     return os.path.splitext(os.path.basename(path))[0]
 
 
-def read_strings(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_strings(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """All columns as text, blanks kept as empty text; the first row names the columns.
 
-    Without ``multi_line`` large files split over tasks, but no value may hold a newline.
+    Large files split over tasks; values that hold a newline need ``multi_line``, which makes each
+    file one task.
     """
     raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     # The reader turns blanks into NULL; there is no other way to write a NULL in the file.
@@ -53,18 +52,14 @@ def _vote(name: str) -> Column:
     )
 
 
-def infer_types(rows: DataFrame, order_by: list[str] | None = None) -> DataFrame:
-    """One row per column: ``ordinal, column, type``, voted on the first rows.
+def infer_types(rows: DataFrame, sample: int | None = None) -> DataFrame:
+    """One row per column: ``ordinal, column, type``, voted over all rows.
 
-    The sample is the first rows of the file, or of an explicit order where the rows
-    come from several files. Without an order the few rows are taken first, which reads
-    the start of one file; a limit inside the plan would touch every split.
+    The votes are plain aggregates. With ``sample`` only so many first rows of the file vote.
     """
-    if order_by:
-        sample = rows.orderBy(*order_by).limit(SAMPLE_ROWS)
-    else:
-        sample = rows.sparkSession.createDataFrame(rows.take(SAMPLE_ROWS), rows.schema)
-    votes = sample.agg(
+    if sample is not None:
+        rows = rows.sparkSession.createDataFrame(rows.take(sample), rows.schema)
+    votes = rows.agg(
         F.array(
             *[
                 F.struct(F.lit(i + 1).alias("ordinal"), F.lit(c).alias("column"), _vote(c).alias("type"))
@@ -84,7 +79,8 @@ def load_typed(rows: DataFrame, types: dict[str, str], strict: bool = False) ->
     """Cast every column to its voted type over the full scan.
 
     Blanks become NULL in typed columns and stay as they are in text. A value that does
-    not fit is NULL and flags its row ``_corrupt``; ``strict`` fails the load instead.
+    not fit is NULL and flags its row ``_corrupt``, and ``_misfits`` keeps its text by column; ``strict``
+    fails the load instead.
     """
     columns, misfits = [], []
     for name in rows.columns:
@@ -95,9 +91,10 @@ def load_typed(rows: DataFrame, types: dict[str, str], strict: bool = False) ->
         value = F.nullif(F.trim(raw), F.lit(""))
         cast = _as_date(value) if kind == "DATE" else value.try_cast(kind)
         columns.append(cast.alias(name))
-        misfits.append(value.isNotNull() & cast.isNull())
-    corrupt = F.coalesce(F.array_contains(F.array(*misfits), True), F.lit(False)) if misfits else F.lit(False)
+        misfits.append(F.when(value.isNotNull() & cast.isNull(), F.struct(F.lit(name).alias("key"), raw.alias("value"))))
+    kept = F.map_from_entries(F.array_compact(F.array(*misfits))) if misfits else F.create_map().cast("map<string,string>")
+    corrupt = F.size(kept) > 0
     if strict:
         failed = F.raise_error(F.lit("a value does not fit its column type")).cast("boolean")
         corrupt = F.when(corrupt, failed).otherwise(F.lit(False))
-    return rows.select(*columns, corrupt.alias("_corrupt"))
+    return rows.select(*columns, corrupt.alias("_corrupt"), kept.alias("_misfits"))

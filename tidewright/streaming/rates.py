@@ -1,7 +1,8 @@
 """Counter rates over a stream of samples.
 
 The last sample per (instance, item) lives in a small state table, one folder per
-batch: batch N reads the state of N-1 and writes its own, so a replay repeats itself.
+batch: batch N reads the state of N-1 and writes its own, so a replay repeats itself. Older
+states are removed.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ def rates_available(samples: DataFrame, target: str, state: str, checkpoint: str
         rates.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
         last = latest_per_key(rows.drop("_old"), KEYS, ["ts"])
         last.write.mode("overwrite").parquet(f"{state}/{batch_id}")
+        if batch_id > 1:
+            old = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{state}/{batch_id - 2}")
+            old.getFileSystem(batch.sparkSession._jsc.hadoopConfiguration()).delete(old, True)
 
     (
         samples.writeStream.foreachBatch(step)

@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.operators.change_data import filter_changes, undo_statements
 
 
 def undo_available(
-    feed: DataFrame, target: str, checkpoint: str, start: str | None = None, end: str | None = None,
-    operation: str | None = None, tables: list[str] | None = None,
+    feed: DataFrame, target: str, checkpoint: str, operation: str | None = None, tables: list[str] | None = None
 ) -> None:
-    """Undo statements of all changes since the checkpoint, within two times, then stop.
+    """Undo statements of all changes since the checkpoint, then stop.
 
-    The next run continues where this one ended. Nothing here needs state: the file sink
-    commits each batch once.
+    The next run continues where this one ended. The checkpoint moves past every change that is
+    read, so no time bound is taken here: what arrives early for one slice is kept for the
+    next, and ``undo_slice`` takes the times. Nothing needs state; the file sink commits each batch once.
     """
-    kept = filter_changes(feed, start, end, operation, tables)
     (
-        undo_statements(kept)
+        undo_statements(filter_changes(feed, operation=operation, tables=tables))
         .select("db", "tbl", "op", "event_time", "log_file", "log_pos", "sql", "rollback_sql", "replace_sql")
         .writeStream.format("parquet")
         .option("path", target)
@@ -27,3 +26,11 @@ def undo_available(
         .start()
         .awaitTermination()
     )
+
+
+def undo_slice(
+    spark: SparkSession, target: str, start: str | None = None, end: str | None = None,
+    operation: str | None = None, tables: list[str] | None = None,
+) -> DataFrame:
+    """The kept statements of the changes between two inclusive times; the range reaches the scan."""
+    return filter_changes(spark.read.parquet(target), start, end, operation, tables)

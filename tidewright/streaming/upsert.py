@@ -50,7 +50,19 @@ def current_rows(spark: SparkSession, target: str, keys: list[str], order: list[
     return latest_per_key(changes, keys, order).filter(F.col("op") != "delete")
 
 
-def compact(spark: SparkSession, target: str, compacted: str, keys: list[str], order: list[str]) -> None:
-    """Fold all batches into a new folder, deletions kept so that late changes still lose."""
-    changes = spark.read.parquet(target).drop("batch_id")
-    latest_per_key(changes, keys, order).write.mode("overwrite").parquet(f"{compacted}/batch_id=-1")
+def compact(spark: SparkSession, target: str, keys: list[str], order: list[str]) -> None:
+    """Fold the batches that are there into one, in place; deletions are kept so that late changes still lose.
+
+    The folded rows go to a new folder with the next negative number, then the folders they
+    come from are removed. A failure in between leaves rows twice, which reading takes as once, and a
+    running stream only adds folders. A read that began before the removal may have to be repeated.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(target)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = [f.getPath() for f in files.listStatus(root) if f.getPath().getName().startswith("batch_id=")]
+    numbers = [int(f.getName().removeprefix("batch_id=")) for f in folders]
+    changes = spark.read.option("basePath", target).parquet(*[f.toString() for f in folders]).drop("batch_id")
+    folded = latest_per_key(changes, keys, order)
+    folded.write.mode("overwrite").parquet(f"{target}/batch_id={min([0, *numbers]) - 1}")
+    for folder in folders:
+        files.delete(folder, True)
