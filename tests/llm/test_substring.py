@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tests.llm import brute
@@ -68,3 +69,9 @@ def test_texts_are_dealt_out_once(spark, sf_dir):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_groups_as_spark_counts_them(spark):
+    ids = [0, 1, -1, 42, 2**63 - 1, -(2**63), 123456789]
+    df = spark.createDataFrame([(i,) for i in ids], "i long").selectExpr("i", "pmod(xxhash64(i), 97) AS p")
+    assert {r.i: r.p for r in df.collect()} == dict(zip(ids, substring.part_of(np.array(ids), 97).tolist()))
