@@ -47,11 +47,24 @@ def test_each_distinct_word_is_sent_once_per_portion(spark):
 
 @pytest.mark.parametrize("text", ["a  b", "a \n b", "a b", " a", "a　 b"])
 def test_pieces_equal_the_whole_text(text):
-    cut = bpe.splitter(public_tokenizers.PATTERN)
-    pieces = bpe._Pieces(cut)
+    pieces = bpe._Pieces(public_tokenizers.PATTERN)
     numbers = list(bpe.pre_tokens(text, pieces))
     words = list(pieces.words)
-    assert [words[n] for n in numbers] == cut.findall(text)
+    for cut in bpe.splitters(public_tokenizers.PATTERN):
+        assert [words[n] for n in numbers] == cut.findall(text)
+
+
+def test_every_character_falls_in_the_library_s_class():
+    """Each character beside a letter, a digit, a sign and blanks, against the library."""
+    plain = brute.encoder(PATH)
+    for start in range(0, 0x110000, 0x400):
+        chars = [chr(c) for c in range(start, start + 0x400) if not 0xD800 <= c < 0xE000]
+        text = "".join(f"a{c}1{c}!{c} {c}\t " for c in chars)
+        pieces = bpe._Pieces(public_tokenizers.PATTERN)
+        numbers = list(bpe.pre_tokens(text, pieces))
+        words = list(pieces.words)
+        joined = [i for n in numbers for i in plain._encode_single_piece(words[n])]
+        assert joined == plain.encode_ordinary(text)
 
 
 def test_exchange_is_made_once_and_read_twice(spark, sf_dir):

@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -42,23 +43,31 @@ def ranks(path: str) -> dict[bytes, int]:
 
 
 @functools.lru_cache(4)
-def splitter(pattern: str) -> regex.Pattern:
-    """``pattern`` with the letters and numbers that the encoding library knows, not those of another Unicode version."""
+def splitters(pattern: str) -> tuple[re.Pattern, regex.Pattern]:
+    """``pattern`` with the blanks, letters and numbers that the encoding library knows, not those of another
+    Unicode version: for texts within the basic plane, whose sets are table lookups, and for all others."""
     every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
     single = {bytes([b]): b for b in range(256)}
-    for name in (r"\p{L}", r"\p{N}"):
+    small = large = pattern
+    for name in (r"\s", r"\p{L}", r"\p{N}"):
         probe = tiktoken.Encoding("probe", pat_str=name, mergeable_ranks=single, special_tokens={})
         codes = np.array([ord(c) for c in bytes(probe.encode_ordinary(every)).decode()])
-        cuts = np.flatnonzero(np.diff(codes) != 1)
-        firsts, lasts = codes[np.concatenate([[0], cuts + 1])], codes[np.concatenate([cuts, [-1]])]
-        inside = "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(firsts, lasts))
-        # Inside a set the ranges stand as they are, elsewhere they make one.
-        pattern = regex.sub(r"(\[[^\]]*)" + regex.escape(name), lambda m, inside=inside: m[1] + inside, pattern)
-        pattern = pattern.replace(name, f"[{inside}]")
-    return regex.compile(pattern)
+        small, large = _spelled(small, name, codes[codes < 0x10000]), _spelled(large, name, codes)
+    return re.compile(small), regex.compile(large)
 
 
-_BLANK_THEN_SPACE = regex.compile(r"[\s\x1c-\x1f] ")
+def _spelled(pattern: str, name: str, codes: np.ndarray) -> str:
+    """``pattern`` with a class spelled out as ranges: inside a set as they are, elsewhere as a set."""
+    cuts = np.flatnonzero(np.diff(codes) != 1)
+    firsts, lasts = codes[np.concatenate([[0], cuts + 1])], codes[np.concatenate([cuts, [-1]])]
+    inside = "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(firsts, lasts))
+    pattern = re.sub(r"(\[[^\]]*)" + re.escape(name), lambda m: m[1] + inside, pattern)
+    pattern = pattern.replace(name, f"[{inside}]")
+    return pattern.replace(r"\S", f"[^{inside}]") if name == r"\s" else pattern
+
+
+_BLANK_THEN_SPACE = re.compile(r"\s ")
+_BEYOND_BASIC = re.compile("[\U00010000-\U0010ffff]")
 
 
 def pre_tokens(text: str, known: dict[str, tuple]) -> Iterable[int]:
@@ -76,11 +85,13 @@ def pre_tokens(text: str, known: dict[str, tuple]) -> Iterable[int]:
 class _Pieces(dict):
     """Pieces of text and the numbers of their words, in order of first appearance."""
 
-    def __init__(self, cut: regex.Pattern):
-        self.cut, self.words = cut, defaultdict(count().__next__)
+    def __init__(self, pattern: str):
+        self.small, self.large = splitters(pattern)
+        self.words = defaultdict(count().__next__)
 
     def __missing__(self, piece: str) -> tuple:
-        found = tuple(map(self.words.__getitem__, self.cut.findall(piece)))
+        cut = self.small if piece.isascii() or not _BEYOND_BASIC.search(piece) else self.large
+        found = tuple(map(self.words.__getitem__, cut.findall(piece)))
         if len(piece) < 64:
             self[piece] = found
         return found
@@ -120,40 +131,45 @@ _PORTION = pa.schema(
 _PORTION_SQL = "portion long, ids array<long>, sizes binary, places binary, words array<struct<bucket int, numbers binary, words binary>>"
 
 
+def _portion(rows: list[dict], number: int, pattern: str, buckets: int) -> dict:
+    """Ids and sizes of some documents, the word number at every position, and the words by bucket."""
+    pieces, places = _Pieces(pattern), []
+    for row in rows:
+        places.append(np.fromiter(pre_tokens(row["text"] or "", pieces), np.uint32))
+        if len(pieces) > REMEMBERED:
+            pieces.clear()
+    at = np.concatenate(places)
+    # Frequent words get small numbers, which pack well.
+    order = np.argsort(-np.bincount(at, minlength=len(pieces.words)), kind="stable")
+    renumbered = np.empty(len(order), np.uint32)
+    renumbered[order] = np.arange(len(order), dtype=np.uint32)
+    words = np.empty(len(order), object)
+    words[:] = [w.encode() for w in pieces.words]
+    pieces.clear()
+    words = words[order]
+    bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+    by_bucket = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
+    lists = []
+    for b in np.flatnonzero(np.diff(cuts)):
+        own = by_bucket[cuts[b] : cuts[b + 1]]
+        lists.append({"bucket": b, "numbers": _press(np.diff(own, prepend=0)), "words": _zip(words[own].tolist())})
+    return {
+        "portion": number,
+        "ids": [r["doc_id"] for r in rows],
+        "sizes": _press(np.fromiter(map(len, places), np.uint32, len(places))),
+        "places": _press(renumbered[at] if len(at) else at),
+        "words": lists,
+    }
+
+
 def _cut(pattern: str, buckets: int):
-    """One row per portion: its documents' ids and sizes, the word number at every position, its words by bucket."""
+    """One row per portion of the documents."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, task = splitter(pattern), TaskContext.get().partitionId()
+        task = TaskContext.get().partitionId()
         for number, rows in enumerate(portions(batches, "text", PORTION)):
-            pieces, places = _Pieces(cut), []
-            for row in rows:
-                places.append(np.fromiter(pre_tokens(row["text"] or "", pieces), np.uint32))
-                if len(pieces) > REMEMBERED:
-                    pieces.clear()
-            at = np.concatenate(places)
-            # Frequent words get small numbers, which pack well.
-            order = np.argsort(-np.bincount(at, minlength=len(pieces.words)), kind="stable")
-            renumbered = np.empty(len(order), np.uint32)
-            renumbered[order] = np.arange(len(order), dtype=np.uint32)
-            words = np.empty(len(order), object)
-            words[:] = [w.encode() for w in pieces.words]
-            words = words[order]
-            bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-            by_bucket = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
-            lists = []
-            for b in np.flatnonzero(np.diff(cuts)):
-                own = by_bucket[cuts[b] : cuts[b + 1]]
-                lists.append({"bucket": b, "numbers": _press(np.diff(own, prepend=0)), "words": _zip(words[own].tolist())})
-            row = {
-                "portion": task << 32 | number,
-                "ids": [r["doc_id"] for r in rows],
-                "sizes": _press(np.fromiter(map(len, places), np.uint32, len(places))),
-                "places": _press(renumbered[at] if len(at) else at),
-                "words": lists,
-            }
-            yield pa.RecordBatch.from_pylist([row], _PORTION)
+            yield pa.RecordBatch.from_pylist([_portion(rows, task << 32 | number, pattern, buckets)], _PORTION)
 
     return run
 
