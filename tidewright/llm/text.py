@@ -109,3 +109,5 @@ def portions(batches: Iterable[pa.RecordBatch], text: str, limit: int) -> Iterat
                 size += n
     if rows:
         yield rows
+    # The Python worker goes on to other tasks; what this one has freed goes back to the system.
+    pa.default_memory_pool().release_unused()
