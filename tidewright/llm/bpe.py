@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.text import portions
+from tidewright.llm.text import portions, small_batches
 from tidewright.session import settled_rows
 
 PORTION = 6 << 20  # characters whose words are shuffled together
@@ -266,7 +266,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     The portions are dealt out once, by an exchange that both later steps read; so that a lost
     task makes the same portions again, a table that is not read from storage is written down first.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if "Exchange" in slim._jdf.queryExecution().executedPlan().toString():
         slim = settled_rows(slim)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.text import Words, portions, utf8
+from tidewright.llm.text import Words, portions, small_batches, utf8
 
 WINDOW = 13
 PORTION = 2 << 20  # characters hashed together
@@ -310,7 +310,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     """
     if window % 2 == 0:
         raise ValueError("an odd window holds a block of half its words at any offset")
-    docs = docs.drop("n_words", "n_removed", "_part").withColumn(id_col, F.col(id_col).cast("long"))
+    docs = small_batches(docs).drop("n_words", "n_removed", "_part").withColumn(id_col, F.col(id_col).cast("long"))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets, parts = max(8, -(-total // BUCKET_BYTES)), max(64, -(-total // GROUP_BYTES))
     named = docs.filter(F.col(id_col).isNotNull())

@@ -10,6 +10,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+
+BATCH_ROWS = 512
 
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -90,6 +93,17 @@ class Words:
         return h, self.owner[: len(h)] == self.owner[width - 1 : width - 1 + len(h)]
 
 
+def small_batches(docs: DataFrame) -> DataFrame:
+    """Have texts handed to Python some hundred at a time, so that a batch is a few MB on either side.
+
+    The setting holds for the session, as frames are run later; a smaller one stays.
+    """
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return docs
+
+
 def utf8(text: str | None) -> bytes:
     """A text's bytes; a null is an empty text."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.text import Words, portions, utf8
+from tidewright.llm.text import Words, portions, small_batches, utf8
 
 DIMENSIONS = 1 << 18
 BEGINNINGS = (4, 5, 6, 7, 8)  # bytes
@@ -106,7 +106,7 @@ def train(docs: DataFrame, grades: DataFrame, n_grades: int, rows: int = TRAININ
     """
     sample = grades.filter("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.max("grade").alias("grade"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumnRenamed("doc_id", "_of")
-    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("_of"))
+    chosen = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("_of"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in portions(batches, "text", 1 << 19):
@@ -148,7 +148,7 @@ def severities(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     has no features; it scores what the thresholds alone say, which is clean. Rows are judged one by
     one, so null ids, repeated rows and other columns do not matter; columns of the new names are replaced.
     """
-    spark, docs = docs.sparkSession, docs.drop("severity", "grade", "rejected")
+    spark, docs = docs.sparkSession, small_batches(docs).drop("severity", "grade", "rejected")
     used = np.flatnonzero(model.weights)
     shared = spark.sparkContext.broadcast((used.astype(np.int32), model.weights[used], model.thresholds))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
