@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from tidewright.llm.text import portions, small_batches
 from tidewright.session import settled_rows
 
-PORTION = 6 << 20  # characters whose words are shuffled together
-REMEMBERED = 1 << 17  # pieces of text kept with their words
+PORTION = 4 << 20  # characters whose words are shuffled together
+REMEMBERED = 1 << 16  # pieces of text kept with their words
 BUCKET = 16 << 20  # characters of the corpus per bucket of words
 
 

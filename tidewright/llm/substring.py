@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from tidewright.llm.text import Words, portions, small_batches, utf8
 
 WINDOW = 13
-PORTION = 2 << 20  # characters hashed together
+PORTION = 1 << 20  # characters hashed together
 BUCKET_BYTES = 12 << 20  # bytes of text per hash bucket
-GROUP_BYTES = 2 << 20  # bytes of text per group of documents
+GROUP_BYTES = 1 << 20  # bytes of text per group of documents
 
 _NONE = np.iinfo(np.int64).max
 # Bytes of hash besides the bucket. A false hit of the first round costs a few windows in the second.

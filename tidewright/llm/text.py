@@ -25,7 +25,7 @@ _powers = {}
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64, at least ``n`` of each."""
     if n > _powers.get("size", 0):
-        size = max(n, 1 << 16)
+        size = 1 << max(n, 1 << 16).bit_length()
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
