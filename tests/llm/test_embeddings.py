@@ -62,6 +62,23 @@ def test_recall_of_links(spark, block):
     assert sum(got[i].n_links for i, _ in single) >= 0.93 * len(single)
 
 
+@pytest.mark.parametrize("cosine", [0.95, 0.985])
+def test_no_link_of_a_large_group_is_lost(spark, cosine):
+    """A third of the vectors lie so near to one of them; their links are counted by all pairs."""
+    rng = np.random.default_rng(11)
+    unit = rng.normal(size=(10_200, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    group, centre = slice(1, 3401), unit[0]
+    side = unit[group] - np.outer(unit[group] @ centre, centre)
+    unit[group] = cosine * centre + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = np.concatenate([(unit[a : a + 600] @ unit.T >= 0.9).sum(axis=1) - 1 for a in range(0, len(unit), 600)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(unit)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df).collect()}
+    assert [got[i].n_links for i in range(len(unit))] == want.tolist()
+    assert {got[i].component_id for i in range(3401) if want[i]} == {0}
+
+
 def test_odd_vectors_repeats_and_clashing_columns(spark):
     one = [1.0, 0.0, 2.0]
     rows = [(5, one), (2, [2.0, 0.0, 4.0]), (9, [1.0, -0.0, 2.0]), (9, one), (None, one), (1, None), (3, [0.0, 0.0, 0.0]), (4, [1.0, None, 1.0]),

@@ -4,6 +4,10 @@ Reference points (pivots) are drawn from a bounded sample. A vector is described
 in order; inverted lists hold, for each pivot, the vectors that have it. Two vectors of one list
 that share enough pivots are candidates and are verified by their cosine in double precision. Lists longer
 than a block are dealt into tiles of two blocks, so no list is cut and no task holds a whole long one.
+
+Among many pivots that lie close together the order says nothing. There, some pivots are centres: a vector
+of the crowd belongs to the cell of its nearest centre and meets in it all vectors that may link with it by
+the triangle inequality on angles, so no link of a crowd's vector is missed.
 """
 
 from __future__ import annotations
@@ -53,11 +57,31 @@ def _unit(lists: pa.ChunkedArray, width: int) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _described(pivots: np.ndarray, nearest: int):
-    """Rows (pivot, place in the order, node, rows, vector, description) for the inverted lists."""
+def _cosine(angles: float, threshold: float) -> float:
+    """Cosine of so many times the angle of the threshold."""
+    return math.cos(min(math.pi, angles * math.acos(threshold)))
+
+
+def centres(pivots: np.ndarray, nearest: int, threshold: float) -> np.ndarray:
+    """Places of pivots that stand for the crowded ones: each of these is within the threshold of a centre.
+
+    A pivot is crowded if more pivots than a description has lie within one and a half times the threshold's angle.
+    """
+    degree = np.concatenate([[0], *[(pivots[a : a + 512] @ pivots.T >= _cosine(1.5, threshold)).sum(axis=1) for a in range(0, len(pivots), 512)]])[1:]
+    left = np.flatnonzero(degree > nearest)
+    left = left[np.argsort(-degree[left], kind="stable")]
+    out = []
+    while len(left):
+        out.append(left[0])
+        left = left[1:][pivots[left[1:]] @ pivots[left[0]] < threshold]
+    return np.array(out, np.int64)
+
+
+def _described(pivots, nearest: int, threshold: float):
+    """Rows (node, rows, vector, description, home, angle): the crowd's cell, -1 outside crowds, and the angle to its centre."""
 
     def run(batches):
-        known = pivots.value
+        known, chosen = pivots.value
         for batch in batches:
             table = pa.Table.from_batches([batch])
             if not table.num_rows:
@@ -66,23 +90,52 @@ def _described(pivots: np.ndarray, nearest: int):
             k = min(nearest, len(known))
             close = unit @ known.T
             order = np.argsort(-close, axis=1, kind="stable")[:, :k].astype(np.int32)
-            at = np.repeat(np.arange(len(unit)), k)
             described = pa.ListArray.from_arrays(pa.array(np.arange(0, len(unit) * k + 1, k), pa.int32()), pa.array(order.ravel()))
+            home, angle = np.full(len(unit), -1, np.int32), np.zeros(len(unit))
+            if len(chosen):
+                home = close[:, chosen].argmax(axis=1).astype(np.int32)
+                best = close[np.arange(len(unit)), chosen[home]]
+                home[best < _cosine(2, threshold)] = -1
+                angle = np.arccos(np.clip(best, -1, 1))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(order.ravel()),
-                    table["node"].combine_chunks().take(pa.array(at)),
-                    table["rows"].combine_chunks().take(pa.array(at)),
-                    table["vector"].combine_chunks().take(pa.array(at)),
-                    described.take(pa.array(at)),
-                ],
-                ["pivot", "node", "rows", "vector", "described"],
+                [*[table[c].combine_chunks() for c in ("node", "rows", "vector")], described, pa.array(home), pa.array(angle)],
+                ["node", "rows", "vector", "described", "home", "angle"],
             )
 
     return run
 
 
-def _tile(threshold: float, shared: int):
+def _listed(pivots, radii: dict[int, float], threshold: float):
+    """Rows of the inverted lists, and of the cells: numbered after the pivots, with all that may link with a vector of the cell."""
+
+    def run(batches):
+        known, chosen = pivots.value
+        cells = np.array(sorted(radii), np.int64)
+        reach = np.array([radii[c] for c in cells]) + math.acos(threshold) + 1e-6
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if not table.num_rows:
+                continue
+            described = table["described"].combine_chunks()
+            order = described.flatten().to_numpy().reshape(table.num_rows, -1)
+            outside = np.flatnonzero(table["home"].to_numpy() < 0)
+            at, pivot = np.repeat(outside, order.shape[1]), order[outside].ravel()
+            if len(cells):
+                unit = _unit(table["vector"], known.shape[1])
+                who, cell = np.nonzero(np.arccos(np.clip(unit @ known[chosen[cells]].T, -1, 1)) <= reach)
+                at, pivot = np.concatenate([at, who]), np.concatenate([pivot, len(known) + cells[cell]])
+            # A vector may be in many cells; a batch carries a bounded number of rows.
+            for a in range(0, len(at), 8192):
+                taken = pa.array(at[a : a + 8192])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(pivot[a : a + 8192].astype(np.int32)), *[table[c].combine_chunks().take(taken) for c in ("node", "rows", "vector")], described.take(taken), table["home"].combine_chunks().take(taken)],
+                    ["pivot", "node", "rows", "vector", "described", "home"],
+                )
+
+    return run
+
+
+def _tile(threshold: float, shared: int, n_pivots: int):
     """Verified links of one tile: how many rows each node meets, and links that join what meets."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -93,28 +146,41 @@ def _tile(threshold: float, shared: int):
         right = np.flatnonzero(table["right"].to_numpy(zero_copy_only=False))
         diagonal = table["i"][0].as_py() == table["j"][0].as_py()
         node, rows = table["node"].to_numpy(), table["rows"].to_numpy()
-        described = table["described"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
         unit = _unit(table["vector"], width)
-        # Pivots are renumbered in their order, so a description is a few words of bits.
-        names, local = np.unique(described, return_inverse=True)
-        local, here = local.reshape(described.shape), int(np.searchsorted(names, pivot))
-        bits = np.zeros((len(node), len(names) // 64 + 1), np.uint64)
-        for k in range(described.shape[1]):
-            bits[np.arange(len(node)), local[:, k] >> 6] |= np.uint64(1) << (local[:, k] & 63).astype(np.uint64)
-        # A pair belongs to the list of the smallest pivot it shares.
-        below = bits[:, : (here >> 6) + 1].copy()
-        below[:, here >> 6] &= (np.uint64(1) << np.uint64(here & 63)) - np.uint64(1)
+        if pivot < n_pivots:
+            described = table["described"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+            # Pivots are renumbered in their order, so a description is a few words of bits.
+            names, local = np.unique(described, return_inverse=True)
+            local, here = local.reshape(described.shape), int(np.searchsorted(names, pivot))
+            bits = np.zeros((len(node), len(names) // 64 + 1), np.uint64)
+            for k in range(described.shape[1]):
+                bits[np.arange(len(node)), local[:, k] >> 6] |= np.uint64(1) << (local[:, k] & 63).astype(np.uint64)
+            # A pair belongs to the list of the smallest pivot it shares.
+            below = bits[:, : (here >> 6) + 1].copy()
+            below[:, here >> 6] &= (np.uint64(1) << np.uint64(here & 63)) - np.uint64(1)
+
+            def candidates(rows_of, right):
+                common = np.zeros((len(rows_of), len(right)), np.int8)
+                earlier = np.zeros((len(rows_of), len(right)), bool)
+                for w in range(bits.shape[1]):
+                    common += np.bitwise_count(bits[rows_of, w][:, None] & bits[right, w][None, :]).astype(np.int8)
+                for w in range(below.shape[1]):
+                    earlier |= (below[rows_of, w][:, None] & below[right, w][None, :]) != 0
+                return (common >= shared) & ~earlier
+
+        else:
+            home = table["home"].to_numpy().astype(np.int64)
+            home[home < 0] = np.iinfo(np.int64).max
+
+            def candidates(rows_of, right):
+                # A pair belongs to the first cell that is home to one of the two.
+                return np.minimum(home[rows_of][:, None], home[right][None, :]) == pivot - n_pivots
+
         met = np.zeros(len(node), np.int64)
         label = np.arange(len(node))
         for a in range(0, len(left), 256):
             rows_of = left[a : a + 256]
-            common = np.zeros((len(rows_of), len(right)), np.int8)
-            earlier = np.zeros((len(rows_of), len(right)), bool)
-            for w in range(bits.shape[1]):
-                common += np.bitwise_count(bits[rows_of, w][:, None] & bits[right, w][None, :]).astype(np.int8)
-            for w in range(below.shape[1]):
-                earlier |= (below[rows_of, w][:, None] & below[right, w][None, :]) != 0
-            found = (common >= shared) & ~earlier
+            found = candidates(rows_of, right)
             if diagonal:
                 found &= rows_of[:, None] < right[None, :]
             found &= unit[rows_of] @ unit[right].T >= threshold
@@ -161,10 +227,15 @@ def near_duplicates(
     n_pivots = pivot_count(total)
     sample = found.orderBy(F.xxhash64("node"), "node").limit(n_pivots).select("vector").toArrow()
     pivots = _unit(sample["vector"], width["w"]) if sample.num_rows else np.zeros((0, 1))
-    known = spark.sparkContext.broadcast(pivots)
-    lists = found.select("node", "rows", "vector").mapInArrow(
-        _described(known, nearest), f"pivot int, node long, rows long, vector {found.schema['vector'].dataType.simpleString()}, described array<int>"
-    )
+    chosen = centres(pivots, nearest, threshold)
+    known = spark.sparkContext.broadcast((pivots, chosen))
+    fields = f"node long, rows long, vector {found.schema['vector'].dataType.simpleString()}, described array<int>, home int"
+    described = found.select("node", "rows", "vector").mapInArrow(_described(known, nearest, threshold), f"{fields}, angle double")
+    radii = {}
+    if len(chosen):
+        described = settled_rows(described)
+        radii = {r.home: r.radius for r in described.filter("home >= 0").groupBy("home").agg(F.max("angle").alias("radius")).collect()}
+    lists = described.mapInArrow(_listed(known, radii, threshold), f"pivot int, {fields}")
     sizes = lists.groupBy("pivot").agg(F.count("*").alias("n"))
     dealt = lists.join(sizes, "pivot").withColumn("p", F.ceil(F.col("n") / block).cast("int"))
     own = F.pmod(F.xxhash64("node"), F.col("p")).cast("int")
@@ -172,9 +243,9 @@ def near_duplicates(
     tiles = F.transform(
         other, lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j"), (own <= k).alias("left"), (own >= k).alias("right"))
     )
-    tiled = dealt.select("pivot", "node", "rows", "vector", "described", F.inline(tiles))
+    tiled = dealt.select("pivot", "node", "rows", "vector", "described", "home", F.inline(tiles))
     # On the diagonal a vector stands on both sides.
-    met = settled_rows(tiled.groupBy("pivot", "i", "j").applyInArrow(_tile(threshold, shared), "node long, met long, other long"))
+    met = settled_rows(tiled.groupBy("pivot", "i", "j").applyInArrow(_tile(threshold, shared, len(pivots)), "node long, met long, other long"))
     counts = met.groupBy("node").agg(F.sum("met").alias("met"))
     groups = components(met.filter("other IS NOT NULL").select(F.col("node").alias("u"), F.col("other").alias("v")))
     named = (
