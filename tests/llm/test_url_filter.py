@@ -71,6 +71,25 @@ def test_trees_agree_with_rules_they_were_not_shown(spark):
     assert right >= 0.9 * held.count() > 50
 
 
+def test_statistics_are_over_all_labelled_urls(spark):
+    rows = [(f"http://h{i}.s{i % 5}/f{i % 10}/x", float(i % 5 == 0)) for i in range(200)]
+    known = url_filter.train(url_filter.lexical(url_filter.parsed(spark.createDataFrame(rows, "url string, label double"))), rows=10)
+    assert known.overall == 0.2
+    rates = {r._suffix: r.suffix_rate for r in known.rates["suffix"].collect()}
+    assert rates == {f"s{k}": pytest.approx((40 * (k == 0) + 0.2 * 20) / 60) for k in range(5)}
+    assert known.rates["folder"].count() == 10
+
+
+def test_repeats_of_one_url_do_not_fill_the_sample(spark):
+    rows = [(i, *spam(i)) for i in range(100)]
+    parts = url_filter.lexical(url_filter.parsed(spark.createDataFrame(rows, "page_id long, url string, label double")))
+    first = parts.orderBy(F.xxhash64("host", "path", "_tail")).limit(1).crossJoin(spark.range(300)).drop("id")
+    known = url_filter.train(parts.unionByName(first), rows=50)
+    held = spark.createDataFrame([(i, *spam(i)) for i in range(200, 300)], "page_id long, url string, label double")
+    out = url_filter.judged(held, known)
+    assert out.filter(F.col("verdict") == F.when(F.col("label") == 1, "block").otherwise("allow")).count() >= 95
+
+
 def test_reruns_agree(spark, sf_dir):
     one, two = (sorted(queries.op1_url_filter(spark, sf_dir).collect()) for _ in range(2))
     assert one == two

@@ -109,7 +109,7 @@ def _rates(labelled: DataFrame, key: str, overall: float) -> DataFrame:
 
 
 class Filter:
-    """Boosted trees and the suffix statistics of their training rows."""
+    """Boosted trees and the suffix statistics of all labelled URLs."""
 
     def __init__(self, overall: float, rates: dict[str, DataFrame], trees=None):
         self.overall, self.rates, self.trees = overall, rates, trees
@@ -117,8 +117,7 @@ class Filter:
     def features(self, parts: DataFrame) -> DataFrame:
         out = parts
         for key, rates in self.rates.items():
-            # One row for each suffix of the bounded training rows, so TRAINING_ROWS at most.
-            out = out.join(F.broadcast(rates), F.col(key) == F.col(f"_{key}"), "left").drop(f"_{key}")
+            out = out.join(rates, F.col(key) == F.col(f"_{key}"), "left").drop(f"_{key}")
             out = out.withColumn(f"{key}_rate", F.coalesce(f"{key}_rate", F.lit(self.overall)))
         return VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(out)
 
@@ -130,25 +129,28 @@ class Filter:
 
 
 def train(labelled: DataFrame, rows: int = TRAINING_ROWS, trees: int = 20, depth: int = 4) -> Filter:
-    """Fit on at most ``rows`` labelled URLs, those whose parts hash lowest.
+    """Fit on at most ``rows`` different labelled URLs, those whose parts hash lowest, weighed by how often they occur.
 
-    ``labelled`` comes from ``lexical`` and has ``label``, 1.0 to block. The sorted sample is one small
-    partition, so sums run in one order and reruns give the same trees. Without labelled rows
-    nothing is blocked.
+    ``labelled`` comes from ``lexical`` and has ``label``, 1.0 to block; statistics are over all of it. The sorted
+    sample is one small partition, so sums run in one order and reruns give the same trees. Without
+    labelled rows nothing is blocked.
     """
-    order = F.xxhash64("host", "path", "_tail")
-    sample = labelled.filter("label IS NOT NULL").orderBy(order, "host", "path", "_tail").limit(rows).coalesce(1).cache()
-    overall, seen, kinds = sample.agg(F.avg("label"), F.count("*"), F.countDistinct("label")).first()
+    labelled = labelled.filter("label IS NOT NULL")
+    overall, seen = labelled.agg(F.avg("label"), F.count("*")).first()
     if not seen:
         return Filter(0.0, {})
-    rates = {key: _rates(sample, key, overall).cache() for key in ("suffix", "folder")}
-    fitted = Filter(overall, rates)
-    if kinds == 2:
+    rates = {key: _rates(labelled, key, overall).cache() for key in ("suffix", "folder")}
+    # Suffixes and folders are as many as the URLs make them; only few are broadcast.
+    fitted = Filter(overall, {key: F.broadcast(of) if of.count() <= TRAINING_ROWS else of for key, of in rates.items()})
+    order = [F.xxhash64("host", "path", "_tail"), "host", "path", "_tail", "label"]
+    different = labelled.groupBy("host", "path", "_tail", "label").agg(F.count("*").cast("double").alias("_weight"))
+    sample = different.orderBy(*order).limit(rows).cache()
+    if sample.select("label").distinct().count() == 2:
         boosted = GBTClassifier(
-            featuresCol="_features", labelCol="label", predictionCol="_prediction", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=11, checkpointInterval=-1,
+            featuresCol="_features", labelCol="label", weightCol="_weight", predictionCol="_prediction", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=11, checkpointInterval=-1,
         )
         boosted.setProbabilityCol("_probability").setRawPredictionCol("_raw")
-        fitted.trees = boosted.fit(fitted.features(sample))
+        fitted.trees = boosted.fit(fitted.features(lexical(sample)).repartition(1).sortWithinPartitions(*order))
     return fitted
 
 
