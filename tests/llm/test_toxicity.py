@@ -58,6 +58,18 @@ def test_held_out_labels_of_the_table(spark):
     assert caught >= 0.97 * sum(r.rejected for r in out)
 
 
+def test_one_row_of_an_id_reaches_the_driver(spark, monkeypatch):
+    rows = corpus(60, 4)
+    docs = spark.createDataFrame([*rows, *[(7, f"{t} {i}", g) for i, t, g in corpus(300, 5)]], "doc_id long, text string, truth int")
+    graded = spark.createDataFrame([(i, g) for i, _, g in rows], "doc_id long, grade int")
+    seen, whole = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: seen.append(whole(self)) or seen[-1])
+    one = toxicity.train(docs, graded, 4)
+    assert sum(t.num_rows for t in seen) == 60
+    two = toxicity.train(docs.repartition(5, "text"), graded, 4)
+    assert (one.weights == two.weights).all() and (one.thresholds == two.thresholds).all()
+
+
 def test_nulls_repeats_and_clashing_columns(spark):
     rows = corpus(200, 3)
     docs = spark.createDataFrame([*rows, (None, None, None), (7, "", 0), (7, "", 0), (8, "x" * 100_000 + " vile" * 50_000, 1)], "doc_id long, text string, feature int")

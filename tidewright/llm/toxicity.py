@@ -122,17 +122,10 @@ def train(docs: DataFrame, grades: DataFrame, n_grades: int, rows: int = TRAININ
             )
 
     # Repeated rows of one id would pass the bound; the first by content stands for them.
-    made = chosen.mapInArrow(run, "doc_id long, grade int, feature binary, value binary").toArrow().sort_by(
-        [("doc_id", "ascending"), ("feature", "ascending"), ("value", "ascending")]
-    )
+    made = chosen.mapInArrow(run, "doc_id long, grade int, feature binary, value binary")
+    made = made.groupBy("doc_id").agg(F.min(F.struct("feature", "value", "grade")).alias("first")).select("doc_id", "first.*").toArrow().sort_by("doc_id")
     if not made.num_rows:
         return Model(np.zeros(DIMENSIONS), np.full(n_grades - 1, 60.0))
-    seen, keep = set(), []
-    for k, i in enumerate(made["doc_id"].to_pylist()):
-        if i not in seen:
-            seen.add(i)
-            keep.append(k)
-    made = made.take(keep)
     grades_of = made["grade"].to_numpy().astype(np.int64)
     feature = np.frombuffer(b"".join(made["feature"].to_pylist()), np.int32)
     value = np.frombuffer(b"".join(made["value"].to_pylist()), np.float32)
