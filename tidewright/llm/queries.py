@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, embedding_dedup, licenses, mixing, quality, revisits, simhash, substring, toxicity, url_filter
+from tidewright.llm import bpe, embedding_dedup, language, licenses, mixing, phrases, quality, revisits, simhash, substring, toxicity, url_filter, whitening
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -235,6 +235,73 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, RANKS)).drop("ids")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All usable vectors on the leading 16 components of the different vectors' covariance."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    white = whitening.whitened(vectors, whitening.train(vectors))
+    each = white.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("k", "of"))
+    return each.select("vec_id", (F.col("k") + 1).alias("component"), "n", "deviation", "of.whitened", "of.explained", "identity_error")
+
+
+def held_out(doc_id: Column) -> Column:
+    """One document in five, by its id; a null id is never held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all whole documents by a network that learns from the ones not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    known = language.train(docs.filter(~held_out(F.col("doc_id"))))
+    judged = language.predicted(docs.select("doc_id", "text"), known)
+    return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collocations of each language in all whole documents."""
+    return phrases.mined(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[.,;:!?
+-]')) AS piece
+    FROM documents
+), texts AS (
+    SELECT row_number() OVER () AS pid, lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces
+), totals AS (
+    SELECT lang, sum(len(w))::HUGEINT AS n FROM texts GROUP BY lang
+), places AS (
+    SELECT pid, lang, w, unnest(range(1, len(w) + 1)) AS i FROM texts
+), grams AS (
+    SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase FROM places, range(1, 6) s(m) WHERE i + m - 1 <= len(w)
+), counts AS (
+    SELECT lang, m, phrase, count(*)::HUGEINT AS f FROM grams GROUP BY ALL HAVING count(*) >= 100
+), longer AS (
+    SELECT lang, f, string_split(phrase, ' ') AS w, m FROM counts WHERE m > 2
+), inside AS (
+    SELECT DISTINCT lang, array_to_string(w[i : i + k - 1], ' ') AS phrase, f
+    FROM longer, range(2, 5) s(k), range(1, 5) t(i) WHERE k < m AND i + k - 1 <= m
+), candidates AS (
+    SELECT c.lang, c.m, c.phrase, c.f AS a, t.n, string_split(c.phrase, ' ') AS w FROM counts c JOIN totals t USING (lang)
+    WHERE c.m > 1 AND NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = c.lang AND i.phrase = c.phrase AND 100 * i.f >= 100 * c.f)
+), cuts AS (
+    SELECT c.lang, c.phrase, c.a, c.n, k, x.f AS l, y.f AS r, (1000 * c.a * c.n) // (x.f * y.f) AS score
+    FROM candidates c, range(1, 5) s(k)
+    JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : k], ' ')
+    JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1 :], ' ')
+    WHERE k < c.m
+), lowest AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM cuts
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest WHERE nth = 1
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= 2000
+"""
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_embeddings": op2_embeddings,
@@ -246,6 +313,9 @@ QUERIES = {
     "op8_revisits": op8_revisits,
     "op9_licenses": op9_licenses,
     "op10_bpe": op10_bpe,
+    "op11_whitening": op11_whitening,
+    "op12_language": op12_language,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLES = {
@@ -254,4 +324,5 @@ ORACLES = {
     "op6_substring": OP6_SQL,
     "op8_revisits": OP8_SQL,
     "op9_licenses": _op9_sql(),
+    "op13_phrases": OP13_SQL,
 }

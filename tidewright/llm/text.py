@@ -6,7 +6,8 @@ between them, so that one vector operation serves many documents and no word cro
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -123,5 +124,45 @@ def portions(batches: Iterable[pa.RecordBatch], text: str, limit: int) -> Iterat
                 size += n
     if rows:
         yield rows
-    # The Python worker goes on to other tasks; what this one has freed goes back to the system.
+
+
+def give_back() -> None:
+    """Hand what a task has freed back to the system, as the Python worker goes on to other tasks."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def mapped(run: Callable) -> Callable:
+    """A function of Arrow batches that gives freed memory back at its end."""
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
+def grouped(run: Callable) -> Callable:
+    """A function of the Arrow table of a group that gives freed memory back at its end."""
+
+    def whole(table: pa.Table) -> pa.Table:
+        out = run(table)
+        del table
+        give_back()
+        return out
+
+    return whole
+
+
+def cogrouped(run: Callable) -> Callable:
+    """A function of the Arrow tables of a group on two sides that gives freed memory back at its end."""
+
+    def whole(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = run(left, right)
+        del left, right
+        give_back()
+        return out
+
+    return whole
