@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tidewright.operators import lineage as ln
+from tidewright.operators.statements import Dictionary
 from tidewright.sources.definitions import datasource_urls, stream_scripts, task_rows
 
 
@@ -51,6 +52,23 @@ def parsed(spark, sql):
         ("insert into t select x -- , y from nowhere\nfrom s where n = '(select'", "t", [("s", "x", "x")]),
         ("insert into t select x from s where n = '-- not a comment' and m in (1, 2);\n", "t", [("s", "x", "x")]),
         ("insert into 表 select 列 from 源", "表", [("源", "列", "列")]),
+        # Columns that are called as types, units and frame words are.
+        ("insert into t select max(date) as last_date, id from ods.s", "t", [("ods.s", "date", "last_date"), ("ods.s", "id", "id")]),
+        ("insert into t select upper(text) as u, first + last as n, max(current) as c from s", "t",
+         [("s", "text", "u"), ("s", "first", "n"), ("s", "last", "n"), ("s", "current", "c")]),
+        ("insert into t select cast(date as date) as d, cast(x as decimal(9, 2)) as x, time::date as y, convert(day, signed integer) as z from s", "t",
+         [("s", "date", "d"), ("s", "x", "x"), ("s", "time", "y"), ("s", "day", "z")]),
+        ("insert into t select date + interval n day as d, extract(year from year) as y, timestampdiff(month, a, month) as m, date '2024-01-01' as f from s",
+         "t", [("s", "date", "d"), ("s", "n", "d"), ("s", "year", "y"), ("s", "a", "m"), ("s", "month", "m")]),
+        ("insert into t select sum(row) over (partition by day order by hour desc nulls last rows between unbounded preceding and current row) as w, "
+         "trim(both 'x' from text) as v, group_concat(distinct first order by last separator ';') as g from s", "t",
+         [("s", "row", "w"), ("s", "day", "w"), ("s", "hour", "w"), ("s", "text", "v"), ("s", "first", "g"), ("s", "last", "g")]),
+        # A partition, and targets behind a star.
+        ("insert overwrite table d.t partition (dt = '1', hr) select a, b from s", "d.t", [("s", "a", "a"), ("s", "b", "hr")]),
+        ("insert overwrite table d.t partition (dt) (x, y) select a, b, c from s", "d.t", [("s", "a", "x"), ("s", "b", "y"), ("s", "c", "dt")]),
+        ("insert into t (x, y, z, w) select a, r.*, b from s a join r on 1 = 1 where a.k = 2", "t", [("r", "*", "*")]),
+        ("insert into t (x, y, z, w) select a, *, b from s", "t", [("s", "a", "x"), ("s", "*", "*"), ("s", "b", "w")]),
+        ("insert into t (select a, (b) as c from s where (k = 1))", "t", [("s", "a", "a"), ("s", "b", "c")]),
     ],
 )
 def test_statements_that_are_read(spark, sql, target, pairs):
@@ -84,6 +102,66 @@ def test_arms_of_a_set_operation(spark):
     assert got == [[("s", "a", "a"), ("s", "b", "c")], [("r", "x", "a"), ("r", "y", "c")], [("q", "z", "c")]]
 
 
+def test_arms_in_parentheses(spark):
+    sql = "insert into t (x) (select a from s where k in (1, 2)) union all (select f(b) from r limit 3)union(select c from q)"
+    df = spark.createDataFrame([(sql,), ("insert into t (select a from s union select b from r)",)], "sql string")
+    got = [([tuple(p) for p in r.pairs], r.reason) for r in ln.parse_insert_select(df, "sql").collect()]
+    assert got[:3] == [([("s", "a", "x")], None), ([("r", "b", "x")], None), ([("q", "c", "x")], None)]
+    assert got[3:] == [([], "nested set operation")]
+
+
+@pytest.fixture(scope="module")
+def dictionary(spark):
+    columns = [("S1", "Id", 1), ("s1", "id", 1), ("s1", "amount", 2), ("s2", "x", 2), ("s2", "note", 1), ("s3", "amount", 1), (None, "q", 1), ("s2", None, 3)]
+    return Dictionary(spark.createDataFrame(columns, "place string, column_name string, position int"), F.lower)
+
+
+@pytest.mark.parametrize(
+    "sql,pairs,lost",
+    [
+        ("select id, b.x from s1 a join s2 b", [("s1", "id", "id"), ("s2", "x", "x")], []),
+        ("select * from s1 a join s2 b", [("s1", "id", "id"), ("s1", "amount", "amount"), ("s2", "note", "note"), ("s2", "x", "x")], []),
+        ("select b.*, id + amount as n from s1 a join s2 b", [("s2", "note", "note"), ("s2", "x", "x"), ("s1", "id", "n"), ("s1", "amount", "n")], []),
+        ("select NOTE as n, amount from S1 a, S3 b, s2", [("s2", "NOTE", "n")], [("amount", "ambiguous column")]),
+        ("select id, other from s1, s2, far", [("s1", "id", "id"), ("far", "other", "other")], []),
+        ("select id, other from s1, far, away", [("s1", "id", "id")], [("other", "unqualified column")]),
+        ("select id, other, z.k, upper(id) from s1, s2", [("s1", "id", "id")], [("other", "unknown column"), ("k", "unknown qualifier"), ("id", "no target name")]),
+        ("select *, x as y from far f join s2", [("far", "*", "*"), ("s2", "note", "note"), ("s2", "x", "x"), ("s2", "x", "y")], []),
+        ("select z.*, id from s1, s2", [("s1", "id", "id")], [("*", "unknown qualifier")]),
+    ],
+)
+def test_column_dictionary(spark, dictionary, sql, pairs, lost):
+    df = spark.createDataFrame([(f"insert into t {sql}",)], "sql string")
+    r = ln.parse_insert_select(df, "sql", dictionary).first()
+    assert ([tuple(p) for p in r.pairs], [tuple(x) for x in r.lost], r.reason) == (pairs, lost, None)
+
+
+def test_spelled_stars_count_as_columns(spark, dictionary):
+    sqls = ["insert into t (a, b, c) select *, note from s1, s2 where s1.id = 1", "insert into t (a, b, c) select s1.*, note from s1, s2"]
+    df = spark.createDataFrame([(s,) for s in sqls], "sql string")
+    got = [(r.reason, [tuple(p) for p in r.pairs]) for r in ln.parse_insert_select(df, "sql", dictionary).orderBy(F.length("sql")).collect()]
+    assert got == [(None, [("s1", "id", "a"), ("s1", "amount", "b"), ("s2", "note", "c")]), ("column count differs", [])]
+
+
+def test_lost_columns_are_reported(spark, names):
+    tasks = spark.createDataFrame(
+        [(1, "insert into t select x, b.y from s a join r b", "x/", "d"), (2, "insert into t select a from s", "x/", "d"), (3, "update t", "x/", "d"),
+         (4, "insert into t select count(*) as n from s", "x/", "d")],
+        "task_code int, sql string, jdbc_url string, description string",
+    )
+    found = [(1, "x", "unqualified column"), (3, None, "skipped"), (4, None, "no source column")]
+    assert sorted(map(tuple, ln.sql_unparsed(tasks).collect()), key=str) == sorted(found, key=str)
+    columns = spark.createDataFrame([("uat.default.r", "X", 1)], "fqn string, column_name string, position int")
+    assert sorted(map(tuple, ln.sql_unparsed(tasks, names, columns).collect()), key=str) == sorted(found[1:], key=str)
+    assert rows(ln.sql_edges(tasks, names, columns), "from_fqn", "from_col") == [("uat.default.r", "x"), ("uat.default.r", "y"), ("uat.default.s", "a")]
+
+
+def test_long_statements_are_read_in_line_with_their_length(spark):
+    items = ", ".join(f"f({k}, (c{k})) as d{k}" for k in range(600))
+    r = ln.parse_insert_select(spark.createDataFrame([(f"insert into t select {items} from s",)], "sql string"), "sql").first()
+    assert [tuple(p) for p in r.pairs] == [("s", f"c{k}", f"d{k}") for k in range(600)]
+
+
 def test_classifier_stops_at_the_line(spark):
     df = spark.createDataFrame([("insert into t select 1",), ("INSERT  into t (a)\nselect 1",), ("insert into\nt\nselect 1",)], "s string")
     assert [r[0] for r in df.select(ln.is_insert_select(F.col("s"))).collect()] == [True, True, False]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewright.operators import lineage as ln
 from tidewright.plans.tables import Query, table
+from tidewright.session import settled_rows
 from tidewright.sources.definitions import datasource_urls, stream_scripts, task_rows
 
 DEFAULT = "default-service"
@@ -66,9 +67,21 @@ def _tasks(spark, sf_dir):
     two_lines = F.format_string("insert into\ndw.x_%s\nselect a from ods.b", k)
     nested = F.format_string("insert into dw.s_%s select a.id from (select id from ods.z) a", k)
     starred = F.format_string("insert into dw.copy_%s select * from ods.big_%s, ods.dim_%s d", k, b, s)
+    worded = F.format_string(
+        "insert into dw.w_%s select max(date) as last_date, cast(text as date) as d_%s, o.first from ods.k_%s o where o.day > now() - interval 1 day",
+        k, s, b,
+    )
+    looked_up = F.format_string(
+        "insert into dw.j_%s select id, b.x_%s, note, z.gone, amount * rate as total from ods.led_%s a join ods.bor_%s b on a.id = b.mid",
+        k, s, b, s,
+    )
+    spelled = F.format_string("insert into dw.star_%s (c1, c2, c3, c4) select a.*, b.mid from ods.led_%s a, ods.bor_%s b", k, b, s)
+    arms = F.format_string("insert into dw.p_%s (v) ( select a from ods.pa_%s) union all (select b from ods.pb_%s limit 3)", k, b, s)
+    third = F.col("p_partkey") % 3
     sql = (
-        F.when(kind == "ECONOMY", joined).when(kind == "SMALL", plain).when(kind == "MEDIUM", computed)
-        .when(kind == "PROMO", two_lines).when(kind == "STANDARD", nested).otherwise(starred)
+        F.when(kind == "ECONOMY", joined).when((kind == "SMALL") & (third == 1), worded).when(kind == "SMALL", plain)
+        .when(kind == "MEDIUM", computed).when((kind == "PROMO") & (third == 1), arms).when(kind == "PROMO", two_lines)
+        .when(kind == "STANDARD", nested).when(third == 1, looked_up).when(third == 2, spelled).otherwise(starred)
     )
     document = F.to_json(
         F.struct(
@@ -82,8 +95,30 @@ def _tasks(spark, sf_dir):
     return tasks.join(_datasources(spark, sf_dir), "datasource")
 
 
+def _columns(spark, sf_dir):
+    """The catalog's columns of the ledgers and loans that statements of the parts read."""
+    n = F.col("p_size") % 25
+    service = (
+        F.when(n >= 23, DEFAULT).when(n % 2 == 0, F.concat(F.lit('"svc.'), n.cast("string"), F.lit('"')))
+        .otherwise(F.concat(F.lit("svc-"), n.cast("string")))
+    )
+    size = _text("p_size")
+    ledger = F.concat(F.lit("ods.led_"), F.replace("p_brand", F.lit("Brand#"), F.lit("")))
+    tables = F.array(
+        F.struct(ledger.alias("name"), F.array(F.lit("id"), F.lit("amount"), F.lit("note")).alias("columns")),
+        F.struct(
+            F.concat(F.lit("ods.bor_"), size).alias("name"),
+            F.array(F.lit("mid"), F.lit("rate"), F.concat(F.lit("x_"), size), F.lit("note")).alias("columns"),
+        ),
+    )
+    known = table(spark, sf_dir, "part").select(service.alias("svc"), F.explode(tables).alias("t")).distinct()
+    return known.select(
+        ln.table_fqn(F.col("svc"), F.lit(""), F.col("t.name")).alias("fqn"), F.posexplode("t.columns").alias("position", "column_name")
+    )
+
+
 def _sql_edges(spark, sf_dir, names):
-    return ln.sql_edges(_tasks(spark, sf_dir), names)
+    return ln.sql_edges(_tasks(spark, sf_dir), names, _columns(spark, sf_dir))
 
 
 def lineage_sql_edges(spark, sf_dir):
@@ -91,7 +126,7 @@ def lineage_sql_edges(spark, sf_dir):
 
 
 def lineage_sql_unparsed(spark, sf_dir):
-    return ln.sql_unparsed(_tasks(spark, sf_dir))
+    return ln.sql_unparsed(_tasks(spark, sf_dir), _services(spark, sf_dir), _columns(spark, sf_dir))
 
 
 def _copy_jobs(spark, sf_dir):
@@ -230,11 +265,12 @@ def lineage_all_edges(spark, sf_dir):
 
 
 def edges_known_entities(spark, sf_dir):
-    """Known are the sources of SQL, copy and topic jobs and the targets of all but copy jobs."""
-    edges = _all(spark, sf_dir)
+    """Known are the sources of SQL, copy and topic jobs and the targets of all but copy jobs. The edges are read once:
+    they are settled before the entities are taken from them."""
+    edges = settled_rows(_all(spark, sf_dir).select("kind", "from_fqn", "to_fqn").distinct())
     sources = edges.filter(F.col("kind") != "stream").select(F.col("from_fqn").alias("fqn"))
     targets = edges.filter(F.col("kind") != "copy").select(F.col("to_fqn").alias("fqn"))
-    checked = ln.check_entities(ln.collect_edges(edges), sources.union(targets))
+    checked = ln.check_entities(edges.select("from_fqn", "to_fqn").distinct(), sources.union(targets))
     return checked.select("from_fqn", "to_fqn", "reason")
 
 
@@ -279,7 +315,7 @@ def _svc(n: str) -> str:
 
 
 _EDGES = f"""
-tk AS (SELECT CAST(p_partkey AS VARCHAR) AS k, CAST(p_size AS VARCHAR) AS s, replace(p_brand, 'Brand#', '') AS b,
+tk AS (SELECT CAST(p_partkey AS VARCHAR) AS k, p_partkey % 3 AS third, CAST(p_size AS VARCHAR) AS s, replace(p_brand, 'Brand#', '') AS b,
     p_type, p_size % 25 AS n, {_svc('p_size % 25')} || '.default.' AS svc,
     CASE WHEN p_size % 25 = 19 THEN '' ELSE 'db_' || CAST(p_size % 25 AS VARCHAR) || '.' END AS db,
     'kind: SQL' || chr(10) || 'project: ' || p_brand || chr(10) || 'workflow: nightly' || chr(10) || 'task: '
@@ -292,18 +328,28 @@ sql_e AS (
     FROM tk WHERE p_type = 'ECONOMY'
   UNION ALL SELECT 'sql', k, d, svc || 'ods.borrow_' || s, 'office_' || b, svc || 'dw.fact_' || k, 'updator'
     FROM tk WHERE p_type = 'ECONOMY'
-  UNION ALL SELECT 'sql', k, d, svc || db || 'src_' || b, 'id', svc || db || 't_' || k, 'id' FROM tk WHERE p_type = 'SMALL'
+  UNION ALL SELECT 'sql', k, d, svc || db || 'src_' || b, 'id', svc || db || 't_' || k, 'id' FROM tk WHERE p_type = 'SMALL' AND third <> 1
   UNION ALL SELECT 'sql', k, d, svc || db || 'src_' || b, 'name', svc || db || 't_' || k, 'label_' || s
-    FROM tk WHERE p_type = 'SMALL'
-  UNION ALL SELECT 'sql', k, d, svc || db || 'alt_' || b, 'k', svc || db || 't_' || k, 'id' FROM tk WHERE p_type = 'SMALL'
+    FROM tk WHERE p_type = 'SMALL' AND third <> 1
+  UNION ALL SELECT 'sql', k, d, svc || db || 'alt_' || b, 'k', svc || db || 't_' || k, 'id' FROM tk WHERE p_type = 'SMALL' AND third <> 1
   UNION ALL SELECT 'sql', k, d, svc || db || 'alt_' || b, 'nm', svc || db || 't_' || k, 'label_' || s
-    FROM tk WHERE p_type = 'SMALL'
+    FROM tk WHERE p_type = 'SMALL' AND third <> 1
   UNION ALL SELECT 'sql', k, d, svc || 'ods.m_' || b, unnest(['v', 'grp', 'x', 'y']), svc || 'dw.agg_' || k,
     unnest(['mx', 'grp', 'xy', 'xy']) FROM tk WHERE p_type = 'MEDIUM'
   UNION ALL SELECT 'sql', k, d, svc || 'ods.big_' || b, NULL, svc || 'dw.copy_' || k, NULL
-    FROM tk WHERE p_type NOT IN ('ECONOMY', 'SMALL', 'MEDIUM', 'PROMO', 'STANDARD')
+    FROM tk WHERE p_type NOT IN ('ECONOMY', 'SMALL', 'MEDIUM', 'PROMO', 'STANDARD') AND third = 0
   UNION ALL SELECT 'sql', k, d, svc || 'ods.dim_' || s, NULL, svc || 'dw.copy_' || k, NULL
-    FROM tk WHERE p_type NOT IN ('ECONOMY', 'SMALL', 'MEDIUM', 'PROMO', 'STANDARD')),
+    FROM tk WHERE p_type NOT IN ('ECONOMY', 'SMALL', 'MEDIUM', 'PROMO', 'STANDARD') AND third = 0
+  UNION ALL SELECT 'sql', k, d, svc || 'ods.k_' || b, unnest(['date', 'text', 'first']), svc || 'dw.w_' || k,
+    unnest(['last_date', 'd_' || s, 'first']) FROM tk WHERE p_type = 'SMALL' AND third = 1
+  UNION ALL SELECT 'sql', k, d, svc || unnest(['ods.pa_' || b, 'ods.pb_' || s]), unnest(['a', 'b']), svc || 'dw.p_' || k, 'v'
+    FROM tk WHERE p_type = 'PROMO' AND third = 1
+  UNION ALL SELECT 'sql', k, d, svc || unnest(['ods.led_' || b, 'ods.bor_' || s, 'ods.led_' || b, 'ods.bor_' || s]),
+    unnest(['id', 'x_' || s, 'amount', 'rate']), svc || 'dw.j_' || k, unnest(['id', 'x_' || s, 'total', 'total'])
+    FROM tk WHERE p_type NOT IN ('ECONOMY', 'SMALL', 'MEDIUM', 'PROMO', 'STANDARD') AND third = 1
+  UNION ALL SELECT 'sql', k, d, svc || unnest(['ods.led_' || b, 'ods.led_' || b, 'ods.led_' || b, 'ods.bor_' || s]),
+    unnest(['id', 'amount', 'note', 'mid']), svc || 'dw.star_' || k, unnest(['c1', 'c2', 'c3', 'c4'])
+    FROM tk WHERE p_type NOT IN ('ECONOMY', 'SMALL', 'MEDIUM', 'PROMO', 'STANDARD') AND third = 2),
 ck AS (SELECT CAST(c_custkey AS VARCHAR) AS k, c_nationkey AS n, CAST(c_nationkey AS VARCHAR) AS nt,
     lower(c_mktsegment) AS seg, {_svc('c_nationkey')} || '.default.' AS svc,
     {_svc('((c_nationkey + 1) % 25)')} || '.default.' AS svc2 FROM customer),
@@ -335,9 +381,11 @@ def _edges_of(cte: str) -> str:
 
 ORACLES: dict[str, str] = {
     "lineage_sql_edges": _edges_of("sql_e"),
-    "lineage_sql_unparsed": """SELECT p_partkey AS task_code,
+    "lineage_sql_unparsed": """SELECT p_partkey AS task_code, CAST(NULL AS VARCHAR) AS item,
         CASE p_type WHEN 'PROMO' THEN 'skipped' ELSE 'subquery' END AS reason
-      FROM part WHERE p_size % 25 <> 20 AND p_type IN ('PROMO', 'STANDARD')""",
+      FROM part WHERE p_size % 25 <> 20 AND (p_type = 'STANDARD' OR (p_type = 'PROMO' AND p_partkey % 3 <> 1))
+      UNION ALL SELECT p_partkey, unnest(['note', 'gone']), unnest(['ambiguous column', 'unknown qualifier'])
+      FROM part WHERE p_size % 25 <> 20 AND p_type NOT IN ('ECONOMY', 'SMALL', 'MEDIUM', 'PROMO', 'STANDARD') AND p_partkey % 3 = 1""",
     "lineage_datax_edges": _edges_of("copy_e"),
     "lineage_flink_edges": _edges_of("stream_e"),
     "lineage_canal_edges": _edges_of("topic_e"),
