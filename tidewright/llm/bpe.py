@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.text import portions, small_batches
+from tidewright.llm.text import grouped, mapped, portions, small_batches
 from tidewright.session import settled_rows
 
 PORTION = 4 << 20  # characters whose words are shuffled together
@@ -273,15 +273,15 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     total = slim.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(8, -(-total // BUCKET))
     table = spark.sparkContext.broadcast(ranks(path))
-    portioned = slim.mapInArrow(_cut(pattern, buckets), _PORTION_SQL).repartition("portion")
-    words = portioned.mapInArrow(_words_of, "portion long, bucket int, numbers binary, words binary")
+    portioned = slim.mapInArrow(mapped(_cut(pattern, buckets)), _PORTION_SQL).repartition("portion")
+    words = portioned.mapInArrow(mapped(_words_of), "portion long, bucket int, numbers binary, words binary")
     encoded = words.groupBy("bucket").applyInArrow(
-        _encode_bucket(path, table, pattern), "portion long, numbers binary, sizes binary, ids binary"
+        grouped(_encode_bucket(path, table, pattern)), "portion long, numbers binary, sizes binary, ids binary"
     )
     back = encoded.groupBy(F.col("portion").alias("of")).agg(F.collect_list(F.struct("numbers", "sizes", "ids")).alias("encoded"))
     # Both readers take all columns, which lets Spark use one exchange for them.
     whole = portioned.join(back, F.col("portion") == F.col("of"), "left")
-    return whole.mapInArrow(_assembled, "doc_id long, ids array<int>")
+    return whole.mapInArrow(mapped(_assembled), "doc_id long, ids array<int>")
 
 
 class TokenBytes:
@@ -324,7 +324,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = [_token_bytes(path, table).decode(ids) for ids in _lists(batch["ids"])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, f"{fields}, decoded binary")
+    return encoded.mapInArrow(mapped(run), f"{fields}, decoded binary")
 
 
 def digests(decoded: DataFrame) -> DataFrame:
@@ -336,7 +336,7 @@ def digests(decoded: DataFrame) -> DataFrame:
             names = ["doc_id", "ids", "decoded", "ids_sha256"]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names[:3]), pa.array(hashes, pa.string())], names)
 
-    hashed = decoded.select("doc_id", "ids", "decoded").mapInArrow(run, "doc_id long, ids array<int>, decoded binary, ids_sha256 string")
+    hashed = decoded.select("doc_id", "ids", "decoded").mapInArrow(mapped(run), "doc_id long, ids array<int>, decoded binary, ids_sha256 string")
     return hashed.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "ids"
     )

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.text import Words, portions, small_batches, utf8
+from tidewright.llm.text import Words, cogrouped, grouped, mapped, portions, small_batches, utf8
 
 WINDOW = 13
 PORTION = 1 << 20  # characters hashed together
@@ -204,7 +204,7 @@ def _block_hashes(buckets: int, parts: int, window: int):
                 ids = np.array([r["id"] for r in some], np.int64)
                 yield from _send(ids, words.owner[: len(h)][whole], h[whole], None, indexed[whole], buckets, parts)
 
-    return lambda batches: _arrow(rows(batches))
+    return mapped(lambda batches: _arrow(rows(batches)))
 
 
 def _meet(table: pa.Table, buckets: int, parts: int, both: bool) -> Iterator[tuple]:
@@ -216,9 +216,13 @@ def _meet(table: pa.Table, buckets: int, parts: int, both: bool) -> Iterator[tup
         yield from zip(*(table[c].to_pylist() for c in ("bucket", "part", "packed")))
         return
     low, check, doc, flag, reply = (np.concatenate(x) for x in zip(*map(_unpack, table["packed"].to_pylist())))
-    order = np.argsort(low) if both else np.lexsort((check, low))
-    low, check, doc, flag, reply = (x[order] for x in (low, check, doc, flag, reply))
-    told = _settle(low, check, doc, flag, both)[0] & reply
+    told = np.zeros(len(low), bool)
+    # An eighth of the hashes at a time, so that sorting needs little memory besides the entries.
+    for k in range(8):
+        part = np.flatnonzero((low & np.uint64(7)) == np.uint64(k))
+        if len(part):
+            part = part[np.argsort(low[part], kind="stable") if both else np.lexsort((check[part], low[part]))]
+            told[part] = _settle(low[part], check[part], doc[part], flag[part], both)[0] & reply[part]
     yield from _replies(doc[told], _answer(low[told], check[told]), bucket, parts)
 
 
@@ -229,7 +233,7 @@ def _exchanged(sent: DataFrame, buckets: int, parts: int, both: bool) -> DataFra
         schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("packed", pa.binary())])
         return pa.Table.from_batches(list(_arrow(_meet(table, buckets, parts, both))), schema).select(["part", "packed"]).rename_columns(["_told", "packed"])
 
-    return sent.groupBy("bucket").applyInArrow(meet, "_told int, packed binary")
+    return sent.groupBy("bucket").applyInArrow(grouped(meet), "_told int, packed binary")
 
 
 def _window_hashes(words: Words, window: int):
@@ -269,7 +273,7 @@ def _extended(buckets: int, parts: int, window: int, id_col: str, text_col: str)
         schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("packed", pa.binary())])
         return pa.Table.from_batches(list(_arrow(rows(docs, replies))), schema)
 
-    return run
+    return cogrouped(run)
 
 
 def _cut(window: int, id_col: str, text_col: str):
@@ -295,7 +299,7 @@ def _cut(window: int, id_col: str, text_col: str):
         made = made.append_column("n_words", pa.array([o[1] for o in out], pa.int64()))
         return made.append_column("n_removed", pa.array([o[2] for o in out], pa.int64()))
 
-    return run
+    return cogrouped(run)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,21 +18,25 @@ BATCH_ROWS = 512
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 
+_BLOCK = 1 << 16
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(7).integers(1, 2**64, 256, dtype=np.uint64)
 _powers = {}
 
 
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, at least ``n`` of each."""
-    if n > _powers.get("size", 0):
-        size = 1 << max(n, 1 << 16).bit_length()
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps)
-        _powers["size"] = size
-    return _powers["up"][:n], _powers["down"]
+    """Powers of the base and of its inverse modulo 2^64, at least ``n`` of each; a table for a very long word is not kept."""
+    if n <= _powers.get("size", 0):
+        return _powers["up"], _powers["down"]
+    size = 1 << max(n, 2 * _BLOCK).bit_length()
+    tables = []
+    for base in (_BASE, pow(_BASE, -1, 2**64)):
+        steps = np.full(size, base, np.uint64)
+        steps[0] = 1
+        tables.append(np.cumprod(steps))
+    if size <= 8 * _BLOCK:
+        _powers.update(up=tables[0], down=tables[1], size=size)
+    return tables[0], tables[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -51,15 +55,25 @@ def spans(buffer: np.ndarray, outside: np.ndarray = BLANK) -> tuple[np.ndarray,
 
 
 class Hashes:
-    """Hashes of any byte spans of one buffer, from prefix sums of a polynomial."""
+    """Hashes of spans that start at or within words of one buffer, from prefix sums of a polynomial.
 
-    def __init__(self, buffer: np.ndarray):
-        up, self.down = _power_table(len(buffer) + 1)
+    The polynomial begins anew at the first of ``starts`` in each block of bytes, so short tables of powers
+    serve a buffer of any length. A span must not go beyond the word it starts in.
+    """
+
+    def __init__(self, buffer: np.ndarray, starts: np.ndarray):
+        firsts = starts[np.flatnonzero(np.diff(starts // _BLOCK, prepend=-1))]
+        self.bases = np.unique(np.concatenate([[0], firsts]))
+        ends = np.append(self.bases[1:], len(buffer))
+        up, self.down = _power_table(int((ends - self.bases).max(initial=0)) + 1)
         self.sums = np.zeros(len(buffer) + 1, np.uint64)
-        np.cumsum(_BYTES[buffer] * up[:-1], out=self.sums[1:])
+        for a, b in zip(self.bases.tolist(), ends.tolist()):
+            self.sums[a + 1 : b + 1] = _BYTES[buffer[a:b]] * up[: b - a]
+        np.cumsum(self.sums, out=self.sums)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
+        within = starts - self.bases[np.searchsorted(self.bases, starts, "right") - 1]
+        return mix((self.sums[ends] - self.sums[starts]) * self.down[within])
 
 
 def rolling(words: np.ndarray, width: int, seed: int) -> np.ndarray:
@@ -82,7 +96,7 @@ class Words:
         self.first = np.searchsorted(self.starts, bounds)
         self.counts = np.diff(self.first)
         self.owner = np.repeat(np.arange(len(texts)), self.counts)
-        self.spans = Hashes(self.buffer)
+        self.spans = Hashes(self.buffer, self.starts)
         self.hashes = self.spans.of(self.starts, self.ends)
 
     def places(self) -> np.ndarray:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.text import Words, portions, small_batches, utf8
+from tidewright.llm.text import Words, mapped, portions, small_batches, utf8
 
 DIMENSIONS = 1 << 18
 BEGINNINGS = (4, 5, 6, 7, 8)  # bytes
@@ -122,7 +122,7 @@ def train(docs: DataFrame, grades: DataFrame, n_grades: int, rows: int = TRAININ
             )
 
     # Repeated rows of one id would pass the bound; the first by content stands for them.
-    made = chosen.mapInArrow(run, "doc_id long, grade int, feature binary, value binary")
+    made = chosen.mapInArrow(mapped(run), "doc_id long, grade int, feature binary, value binary")
     made = made.groupBy("doc_id").agg(F.min(F.struct("feature", "value", "grade")).alias("first")).select("doc_id", "first.*").toArrow().sort_by("doc_id")
     if not made.num_rows:
         return Model(np.zeros(DIMENSIONS), np.full(n_grades - 1, 60.0))
@@ -163,4 +163,4 @@ def severities(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
             columns = [pa.array(severity), pa.array(mass.argmax(axis=1).astype(np.int32)), pa.array(severity >= reject_at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "severity", "grade", "rejected"])
 
-    return docs.mapInArrow(run, f"{fields}, severity double, grade int, rejected boolean")
+    return docs.mapInArrow(mapped(run), f"{fields}, severity double, grade int, rejected boolean")
