@@ -226,3 +226,52 @@ def test_update_that_changes_the_key_removes_the_old_one(spark):
     ]
     state = cd.state_as_of(feed_of(spark, events), "id")
     assert rows(state.select("id", F.col("image")["v"])) == [("2", "2"), ("9", "1")]
+
+
+LOG = "server int, log_file string, log_pos long, kind string, gtid string"
+
+
+def raw_log(spark, *events):
+    """``(file number, kind, gtid)`` in order; names of files change their width on the way."""
+    numbered = [(7, f"bin.{file}", k, kind, gtid) for k, (file, kind, gtid) in enumerate(events)]
+    return spark.createDataFrame(numbered, LOG).repartition(3)
+
+
+def test_markers_are_carried_to_the_rows_behind_them(spark):
+    log = raw_log(
+        spark,
+        (99, "insert", None),  # 0: before any transaction
+        (99, "gtid", "u:1"), (99, "BEGIN", None), (99, "insert", None), (100, "update", None), (100, "xid", None),
+        (100, "delete", None),  # 6: behind an end
+        (100, "begin", None), (101, "insert", None), (101, "COMMIT", None),  # anonymous
+        (101, "gtid", "v:5"), (101, "begin", None), (101, "insert", None), (101, "rollback", None),
+        (101, "gtid", "u:2"), (101, "insert", None),  # 15: the next one comes before its end
+        (102, "gtid", "u:3"), (102, "begin", None), (103, "delete", None),  # 18: the log ends
+    )
+    got = cd.with_transactions(log, ["server"])
+    assert rows(got, "log_pos", "gtid", "begin_file", "begin_pos", "outcome") == sorted(
+        [
+            (0, None, None, None, None), (3, "u:1", "bin.99", 1, "committed"), (4, "u:1", "bin.99", 1, "committed"),
+            (6, None, None, None, None), (8, None, "bin.100", 7, "committed"), (12, "v:5", "bin.101", 10, "rolled back"),
+            (15, "u:2", "bin.101", 14, "open"), (18, "u:3", "bin.102", 16, "open"),
+        ],
+        key=repr,
+    )
+    wanted = spark.createDataFrame([("u:1",), ("v:5",)], "gtid string")
+    assert [r[0] for r in rows(cd.transaction_slice(got, wanted), "log_pos")] == [12, 3, 4]
+
+
+def test_span_ends_at_the_next_number_of_the_same_uuid(spark):
+    log = raw_log(
+        spark, (1, "gtid", "u:2"), (1, "insert", None), (1, "gtid", "u:1"), (1, "insert", None), (2, "gtid", "v:9"), (2, "update", None),
+        (2, "gtid", "u:2"), (2, "delete", None),
+    )
+    def span(gtid):
+        wanted = spark.createDataFrame([(7, gtid), (7, gtid)], "server int, gtid string")
+        return sorted(r.log_pos for r in cd.transaction_span(log, wanted, ["server"]).collect())
+
+    assert (span("u:1"), span("v:9"), span("u:7")) == ([3, 5], [5, 7], [])
+
+
+def test_empty_log(spark):
+    assert cd.with_transactions(spark.createDataFrame([], LOG), ["server"]).collect() == []

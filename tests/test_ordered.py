@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tidewright.functions import ordered
-from tidewright.functions.ordered import latest_per_key, numbered, with_previous
+from tidewright.functions.ordered import latest_per_key, numbered, with_last, with_previous
 
 
 @pytest.fixture(scope="module")
@@ -32,6 +32,19 @@ def test_with_previous_equals_lag(skewed, width, group, monkeypatch):
     assert rows(got, *cols) == rows(want, *cols)
 
 
+@pytest.mark.parametrize("group", [2, 1024])
+@pytest.mark.parametrize("width", [1, 64, 1000])
+@pytest.mark.parametrize("descending", [False, True])
+def test_with_last_equals_last_value(skewed, width, group, descending, monkeypatch):
+    """A value every 200 rows or so, so most segments have none and some keys never get one."""
+    monkeypatch.setattr(ordered, "GROUP", group)
+    rare = F.when(F.xxhash64("pos") % 200 == 0, F.struct("pos"))
+    got = with_last(skewed, ["k"], ["pos"], {"m": rare, "n": F.col("v")}, F.floor(F.col("pos") / width), descending)
+    w = Window.partitionBy("k").orderBy(F.col("pos").desc() if descending else F.col("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    want = skewed.withColumn("m", F.last(rare, True).over(w)).withColumn("n", F.last("v", True).over(w))
+    assert rows(got, "k", "pos", "v", "m", "n") == rows(want, "k", "pos", "v", "m", "n")
+
+
 @pytest.mark.parametrize("width", [1, 64, 10**6])
 @pytest.mark.parametrize("descending", [False, True])
 def test_numbered_equals_row_number(skewed, width, descending, monkeypatch):

@@ -8,6 +8,8 @@ from tests.conftest import rows
 from tidewright.operators.monitoring import counter_rates
 from tidewright.streaming.rates import rates_available
 from tidewright.sources.change_feed import stream_feed
+from tidewright.streaming.bucketed import BucketedTable, Flush, start_bucketed
+from tidewright.streaming.freshness import follow, probe_status
 from tidewright.streaming.tail import undo_available, undo_slice
 from tidewright.streaming.upsert import compact, current_rows, start_upsert, upsert_available
 
@@ -117,3 +119,104 @@ def test_scratch_path_is_on_shared_storage(spark):
     both = cluster(checkpoint="hdfs://shared/checkpoints/", sql="hdfs://shared/warehouse")
     assert scratch_path(both, "x").startswith("hdfs://shared/checkpoints/x-")
     assert scratch_path(cluster(sql="hdfs://shared/warehouse"), "x").startswith("hdfs://shared/warehouse/_scratch/x-")
+
+
+def bucketed(spark, base, flush=None, n=4, **kw):
+    table = BucketedTable(spark, f"{base}/b", KEYS, ORDER, n, flush or Flush())
+    stream = spark.readStream.schema(CHANGE).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    start_bucketed(stream, table, f"{base}/bcp", **kw).awaitTermination()
+    return table
+
+
+def live(table):
+    return rows(table.current_rows(), "id", "v")
+
+
+def test_bucketed_table_rewrites_touched_buckets_only(spark, tmp_path):
+    base = str(tmp_path)
+    add(spark, f"{base}/in", *[(i, "insert", i, "a") for i in range(200)])
+    table = bucketed(spark, base, n=16)
+    first = table.state().buckets
+    assert set(first) == set(range(16)) and len(live(table)) == 200
+    add(spark, f"{base}/in", (3, "update", 900, "b"), (3, "update", 800, "older"), (5, "delete", 901, None))
+    table = bucketed(spark, base, n=16)
+    second = table.state().buckets
+    moved = {b for b in second if second[b] != first[b]}
+    assert 1 <= len(moved) <= 2 and {p.name for p in (tmp_path / "b" / "version=1").glob("bucket=*")} == {f"bucket={b}" for b in moved}
+    assert dict(live(table)) == {**{i: "a" for i in range(200) if i != 5}, 3: "b"}
+    add(spark, f"{base}/in", (5, "update", 850, "before the delete"), (3, "update", 899, "late"))
+    assert dict(live(bucketed(spark, base, n=16))) == {**{i: "a" for i in range(200) if i != 5}, 3: "b"}
+
+
+def test_bucketed_table_is_read_without_a_shuffle(spark, tmp_path):
+    base = str(tmp_path)
+    for k in range(3):
+        add(spark, f"{base}/in", *[(i, "insert", k * 100 + i, f"v{k}") for i in range(50)])
+    table = bucketed(spark, base)
+    plan = table.current_rows()._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    assert len(live(table)) == 50 and {v for _, v in live(table)} == {"v2"}
+
+
+def test_bucketed_flush_bounds(spark, tmp_path):
+    base = str(tmp_path)
+    add(spark, f"{base}/in", (1, "insert", 1, "a"), (2, "insert", 2, "a"))
+    table = bucketed(spark, base, Flush(rows=3, bytes=10**9))
+    assert table.current_rows() is None and sum(n for n, _, _ in table.state().kept.values()) == 2
+    add(spark, f"{base}/in", (2, "update", 3, "b"))
+    assert live(bucketed(spark, base, Flush(rows=3, bytes=10**9))) == [(1, "a"), (2, "b")]
+    add(spark, f"{base}/in", (3, "insert", 4, "c"))
+    table = bucketed(spark, base, Flush(rows=3))
+    assert live(table) == [(1, "a"), (2, "b")]
+    table.flush_now()
+    assert live(table) == [(1, "a"), (2, "b"), (3, "c")] and not table.state().kept
+    add(spark, f"{base}/in", (4, "insert", 5, "d"))
+    assert len(live(bucketed(spark, base, Flush(rows=100, bytes=1)))) == 4
+    add(spark, f"{base}/in", (5, "insert", 6, "e"))
+    assert len(live(bucketed(spark, base, Flush(seconds=0)))) == 5
+
+
+def test_bucketed_batches_may_be_replayed(spark, tmp_path):
+    """A batch that ran up to any point and runs again leaves what it leaves at once."""
+    table = BucketedTable(spark, str(tmp_path), KEYS, ORDER, 4, Flush(rows=3))
+    batches = [[(1, "insert", 1, "a"), (2, "insert", 2, "a")], [(1, "update", 3, "b")], [(2, "delete", 4, None), (3, "insert", 5, "c"), (9, "insert", 6, "d")], [(1, "update", 7, "z")]]
+    for k, changes in enumerate(batches):
+        batch = spark.createDataFrame(changes, CHANGE)
+        for _ in range(2):
+            table.take(batch, k)
+    assert live(table) == [(1, "b"), (3, "c"), (9, "d")]
+    table.flush_now()
+    table.flush_now()
+    assert live(table) == [(1, "z"), (3, "c"), (9, "d")]
+    assert len(list((tmp_path / "manifest").iterdir())) <= 2
+
+
+def beat(second):
+    return dt.datetime(2024, 1, 1) + dt.timedelta(seconds=second)
+
+
+def test_deadlines_are_worked_out_from_the_streams(spark, tmp_path):
+    base = str(tmp_path)
+    schemas = {
+        "sent": "probe long, sent_ts timestamp", "answers": "probe long, answer_ts timestamp, http int, load_status string",
+        "readings": "probe long, read_ts timestamp, value timestamp, read_error string",
+    }
+
+    def arrive(**new):
+        for name, schema in schemas.items():
+            spark.createDataFrame(new.get(name, []), schema).coalesce(1).write.mode("append").parquet(f"{base}/{name}")
+        streams = [spark.readStream.schema(schema).parquet(f"{base}/{name}") for name, schema in schemas.items()]
+        follow(*streams, f"{base}/out", f"{base}/cp", "10 seconds")
+        return dict(rows(probe_status(spark, f"{base}/out"), "probe", "status_code"))
+
+    ok = [200, "Success"]
+    found = arrive(
+        sent=[(k, beat(10 * k)) for k in range(1, 9)],
+        answers=[(1, beat(15), *ok), (1, beat(12), 500, "x"), (3, beat(35.001), *ok), (4, beat(41), 200, "Fail"), (5, beat(50), *ok), (6, beat(61), *ok), (7, beat(71), *ok), (8, beat(81), *ok)],
+        readings=[(1, beat(20), beat(10), None), (5, beat(65.5), beat(50), None), (6, beat(70), beat(60), None), (6, beat(69), None, "refused"), (7, beat(80), beat(1), None)],
+    )
+    # Probes that are answered or whose time has passed by the watermark; the last one is still waited for.
+    assert found == {1: 3, 2: 2, 3: 2, 4: 4, 5: 5, 6: 6, 7: 4}
+    found = arrive(sent=[(9, beat(200))], answers=[(9, beat(201), *ok)], readings=[(8, beat(95), beat(80), None), (9, beat(206), beat(200), None)])
+    # The reading of 8 came with the second run, within its time.
+    assert found == {1: 3, 2: 2, 3: 2, 4: 4, 5: 5, 6: 6, 7: 4, 8: 1, 9: 1}

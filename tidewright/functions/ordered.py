@@ -62,6 +62,42 @@ def with_previous(
     return joined.withColumns({new: before[new] for new in values}).drop("_before", "_first", "_carry", "_segment")
 
 
+def with_last(
+    df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], segment: Column, descending: bool = False
+) -> DataFrame:
+    """The last value that is not NULL at or before each row: ``values`` maps a new column to what it carries.
+
+    With ``descending`` it is the next one at or after the row. Values are carried inside a segment; the last one of each
+    segment reaches the rows of later segments that have none of their own, over groups of segments as above.
+    """
+
+    def ordered(columns: list[str]) -> list[Column]:
+        return [F.col(c).desc() if descending else F.col(c).asc() for c in columns]
+
+    def carried(column: str, window, end: int) -> Column:
+        return F.last(column, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, end))
+
+    def top(column: str, place: Column) -> Column:
+        # Rows without a value have no place, so they are passed over.
+        return (F.min_by if descending else F.max_by)(column, F.when(F.col(column).isNotNull(), place))
+
+    names = list(values)
+    cut = df.withColumns({**values, "_segment": segment.cast("long")})
+    inside = Window.partitionBy(*keys, "_segment").orderBy(*ordered(order))
+    place = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    last = _grouped(cut.groupBy(*keys, "_segment").agg(*[top(c, place).alias(c) for c in names]))
+    within = Window.partitionBy(*keys, "_group").orderBy(*ordered(["_segment"]))
+    near = last.select(*keys, "_segment", "_group", *[carried(c, within, -1).alias(f"_near_{c}") for c in names])
+    far = last.groupBy(*keys, "_group").agg(*[top(c, F.struct("_segment")).alias(c) for c in names])
+    over = Window.partitionBy(*keys).orderBy(*ordered(["_group"]))
+    far = far.select(*keys, "_group", *[carried(c, over, -1).alias(f"_far_{c}") for c in names])
+    before = _same(near, far, [*keys, "_group"])
+    before = before.select(*keys, "_segment", *[F.coalesce(f"_near_{c}", f"_far_{c}").alias(f"_before_{c}") for c in names])
+    seen = cut.withColumns({c: carried(c, inside, 0) for c in names})
+    joined = _same(seen, before, [*keys, "_segment"])
+    return joined.withColumns({c: F.coalesce(c, f"_before_{c}") for c in names}).drop("_segment", *[f"_before_{c}" for c in names])
+
+
 def numbered(
     df: DataFrame,
     keys: list[str],

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.functions.ordered import latest_per_key, numbered
+from tidewright.functions.ordered import latest_per_key, numbered, with_last
 from tidewright.functions.text import BARE_TYPES, clock_in_zone, epoch_seconds, log_number
 
 OPERATIONS = ("insert", "update", "delete")
@@ -327,3 +327,75 @@ def next_gtid(status: DataFrame, id_col: str) -> DataFrame:
 def transaction_slice(feed: DataFrame, gtids: DataFrame) -> DataFrame:
     """The row events of the given transactions (``gtid`` column)."""
     return feed.join(gtids.select("gtid").distinct(), "gtid", "left_semi")
+
+
+# Kinds of log events that open and end a transaction.
+OPENING, ENDING, UNDONE = "begin", ("commit", "xid", "rollback"), "rollback"
+
+
+def with_transactions(log: DataFrame, keys: list[str], segment: Column | None = None) -> DataFrame:
+    """The row events of a raw log, each with its transaction.
+
+    ``log`` has row events and marker events (``kind`` gtid, begin, commit, xid, rollback) in the order of ``log_file,
+    log_pos``; only a gtid event has a ``gtid``. Markers are carried to the row events behind them: ``gtid`` is the one opened
+    last, NULL for an anonymous transaction, ``begin_file`` and ``begin_pos`` are where the transaction starts (its gtid event, else
+    its BEGIN), and ``outcome`` is ``committed``, ``rolled back``, or ``open`` if the log or another
+    transaction comes before its end. Rows outside a transaction have none of these. Log files go by their numbers; they
+    are the segments of the carry unless another one is given.
+    """
+    log = log.withColumn("_log", log_number("log_file"))
+    segment = F.col("_log") if segment is None else segment
+    order, place = ["_log", "log_pos"], F.struct("_log", "log_pos", "log_file")
+    kind = F.lower("kind")
+    starts = (kind == "gtid") | (kind == OPENING)
+    marked = with_last(
+        log, keys, order,
+        {
+            "_gtid": F.when(kind == "gtid", F.struct(place.alias("at"), F.col("gtid").alias("gtid"))),
+            "_begin": F.when(kind == OPENING, place),
+            "_end": F.when(kind.isin(*ENDING), place),
+        },
+        segment,
+    )
+    # What comes next: an end, or another start before it.
+    ahead = with_last(
+        marked, keys, order,
+        {"_next": F.when(starts | kind.isin(*ENDING), F.struct(place.alias("at"), kind.alias("kind")))}, segment, descending=True,
+    )
+    rows = ahead.filter(kind.isin("insert", "update", "delete"))
+
+    def since_end(at: Column) -> Column:
+        return at.isNotNull() & (F.col("_end").isNull() | (at > F.col("_end")))
+
+    named, begun = since_end(F.col("_gtid.at")), since_end(F.col("_begin"))
+    # A BEGIN that follows a gtid event is that transaction's; one before it is another's.
+    first = F.when(named, F.col("_gtid.at")).when(begun, F.col("_begin"))
+    outcome = F.when(F.col("_next.kind") == UNDONE, "rolled back").when(F.col("_next.kind").isin(*ENDING), "committed").otherwise("open")
+    return rows.withColumns(
+        {
+            "gtid": F.when(named, F.col("_gtid.gtid")), "begin_file": first["log_file"], "begin_pos": first["log_pos"],
+            "outcome": F.when(first.isNotNull(), outcome),
+        }
+    ).drop("_log", "_gtid", "_begin", "_end", "_next")
+
+
+def transaction_span(log: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The row events from a gtid event up to the one with the next number of the same uuid, whatever stands in between.
+
+    ``wanted`` has at most one ``gtid`` for each of ``keys``; without a next one the span ends with the log. The spans are found
+    by equality among the gtid events and joined to the rows by key, of which they have one each.
+    """
+    place = F.struct(log_number("log_file"), "log_pos")
+    numbers = log.filter(F.lower("kind") == "gtid").select(*keys, "gtid", place.alias("_at"))
+    number = F.substring_index("gtid", ":", -1).cast("bigint") + 1
+    following = F.concat_ws(":", F.substring_index("gtid", ":", 1), number.cast("string"))
+    first = numbers.join(wanted.select(*keys, "gtid").distinct(), [*keys, "gtid"]).groupBy(*keys, "gtid").agg(F.min("_at").alias("_start"))
+    after = numbers.withColumnRenamed("gtid", "_following").withColumnRenamed("_at", "_later")
+    spans = (
+        first.withColumn("_following", following).join(after, [*keys, "_following"], "left")
+        .filter(F.col("_later").isNull() | (F.col("_later") > F.col("_start")))
+        .groupBy(*keys, "_start").agg(F.min("_later").alias("_stop"))
+    )
+    inside = (place >= F.col("_start")) & (F.col("_stop").isNull() | (place < F.col("_stop")))
+    rows = log.filter(F.lower("kind").isin("insert", "update", "delete"))
+    return rows.join(spans, keys).filter(inside).drop("_start", "_stop")

@@ -8,9 +8,11 @@ from tidewright.operators import change_data as cd
 from tidewright.plans.tables import FEED_SQL, Query, as_feed, feed, feed_rows, stream_table, table
 from tidewright.session import scratch_path
 from tidewright.sources.change_feed import canal_changes, stream_feed
+from tidewright.streaming.bucketed import BucketedTable, Flush, start_bucketed
 from tidewright.streaming.tail import undo_available, undo_slice
 from tidewright.streaming.upsert import current_rows, upsert_available
 
+LOG_BYTES = 65_536
 START, END, LATEST = "2024-01-05 00:00:00", "2024-01-20 00:00:00", "2024-01-25 00:00:00"
 
 
@@ -71,6 +73,20 @@ def cdc_stream_upsert(spark, sf_dir):
     return image_columns(current_rows(spark, f"{work}/table", ["id"], order), "log_pos")
 
 
+def cdc_bucketed_upsert(spark, sf_dir):
+    """The events in order of time as eight files, one a batch, into buckets of the key; kept batches are flushed by rows."""
+    work = scratch_path(spark, "cdc-buckets")
+    changes = cd.key_changes(as_feed(feed_rows(table(spark, sf_dir, "events")), before=False), "id")
+    keyed = changes.select("id", "op", "log_file", "log_pos", "image")
+    keyed.repartitionByRange(8, "log_file", "log_pos").write.parquet(f"{work}/in")
+    most = max(1, keyed.count() // 4)
+    stored = BucketedTable(spark, f"{work}/table", ["id"], ["log_file", "log_pos"], 16, Flush(rows=most))
+    stream = spark.readStream.schema(keyed.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/in")
+    start_bucketed(stream, stored, f"{work}/checkpoint").awaitTermination()
+    stored.flush_now()
+    return image_columns(stored.current_rows(), "log_pos")
+
+
 def undo_stream_tail(spark, sf_dir):
     """The feed arrives as files in two instalments, of each a slice is taken up to another time.
 
@@ -130,6 +146,50 @@ def txn_slice(spark, sf_dir):
     return sliced.select("gtid", "log_pos", "op")
 
 
+def _marked_log(spark, sf_dir):
+    """The events as raw logs of three servers: ten events are a transaction between marker events, of which some lack.
+
+    A seventh of the transactions is anonymous, an eleventh has no end, a thirteenth is rolled back; errors stand
+    behind the end of theirs. Markers are made once for each transaction, rows carry no gtid.
+    """
+    events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("u"), "event_type")
+    server, txn = F.col("u") % 3, F.floor(F.col("event_id") / 10) + 1
+    start = (F.col("txn") - 1) * 100
+    op = F.when(F.col("event_type") == "signup", "insert").otherwise("update")
+    op = F.when((F.col("event_type") == "error"), "delete").otherwise(op)
+    late = F.when(F.col("event_type") == "error", 99).otherwise(5)
+    rows = events.select(server.alias("server"), txn.alias("txn"), op.alias("kind"), (F.col("event_id") * 10 + late).alias("log_pos"))
+    gtid = F.concat_ws(":", F.concat(F.lit("3e11fa47-71ca-11e1-9e33-c80aa942956"), F.col("server").cast("string")), F.col("txn").cast("string"))
+    t = F.col("txn")
+    markers = F.array(
+        F.when(t % 7 != 0, F.struct(F.lit("gtid").alias("kind"), start.alias("log_pos"), gtid.alias("gtid"))),
+        F.struct(F.lit("BEGIN").alias("kind"), (start + 1).alias("log_pos"), F.lit(None).cast("string").alias("gtid")),
+        F.when(
+            t % 11 != 0,
+            F.struct(F.when(t % 13 == 0, "rollback").otherwise("xid").alias("kind"), (start + 97).alias("log_pos"), F.lit(None).cast("string").alias("gtid")),
+        ),
+    )
+    marked = rows.select("server", "txn").distinct().select("server", "txn", F.inline(F.array_compact(markers)))
+    log = rows.select("server", "txn", "kind", "log_pos", F.lit(None).cast("string").alias("gtid")).unionByName(marked)
+    return log.drop("txn").withColumn("log_file", F.concat(F.lit("mysql-bin."), F.lpad(F.floor(F.col("log_pos") / LOG_BYTES).cast("string"), 12, "0")))
+
+
+def txn_of_rows(spark, sf_dir):
+    """Every row event of a log whose rows know no transaction, with the one its markers tell."""
+    rows = cd.with_transactions(_marked_log(spark, sf_dir), ["server"])
+    return rows.select("server", "log_pos", F.col("kind").alias("op"), "gtid", "begin_pos", "outcome")
+
+
+def txn_marker_span(spark, sf_dir):
+    """Per server the rows from a transaction in the middle of its log up to the one with the next number."""
+    log = _marked_log(spark, sf_dir)
+    number = F.substring_index("gtid", ":", -1).cast("bigint")
+    middle = log.filter("gtid IS NOT NULL").groupBy("server").agg(F.max(number).alias("top"), F.min(F.substring_index("gtid", ":", 1)).alias("uuid"))
+    half = F.floor(F.col("top") / 2)
+    wanted = middle.select("server", F.concat_ws(":", "uuid", (half - F.when(half % 7 == 0, 1).otherwise(0)).cast("string")).alias("gtid"))
+    return cd.transaction_span(log, wanted, ["server"]).select("server", "log_pos", F.col("kind").alias("op"))
+
+
 def _source_and_replica(spark, sf_dir):
     changes = feed(spark, sf_dir, before=False)
     return cd.key_state(changes, "id"), cd.state_as_of(changes, "id", END)
@@ -150,7 +210,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         change_feed_filter, undo_statements, undo_update_as_replace, undo_ordered_script,
-        rollback_to_time, cdc_upsert_latest, cdc_stream_upsert, undo_stream_tail, gtid_next, txn_slice,
+        rollback_to_time, cdc_upsert_latest, cdc_stream_upsert, cdc_bucketed_upsert, undo_stream_tail, gtid_next, txn_slice, txn_of_rows, txn_marker_span,
         replica_reconcile_plan, replica_repaired,
     )
 }
@@ -234,6 +294,18 @@ plan AS (
               OR s.note IS DISTINCT FROM r.note) THEN 'replace' END AS action
   FROM src s FULL JOIN rep r ON s.id = r.id)"""
 
+_LOG = """
+ev AS (SELECT user_id % 3 AS server, CAST(floor(event_id / 10) AS BIGINT) + 1 AS txn,
+    CASE event_type WHEN 'signup' THEN 'insert' WHEN 'error' THEN 'delete' ELSE 'update' END AS kind,
+    event_id * 10 + CASE event_type WHEN 'error' THEN 99 ELSE 5 END AS log_pos FROM events),
+tx AS (SELECT DISTINCT server, txn, (txn - 1) * 100 AS start FROM ev),
+raw AS (SELECT server, kind, log_pos, NULL AS gtid FROM ev
+  UNION ALL SELECT server, 'gtid', start, '3e11fa47-71ca-11e1-9e33-c80aa942956' || CAST(server AS VARCHAR) || ':' || CAST(txn AS VARCHAR)
+    FROM tx WHERE txn % 7 <> 0
+  UNION ALL SELECT server, 'begin', start + 1, NULL FROM tx
+  UNION ALL SELECT server, CASE WHEN txn % 13 = 0 THEN 'rollback' ELSE 'xid' END, start + 97, NULL FROM tx WHERE txn % 11 <> 0)"""
+
+
 ORACLES: dict[str, str] = {
     "change_feed_filter": f"""WITH {FEED_SQL}
       SELECT log_file, log_pos, event_time, op, id FROM feed
@@ -271,6 +343,26 @@ ORACLES: dict[str, str] = {
       d AS (SELECT uuid, max(txn) FILTER (event_time < {_END_SECONDS}) + 1 AS nxt FROM feed GROUP BY uuid)
       SELECT f.uuid || ':' || CAST(f.txn AS VARCHAR) AS gtid, log_pos, op
       FROM feed f JOIN d ON f.uuid = d.uuid AND f.txn = d.nxt""",
+    "txn_of_rows": f"""WITH {_LOG},
+      carried AS (SELECT *,
+          last_value(CASE WHEN kind = 'gtid' THEN log_pos END IGNORE NULLS) OVER w AS g_at,
+          last_value(gtid IGNORE NULLS) OVER w AS g, last_value(CASE WHEN kind = 'begin' THEN log_pos END IGNORE NULLS) OVER w AS b_at,
+          last_value(CASE WHEN kind IN ('xid', 'rollback') THEN log_pos END IGNORE NULLS) OVER w AS e_at,
+          first_value(CASE WHEN kind IN ('gtid', 'begin', 'xid', 'rollback') THEN kind END IGNORE NULLS) OVER v AS nxt
+        FROM raw WINDOW w AS (PARTITION BY server ORDER BY log_pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+          v AS (PARTITION BY server ORDER BY log_pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+      kept AS (SELECT *, CASE WHEN g_at > coalesce(e_at, -1) THEN g_at WHEN b_at > coalesce(e_at, -1) THEN b_at END AS begin_pos
+        FROM carried WHERE kind IN ('insert', 'update', 'delete'))
+      SELECT server, log_pos, kind AS op, CASE WHEN g_at > coalesce(e_at, -1) THEN g END AS gtid, begin_pos,
+        CASE WHEN begin_pos IS NULL THEN NULL WHEN nxt = 'rollback' THEN 'rolled back' WHEN nxt = 'xid' THEN 'committed' ELSE 'open' END AS outcome
+      FROM kept""",
+    "txn_marker_span": f"""WITH {_LOG},
+      top AS (SELECT server, max(txn) FILTER (txn % 7 <> 0) // 2 AS half FROM tx GROUP BY server),
+      aim AS (SELECT server, half - CASE WHEN half % 7 = 0 THEN 1 ELSE 0 END AS n FROM top),
+      span AS (SELECT server, (n - 1) * 100 AS start, (SELECT min(t.start) FROM tx t WHERE t.server = aim.server AND t.txn = aim.n + 1 AND t.txn % 7 <> 0) AS stop
+        FROM aim WHERE EXISTS (SELECT 1 FROM tx t WHERE t.server = aim.server AND t.txn = aim.n))
+      SELECT raw.server, log_pos, kind AS op FROM raw JOIN span ON raw.server = span.server
+      WHERE kind IN ('insert', 'update', 'delete') AND log_pos >= start AND (stop IS NULL OR log_pos < stop)""",
     "replica_reconcile_plan": f"""WITH {FEED_SQL}, {_PLAN}
       SELECT id, action, CASE action WHEN 'replace' THEN 1062 ELSE 1032 END AS error_code,
         CASE WHEN action <> 'skip'
@@ -282,4 +374,4 @@ ORACLES: dict[str, str] = {
       SELECT r.id, r.value, r.props, r.note FROM rep r
       WHERE r.id NOT IN (SELECT id FROM plan WHERE action IN ('insert', 'replace'))""",
 }
-ORACLES["cdc_stream_upsert"] = ORACLES["cdc_upsert_latest"]
+ORACLES["cdc_stream_upsert"] = ORACLES["cdc_bucketed_upsert"] = ORACLES["cdc_upsert_latest"]

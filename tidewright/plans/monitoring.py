@@ -13,6 +13,7 @@ from tidewright.plans.tables import Query, SAMPLES_SQL, SESSIONS_SQL, cents, sta
 from tidewright.session import scratch_path
 from tidewright.sinks.tables import append_dated
 from tidewright.sources.status import key_value_rows
+from tidewright.streaming.freshness import follow, probe_status
 from tidewright.streaming.rates import rates_available
 
 ORDERS_NOW = "2001-08-02 00:00:00"
@@ -215,6 +216,39 @@ def heartbeat_status(spark, sf_dir):
     return mon.probe_codes(outcomes).select("user_id", "hour", "status_code")
 
 
+def heartbeat_deadlines(spark, sf_dir):
+    """Every event is a heartbeat; some answers and readings come late or never. Three file streams in two instalments, the
+    second run resumes the first; a last tick on each stream moves the watermark past all deadlines."""
+    events = table(spark, sf_dir, "events")
+    k, ts = F.col("event_id"), F.col("ts").cast("timestamp")
+
+    def later(seconds):
+        return F.timestamp_micros(F.unix_micros(ts) + seconds * 1_000_000)
+
+    sent = events.select(k.alias("probe"), ts.alias("sent_ts"))
+    answers = events.filter(k % 11 != 0).select(
+        k.alias("probe"), later(k % 7).alias("answer_ts"), F.when(k % 13 == 0, 500).otherwise(200).alias("http"),
+        F.when(k % 17 == 0, "Fail").otherwise("Success").alias("load_status"),
+    )
+    readings = events.filter(k % 19 != 0).select(
+        k.alias("probe"), later(5 + k % 13).alias("read_ts"), later(F.when(k % 29 == 0, -1).otherwise(0)).alias("value"),
+        F.when(k % 23 == 0, "refused").alias("read_error"),
+    )
+    work, streams = scratch_path(spark, "freshness"), {}
+    middle, end = F.lit("2024-01-16 00:00:00").cast("timestamp"), F.lit("2100-01-01 00:00:00").cast("timestamp")
+    tick = events.agg(F.max("event_id")).select(F.lit(-1).cast("long").alias("probe"))
+    parts = {"sent": (sent, "sent_ts"), "answers": (answers, "answer_ts"), "readings": (readings, "read_ts")}
+    for number in (0, 1):
+        for name, (rows, at_col) in parts.items():
+            some = rows.filter((F.col(at_col) >= middle) == F.lit(bool(number)))
+            if number:
+                some = some.unionByName(tick.withColumn(at_col, end), allowMissingColumns=True)
+            some.write.mode("append").parquet(f"{work}/{name}")
+            streams[name] = spark.readStream.schema(rows.schema).parquet(f"{work}/{name}")
+        follow(streams["sent"], streams["answers"], streams["readings"], f"{work}/out", f"{work}/checkpoint")
+    return probe_status(spark, f"{work}/out").filter("probe >= 0").select("probe", "status_code")
+
+
 def check_interval(spark, sf_dir):
     return mon.check_lag(_samples(spark, sf_dir), at(EVENTS_NOW))
 
@@ -287,7 +321,7 @@ QUERIES: dict[str, Query] = {
         counter_rates, counter_rates_stream, gauge_ratios, session_gauges, size_rollup,
         trx_current_statement, lock_wait_graph, monitor_long_form, item_max, latest_error,
         longest_first, usage_threshold, backlog_eta, peak_interval, peak_report_plan,
-        heartbeat_status, check_interval, health_changes, throughput_rating, replica_status,
+        heartbeat_status, heartbeat_deadlines, check_interval, health_changes, throughput_rating, replica_status,
         dated_state_dump, distinct_instances,
     )
 }
@@ -418,6 +452,10 @@ ORACLES: dict[str, str] = {
       SELECT user_id, hour, CASE WHEN kind = 'signup' THEN 2 WHEN kind = 'error' THEN 3
           WHEN kind = 'click' AND k < 10 THEN 4 WHEN kind = 'view' AND k < 10 THEN 5
           WHEN kind = 'view' AND k > 90 THEN 6 WHEN seen = sent THEN 1 ELSE 4 END AS status_code FROM p""",
+    "heartbeat_deadlines": """SELECT event_id AS probe,
+        CASE WHEN event_id % 11 = 0 OR event_id % 7 > 5 THEN 2 WHEN event_id % 13 = 0 THEN 3 WHEN event_id % 17 = 0 THEN 4
+          WHEN event_id % 19 = 0 OR 5 + event_id % 13 > 15 THEN 5 WHEN event_id % 23 = 0 THEN 6 WHEN event_id % 29 = 0 THEN 4 ELSE 1 END AS status_code
+      FROM events""",
     "check_interval": f"""WITH {SAMPLES_SQL},
       d AS (SELECT instance, max(CAST(ts AS DATE)) AS day FROM samples GROUP BY instance)
       SELECT instance, date_diff('second', min(ts), TIMESTAMP '{EVENTS_NOW}') AS check_interval
