@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm.text import cogrouped, grouped, mapped, mix, small_batches, utf8
-from tidewright.session import forget, scratch_path
+from tidewright.session import forget, scratch_path, settled_rows
 
 LEAST = 100  # occurrences of a candidate
 LONGEST = 5  # words of a candidate
@@ -328,10 +328,12 @@ def mined(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, per_langu
     for k, grams in enumerate(tables[1:], 2):
         left = level.select(F.col("id").alias("first"), "lang", "words", "firsts").hint("merge")
         right = level.select(F.col("id").alias("last"), F.element_at("words", -1).alias("word"), "lasts").hint("merge")
-        level = grams.join(left, "first").join(right, "last").select(
+        joined = grams.join(left, "first").join(right, "last").select(
             "id", "lang", F.concat("words", F.array("word")).alias("words"), F.concat("firsts", F.array("f")).alias("firsts"),
             F.concat("lasts", F.array("f")).alias("lasts"), "f",
         )
+        # Read twice by the next length and once for its own phrases.
+        level = settled_rows(joined)
         whole = level
         if k < len(tables):
             # The most frequent extension to the right stands with the prefix, to the left with the suffix.
