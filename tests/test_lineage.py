@@ -209,6 +209,25 @@ def test_sql_edges_name_service_and_database(spark, names):
 URLS = ["jdbc:mysql://h1:3306/x", "jdbc:mysql://h1:9/x", "zzz", None, "", "db9h1", "kafka"]
 
 
+def test_url_lookup_by_rare_pieces(spark):
+    """Every pattern length around that of a piece, against plain containment; pieces that all patterns share."""
+    patterns = [(k, text, f"s{k}") for k, text in enumerate(["a", "ab", "abc", "abcd", "abcde", "://h1:3306/", "://h2:3306/", "3306", "中文:3306", "zz", "h1:3306", "h1:3306"])]
+    urls = ["jdbc://h1:3306/x", "jdbc://h2:3306/", "x://中文:3306", "abce", "xabcdex", "zzz", "a", "", "q"]
+    names = ln.services(spark.createDataFrame(patterns, "id int, url_pattern string, service_name string"), "none")
+    rows_of = spark.createDataFrame([(i, u, urls[-1 - i]) for i, u in enumerate(urls)], "i int, u string, v string")
+    got = [(r.s, r.t) for r in ln.with_service(rows_of, {"u": "s", "v": "t"}, names).orderBy("i").collect()]
+    want = [next((s for _, p, s in patterns if p in u), "none") for u in urls]
+    assert got == list(zip(want, want[::-1]))
+
+
+def test_url_lookup_shuffles_no_more_pieces_than_characters(spark, names):
+    url = "jdbc:mysql://" + "x" * 500 + "h1:3306/y"
+    found = ln.with_service(spark.createDataFrame([(url,)], "u string"), {"u": "s"}, names)
+    assert found.first().s == "svc-a"
+    made = spark.range(1).select(F.size(ln._pieces(F.lit(url), F.array(F.lit(ln.PIECE))))).first()[0]
+    assert made <= len(url)
+
+
 @pytest.mark.parametrize("extra", [[], [(None, None, "n"), (9, None, "n"), (2, "h1:", "tie"), (10, "", "empty")]])
 def test_url_lookup(spark, patterns, extra):
     """Equal ids go by pattern text, NULL patterns match nothing."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tidewright.operators.monitoring import counter_rates
-from tidewright.streaming.rates import rates_available
+from tidewright.streaming.rates import last_samples, rates_available
 from tidewright.sources.change_feed import stream_feed
 from tidewright.streaming.bucketed import BucketedTable, Flush, start_bucketed
 from tidewright.streaming.freshness import follow, probe_status
@@ -103,11 +103,26 @@ def test_rates_over_batches_equal_the_batch_rates(spark, tmp_path):
     late.coalesce(1).write.mode("append").parquet(f"{base}/in")
     rates_available(spark.readStream.schema(SAMPLE).parquet(f"{base}/in"), f"{base}/out", f"{base}/state", f"{base}/cp")
     assert spark.read.parquet(f"{base}/out").count() == counter_rates(df).count()
-    assert rows(spark.read.parquet(f"{base}/state/3"), "instance", "ts") == [
+    assert rows(last_samples(spark, f"{base}/state").current_rows(), "instance", "ts") == [
         ("i0", dt.datetime(2024, 1, 3, 23)), ("i1", dt.datetime(2024, 1, 3, 23))
     ]
 
 
+def test_rates_touch_only_the_state_of_their_counters(spark, tmp_path):
+    base = str(tmp_path)
+
+    def run(*samples):
+        spark.createDataFrame([(dt.datetime(2024, 1, 1, h), i, "x", v, h * 3600) for i, h, v in samples], SAMPLE).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        rates_available(spark.readStream.schema(SAMPLE).parquet(f"{base}/in"), f"{base}/out", f"{base}/state", f"{base}/cp", 16)
+
+    run(*[(f"i{k}", 1, 0) for k in range(100)])
+    run(("i7", 2, 3600), ("i7", 3, 3600), ("new", 3, 5))
+    assert len(list((tmp_path / "state" / "version=1").glob("bucket=*"))) <= 2
+    run(("new", 4, 7205))
+    assert rows(spark.read.parquet(f"{base}/out"), "instance", F.hour("ts"), "rate") == [("i7", 2, 1), ("i7", 3, 0), ("new", 4, 2)]
+    assert last_samples(spark, f"{base}/state", 16).current_rows().count() == 101
+
+
 def test_scratch_path_is_on_shared_storage(spark):
     from tidewright.session import scratch_path
 
@@ -119,6 +134,13 @@ def test_scratch_path_is_on_shared_storage(spark):
     both = cluster(checkpoint="hdfs://shared/checkpoints/", sql="hdfs://shared/warehouse")
     assert scratch_path(both, "x").startswith("hdfs://shared/checkpoints/x-")
     assert scratch_path(cluster(sql="hdfs://shared/warehouse"), "x").startswith("hdfs://shared/warehouse/_scratch/x-")
+    for warehouse in ("file:/home/spark-warehouse", "/home/spark-warehouse"):
+        own = cluster(sql=warehouse)
+        own.sparkContext = SimpleNamespace(master="spark://host:7077")
+        with pytest.raises(ValueError):
+            scratch_path(own, "x")
+        own.sparkContext.master = "local[8]"
+        assert scratch_path(own, "x").startswith(f"{warehouse}/_scratch/x-")
 
 
 def bucketed(spark, base, flush=None, n=4, **kw):

@@ -45,7 +45,7 @@ def counter_rates_stream(spark, sf_dir):
     for part in (early, ~early):
         polled.filter(part).write.mode("append").parquet(source)
         stream = spark.readStream.schema(polled.schema).parquet(source)
-        rates_available(stream, f"{work}/rates", f"{work}/state", f"{work}/checkpoint")
+        rates_available(stream, f"{work}/rates", f"{work}/state", f"{work}/checkpoint", buckets=8)
     return spark.read.parquet(f"{work}/rates").drop("batch_id")
 
 

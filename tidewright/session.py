@@ -20,18 +20,25 @@ def local_session(cores: int | str = "*", app_name: str = "tidewright") -> Spark
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Checkpoint files go once nothing refers to them any more.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; where it is unset, a folder of the warehouse.
+    """The cluster's ``spark.checkpoint.dir``; where it is unset, a folder of a warehouse that is no machine's own.
 
-    Written tables and checkpoints must outlive any one executor. Both places are
-    storage that the driver and all executors share.
+    Written tables and checkpoints must outlive any one executor. A warehouse nobody configured is a
+    folder of one machine, which only a local session may use; a cluster without the setting is refused.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return root.rstrip("/") if root else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    if root:
+        return root.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.split(":")[0] in ("file", warehouse) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{warehouse}/_scratch"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -94,11 +94,19 @@ class BucketedTable:
         paths = [f"{self.target}/version={state.buckets[b]}/bucket={b}" for b in sorted(buckets) if b in state.buckets]
         return self.spark.read.option("basePath", self.target).parquet(*paths).drop("version") if paths else None
 
+    def _bucket(self):
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.n)).cast("int")
+
+    def near(self, batch: DataFrame, batch_id: int) -> DataFrame | None:
+        """The flushed rows, as of before a batch, of the buckets that its keys touch; deletions are among them."""
+        touched = [r[0] for r in batch.select(self._bucket()).distinct().collect()]
+        rows = self._live(self.state(before=batch_id), touched)
+        return None if rows is None else rows.drop("bucket")
+
     def take(self, batch: DataFrame, batch_id: int) -> None:
         """Keep a batch's last change per key; flush what is kept if it is due."""
         state, path = self.state(before=batch_id), f"{self.target}/kept/{batch_id}"
-        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.n)).cast("int")
-        latest_per_key(batch, self.keys, self.order).withColumn("bucket", bucket).write.mode("overwrite").parquet(path)
+        latest_per_key(batch, self.keys, self.order).withColumn("bucket", self._bucket()).write.mode("overwrite").parquet(path)
         files, place = self._files(path)
         n, size = self.spark.read.parquet(path).count(), files.getContentSummary(place).getLength()
         if n:
