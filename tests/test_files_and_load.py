@@ -118,6 +118,49 @@ def test_snapshot_export_and_read_back(spark, tmp_path):
     spark.sql("DROP DATABASE tidewright_snap CASCADE")
 
 
+def test_snapshot_is_whole_or_absent(spark, tmp_path):
+    repo = str(tmp_path / "repo")
+    good = {name: spark.range(k + 1) for k, name in enumerate("abcde")}
+    bad = {**good, "d": spark.range(3).select(F.raise_error(F.lit("no d")).alias("id"))}
+    tables = [("s", name) for name in "abcde"]
+
+    def export(stamp, source):
+        report = sn.export_snapshot(spark, tables, repo, stamp, per_list=2, at_once=3, read=lambda schema, name: source[name])
+        return {r.table_name: (r.label, r.status, r.n_rows) for r in report.collect()}
+
+    assert export("20240101000000", good)["e"] == ("s_20240101000000_backup_3", "done", 5)
+    report = export("20240102000000", bad)
+    assert report["d"] == ("s_20240102000000_backup_2", "failed", None) and report["c"][1] == "done"
+    listed = {r.snapshot: r.status for r in sn.list_snapshots(spark, repo).collect()}
+    assert {k: v for k, v in listed.items() if "0101" in k} == {f"s_20240101000000_backup{n}": "OK" for n in ("", "_2", "_3")}
+    assert {v for k, v in listed.items() if "0102" in k} == {"INCOMPLETE"}
+    latest = sn.latest_snapshots(sn.list_snapshots(spark, repo), "ordinal")
+    assert {r.snapshot for r in latest.collect()} == {k for k in listed if "0101" in k}
+    with pytest.raises(ValueError, match="not finished"):
+        sn.read_snapshot(spark, repo, "s_20240102000000_backup_2", "c")
+    with pytest.raises(ValueError, match="no table"):
+        sn.read_snapshot(spark, repo, "s_20240101000000_backup", "d")
+    tries = []
+
+    def write(schema, name, rows):
+        tries.append(name)
+        if name == "b" and tries.count("b") < 3:
+            rows.select(F.raise_error(F.lit("busy"))).write.format("noop").mode("overwrite").save()
+        rows.write.mode("overwrite").parquet(str(tmp_path / "back" / name))
+
+    done = sn.restore_snapshots(spark, repo, latest, write).collect()
+    assert sorted((r.table_name, r.status, r.n_rows) for r in done) == [(name, "done", k + 1) for k, name in enumerate("abcde")]
+    assert tries.count("b") == 3 and spark.read.parquet(str(tmp_path / "back" / "e")).count() == 5
+    # A second export of the same time takes the mark away first.
+    export("20240101000000", bad)
+    assert "OK" not in {r.status for r in sn.list_snapshots(spark, repo).filter("snapshot LIKE '%0101%'").collect()}
+    # A table whose files changed after its export is refused.
+    good["a"].write.mode("append").parquet(f"{repo}/s_20240101000000_backup/a")
+    with pytest.raises(ValueError, match="not those of its export"):
+        sn.read_snapshot(spark, repo, "s_20240101000000_backup", "a")
+    assert sn.list_snapshots(spark, str(tmp_path / "none")).collect() == []
+
+
 def test_snapshot_listing_file(spark, tmp_path):
     (tmp_path / "s.csv").write_text("snapshot,ts,status\na_20240101000000_backup,2024-01-01,OK\n")
     assert read_snapshots(spark, str(tmp_path / "s.csv")).first().status == "OK"

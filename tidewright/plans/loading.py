@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tidewright.functions.ordered import SEGMENT_ROWS
@@ -113,6 +115,37 @@ def latest_snapshot_plan(spark, sf_dir):
     return sn.latest_snapshots(_snapshots(spark, sf_dir), "ordinal")
 
 
+def snapshot_round_trip(spark, sf_dir):
+    """Three exports of five tables in lists of two: one whole, a newer one that breaks off in its last list, and
+    a whole one of another schema. The latest whole ones are restored and summed up."""
+    work = scratch_path(spark, "snapshots")
+    shop = [("shop", name) for name in ("nation", "customer", "orders", "supplier", "region")]
+
+    def read(schema, name):
+        rows = table(spark, sf_dir, name)
+        return rows.filter(F.col(rows.columns[0]) % 3 != 0) if schema == "parts" else rows
+
+    def broken(schema, name):
+        rows = table(spark, sf_dir, name)
+        return rows.select(F.raise_error(F.lit("gone")).alias("x")) if name == "region" else rows.limit(1)
+
+    sn.export_snapshot(spark, shop, f"{work}/repo", "20240101000000", 2, read=read)
+    sn.export_snapshot(spark, shop, f"{work}/repo", "20240201000000", 2, read=broken)
+    sn.export_snapshot(spark, [("parts", "part"), ("parts", "supplier")], f"{work}/repo", "20240301000000", read=read)
+    latest = sn.latest_snapshots(sn.list_snapshots(spark, f"{work}/repo"), "ordinal")
+
+    def write(schema, name, rows):
+        rows.write.mode("overwrite").parquet(f"{work}/back/{schema}/{name}")
+
+    done = sn.restore_snapshots(spark, f"{work}/repo", latest, write).collect()
+    parts = []
+    for row in done:
+        back = spark.read.parquet(f"{work}/back/{row.table_schema}/{row.table_name}")
+        sums = back.agg(F.count("*").alias("n"), F.sum(F.col(back.columns[0])).cast("long").alias("keys"))
+        parts.append(sums.select(*[F.lit(v).alias(c) for c, v in (("db", row.table_schema), ("snapshot", row.label), ("table_name", row.table_name), ("status", row.status))], "n", "keys"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def invalid_snapshot_names(spark, sf_dir):
     return sn.invalid_names(_snapshots(spark, sf_dir)).select("ordinal", "snapshot")
 
@@ -121,7 +154,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         csv_type_inference, csv_typed_load, query_batch_export, schema_snapshot_manifest,
-        latest_snapshot_plan, invalid_snapshot_names,
+        latest_snapshot_plan, invalid_snapshot_names, snapshot_round_trip,
     )
 }
 
@@ -192,5 +225,15 @@ ORACLES: dict[str, str] = {
       r AS (SELECT *, row_number() OVER (PARTITION BY db ORDER BY taken_at DESC, ordinal) AS rn FROM n
         WHERE ok AND taken_at IS NOT NULL AND db <> 'sys')
       SELECT db, snapshot, taken_at FROM r WHERE rn = 1""",
+    "snapshot_round_trip": " UNION ALL ".join(
+        f"""SELECT '{db}' AS db, '{db}_{stamp}_backup{list_no}' AS snapshot, '{name}' AS table_name, 'done' AS status,
+          count(*) AS n, CAST(coalesce(sum({key}), 0) AS BIGINT) AS keys FROM {name} WHERE {kept}"""
+        for db, stamp, list_no, name, key, kept in (
+            ("shop", "20240101000000", "", "nation", "n_nationkey", "true"), ("shop", "20240101000000", "", "customer", "c_custkey", "true"),
+            ("shop", "20240101000000", "_2", "orders", "o_orderkey", "true"), ("shop", "20240101000000", "_2", "supplier", "s_suppkey", "true"),
+            ("shop", "20240101000000", "_3", "region", "r_regionkey", "true"), ("parts", "20240301000000", "", "part", "p_partkey", "p_partkey % 3 <> 0"),
+            ("parts", "20240301000000", "", "supplier", "s_suppkey", "s_suppkey % 3 <> 0"),
+        )
+    ),
     "invalid_snapshot_names": f"WITH {_SNAP} SELECT ordinal, snapshot FROM n WHERE ok AND taken_at IS NULL",
 }
