@@ -10,7 +10,7 @@ from tidewright.operators import snapshots as sn
 from tidewright.operators import workload as wl
 from tidewright.sinks.tables import append_dated, append_table, export_queries
 from tidewright.sources import csv_load, inventory
-from tidewright.sources.status import read_snapshots
+from tidewright.sources.status import key_value_rows, read_dated_log, read_snapshots, read_vertical
 
 FILE = "path string, mtime timestamp_ntz"
 
@@ -118,6 +118,41 @@ def test_snapshot_export_and_read_back(spark, tmp_path):
     spark.sql("DROP DATABASE tidewright_snap CASCADE")
 
 
+def test_sync_plan(spark):
+    now = ts("2024-03-01 00:00:00")
+    schema = "path string, mtime timestamp_ntz, length long"
+
+    def files(*listed):
+        return spark.createDataFrame([(p, dt.datetime.fromisoformat(f"2024-{d}"), n) for p, d, n in listed], schema)
+
+    source = files(
+        ("hdfs://nn:8020/src/a/new", "02-28", 1), ("file:/src/same", "02-28", 2), ("/src/longer", "02-28", 3), ("/src/later", "02-29", 4),
+        ("/src/old", "01-02", 5), ("/src/old_both", "01-02", 6), ("/srcx/elsewhere", "02-28", 7), ("/src/dir.v1+x/f", "02-28", 8),
+    )
+    target = files(("/dst/same", "02-28", 2), ("/dst/longer", "02-28", 2), ("/dst/later", "02-28", 4), ("/dst/old_both", "01-02", 6), ("/dst/own", "02-20", 9))
+    plan = rt.sync_plan(source, target, "/src/", "s3a://bucket/dst".replace("s3a://bucket", ""), 30, now)
+    assert {r.relative: (r.action, r.bytes, r.target) for r in plan.collect()} == {
+        "a/new": ("copy", 1, "/dst/a/new"), "same": ("keep", None, None), "longer": ("copy", 3, "/dst/longer"), "later": ("copy", 4, "/dst/later"),
+        "old": ("skip", None, None), "old_both": ("delete", None, None), "own": ("keep", None, None), "dir.v1+x/f": ("copy", 8, "/dst/dir.v1+x/f"),
+    }
+    assert rt.sync_plan(source.limit(0), target.limit(0), "/src", "/dst", 30, now).collect() == []
+
+
+def test_vertical_output_and_dated_logs(spark, tmp_path):
+    star = "*" * 27
+    (tmp_path / "a.txt").write_text(f"{star} 1. row {star}\n  Key: x\n  Text: a | b\n   c\n\n{star} 2. row {star}\nKey: y\n")
+    (tmp_path / "b.txt").write_text("nothing\n")
+    got = read_vertical(spark, str(tmp_path)).collect()
+    assert sorted((r.row_no, r.record.count("\n")) for r in got) == [(1, 4), (2, 1)]
+    assert rows(key_value_rows(read_vertical(spark, str(tmp_path)), "row_no", "record")) == [(1, "Key", "x"), (1, "Text", "a | b"), (2, "Key", "y")]
+    for day in ("05", "06", "07"):
+        (tmp_path / "log" / f"dump_date=2024-01-{day}").mkdir(parents=True)
+        (tmp_path / "log" / f"dump_date=2024-01-{day}" / "m.txt").write_text(f"2024-01-{day} 01:00:00 | 3306 | conn_cur   {day}\nbroken line\n")
+    some = read_dated_log(spark, str(tmp_path / "log"), "2024-01-06", "2024-01-06")
+    assert [(r.instance, r.item, r.value) for r in some.collect()] == [("3306", "conn_cur", 6.0)]
+    assert "PartitionFilters: [isnotnull(dump_date" in some._jdf.queryExecution().toString()
+
+
 def test_snapshot_is_whole_or_absent(spark, tmp_path):
     repo = str(tmp_path / "repo")
     good = {name: spark.range(k + 1) for k, name in enumerate("abcde")}

@@ -73,6 +73,37 @@ def target_cleanup(files: DataFrame, days: int, now: Column) -> DataFrame:
     return files.filter(older_than(F.col("mtime"), days, now)).select("path")
 
 
+def relative_path(path: Column, root: str) -> Column:
+    """The path below a root, NULL for one elsewhere; a scheme and host in front of either do not matter."""
+    scheme = r"^[A-Za-z][\w+.\-]*:(?://[^/]*)?"
+    bare, top = F.regexp_replace(path, scheme, ""), re.sub(scheme, "", root).rstrip("/") + "/"
+    return F.when(F.startswith(bare, F.lit(top)), F.substring(bare, len(top) + 1, 2**31 - 1))
+
+
+def sync_plan(source: DataFrame, target: DataFrame, source_root: str, target_root: str, days: int, now: Column) -> DataFrame:
+    """What makes a target folder follow a source folder, one row per relative path of either listing (``path, mtime, length``).
+
+    A source file modified within the days is copied if the target lacks it, has another length or an older
+    time; a target file older than the days is deleted; else a file of the target is kept and one of the source alone is skipped.
+    """
+    def side(files: DataFrame, root: str, prefix: str) -> DataFrame:
+        rows = files.withColumn("relative", relative_path(F.col("path"), root)).filter(F.col("relative").isNotNull())
+        return rows.select("relative", F.col("mtime").alias(f"{prefix}_mtime"), F.col("length").alias(f"{prefix}_length"))
+
+    both = side(source, source_root, "source").join(side(target, target_root, "target"), "relative", "full")
+    there = F.col("target_mtime").isNotNull()
+    same = there & (F.col("target_length") == F.col("source_length")) & (F.col("target_mtime") >= F.col("source_mtime"))
+    fresh = F.coalesce(younger_than(F.col("source_mtime"), days, now), F.lit(False))
+    action = (
+        F.when(fresh & ~same, "copy").when(there & older_than(F.col("target_mtime"), days, now), "delete")
+        .when(there, "keep").otherwise("skip")
+    )
+    return both.select(
+        "relative", action.alias("action"), F.when(action == "copy", F.col("source_length")).alias("bytes"),
+        F.when(action == "copy", F.concat(F.lit(target_root.rstrip("/") + "/"), "relative")).alias("target"),
+    )
+
+
 def idle_keys(keys: DataFrame, idle_sec: int = 259_200) -> DataFrame:
     """Keys idle for longer than the limit that would never expire by themselves."""
     return keys.filter((F.col("idle_sec") > idle_sec) & (F.col("ttl_sec") == -1))

@@ -274,6 +274,16 @@ def edges_known_entities(spark, sf_dir):
     return checked.select("from_fqn", "to_fqn", "reason")
 
 
+def lineage_edges_upsert(spark, sf_dir):
+    """A store with the edges of copy and topic jobs, into which those of half the topic jobs are loaded again, described anew."""
+    names = _services(spark, sf_dir)
+    topics = _topic_edges(spark, sf_dir, names)
+    stored = ln.collect_edges(_copy_edges(spark, sf_dir, names).unionByName(topics))
+    again = topics.filter(F.col("source_id").cast("bigint") % 2 == 0).withColumn("description", F.concat(F.lit("again "), "description"))
+    edges = ln.upsert_edges(stored, ln.collect_edges(again))
+    return edges.select("from_fqn", "to_fqn", F.size("columns").alias("n_columns"), "description")
+
+
 def url_service_lookup(spark, sf_dir):
     """Hosts with their language and bare hosts of the pages as patterns, oldest page first."""
     pages = table(spark, sf_dir, "pages")
@@ -303,7 +313,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         lineage_sql_edges, lineage_sql_unparsed, lineage_datax_edges, lineage_flink_edges,
-        lineage_canal_edges, lineage_skipped_jobs, lineage_all_edges, edges_known_entities, url_service_lookup,
+        lineage_canal_edges, lineage_skipped_jobs, lineage_all_edges, lineage_edges_upsert, edges_known_entities, url_service_lookup,
     )
 }
 
@@ -401,6 +411,10 @@ ORACLES: dict[str, str] = {
         coalesce(string_agg(from_col || '>' || to_col, ',' ORDER BY from_col, to_col), '') AS columns,
         min(description) AS description
       FROM u GROUP BY from_fqn, to_fqn""",
+    "lineage_edges_upsert": f"""WITH {_EDGES}
+      SELECT from_fqn, to_fqn, CAST(count(DISTINCT from_col || '>' || to_col) AS INT) AS n_columns,
+        min(CASE WHEN kind = 'topic' AND CAST(source_id AS BIGINT) % 2 = 0 THEN 'again ' ELSE '' END || description) AS description
+      FROM all_e WHERE kind IN ('copy', 'topic') GROUP BY from_fqn, to_fqn""",
     "edges_known_entities": f"""WITH {_EDGES},
       known AS (SELECT from_fqn AS fqn FROM all_e WHERE kind <> 'stream'
         UNION SELECT to_fqn FROM all_e WHERE kind <> 'copy')

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewright.functions.sql_functions import register
 from tidewright.operators import maintenance as mt
 from tidewright.plans import tables as t
 from tidewright.plans.tables import Query, stats_sql, table
@@ -251,6 +252,13 @@ def split_to_rows(spark, sf_dir):
     return mt.split_rows(table(spark, sf_dir, "documents"), ["doc_id"], "text", "\n")
 
 
+def split_sql_rows(spark, sf_dir):
+    """The lines of every document by the SQL form of the split."""
+    register(spark)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("split_documents")
+    return spark.sql("SELECT d.doc_id, s.piece_no, s.piece FROM split_documents d, LATERAL f_str_split(d.text, '\n') s")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -258,7 +266,7 @@ QUERIES: dict[str, Query] = {
         space_action_plan, report_after_run,
         partition_listing, indexes_to_rebuild, tables_without_key, property_audit,
         calendar_table_plan, calendar_control_advance, sequence_step_plan, job_log_append,
-        control_state_transition, split_to_rows,
+        control_state_transition, split_to_rows, split_sql_rows,
     )
 }
 
@@ -399,3 +407,4 @@ ORACLES: dict[str, str] = {
       FROM (SELECT doc_id, CASE WHEN text IS NULL THEN [NULL] ELSE string_split(text, chr(10)) END AS p
         FROM documents)""",
 }
+ORACLES["split_sql_rows"] = ORACLES["split_to_rows"]

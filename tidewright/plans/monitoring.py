@@ -12,7 +12,7 @@ from tidewright.plans import tables as t
 from tidewright.plans.tables import Query, SAMPLES_SQL, SESSIONS_SQL, cents, stats_sql, table
 from tidewright.session import scratch_path
 from tidewright.sinks.tables import append_dated
-from tidewright.sources.status import key_value_rows
+from tidewright.sources.status import key_value_rows, read_dated_log, read_vertical
 from tidewright.streaming.freshness import follow, probe_status
 from tidewright.streaming.rates import rates_available
 
@@ -293,6 +293,31 @@ def replica_status(spark, sf_dir):
     return mon.replica_items(key_value_rows(replicas, "replica_id", "status"), "replica_id")
 
 
+def metric_log_changes(spark, sf_dir):
+    """The samples as lines of a log in dated folders; of some days the lines are read back, each with its growth."""
+    path = scratch_path(spark, "metric-log")
+    line = F.concat_ws(" | ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "instance", F.concat_ws("   ", "item", F.col("value").cast("string")))
+    dated = _samples(spark, sf_dir).select(line.alias("value"), F.col("ts").cast("date").alias("dump_date"))
+    dated.write.partitionBy("dump_date").text(path)
+    rows = read_dated_log(spark, path, "2024-01-08", "2024-01-12")
+    grown = with_previous(rows, ["instance", "item"], ["ts"], {"before": "value"}, mon.day_of("ts"))
+    return grown.select("ts", "instance", "item", F.col("value").cast("bigint").alias("value"), (F.col("value") - F.col("before")).cast("bigint").alias("grown"))
+
+
+def replica_status_log(spark, sf_dir):
+    """Vertical output of every customer's replica in text files, read back record by record."""
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    text = F.concat(
+        F.lit("*************************** "), key.cast("string"), F.lit(". row ***************************\n  Master_Host: h:"),
+        nation.cast("string"), F.lit("\n  Slave_IO_Running: "), F.when(nation % 6 == 0, "No").otherwise("Yes"),
+        F.lit("\n  Slave_SQL_Running: Yes\n  Last_Error: a: b\n\n  Seconds_Behind_Master: "), (key * 3).cast("string"),
+    )
+    path = scratch_path(spark, "replica-log")
+    table(spark, sf_dir, "customer").select(text.alias("value")).write.text(path)
+    records = read_vertical(spark, path)
+    return mon.replica_items(key_value_rows(records, "row_no", "record"), "row_no")
+
+
 def dated_state_dump(spark, sf_dir):
     """Every process appended under its kind and day, read back as counts."""
     work = scratch_path(spark, "state-dump")
@@ -321,7 +346,7 @@ QUERIES: dict[str, Query] = {
         counter_rates, counter_rates_stream, gauge_ratios, session_gauges, size_rollup,
         trx_current_statement, lock_wait_graph, monitor_long_form, item_max, latest_error,
         longest_first, usage_threshold, backlog_eta, peak_interval, peak_report_plan,
-        heartbeat_status, heartbeat_deadlines, check_interval, health_changes, throughput_rating, replica_status,
+        heartbeat_status, heartbeat_deadlines, check_interval, health_changes, throughput_rating, replica_status, replica_status_log, metric_log_changes,
         dated_state_dump, distinct_instances,
     )
 }
@@ -473,6 +498,11 @@ ORACLES: dict[str, str] = {
           ELSE CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) END AS mbps FROM events)
       SELECT event_id, mbps, CASE WHEN mbps > 100 THEN 'excellent' WHEN mbps > 50 THEN 'good'
         WHEN mbps IS NOT NULL THEN 'fair' END AS rating FROM s""",
+    "replica_status_log": """SELECT c_custkey AS row_no, c_custkey * 3 AS replica_delay_sec, CAST(c_nationkey % 6 = 0 AS BIGINT) AS error_io_thread,
+        CAST(0 AS BIGINT) AS error_sql_thread FROM customer""",
+    "metric_log_changes": f"""WITH {SAMPLES_SQL},
+      d AS (SELECT * FROM samples WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-13')
+      SELECT ts, instance, item, value, value - lag(value) OVER (PARTITION BY instance, item ORDER BY ts) AS grown FROM d""",
     "replica_status": """SELECT c_custkey AS replica_id,
         CASE WHEN c_nationkey % 4 = 0 THEN 0 ELSE c_custkey * 7 END AS replica_delay_sec,
         CAST(c_nationkey % 6 = 0 AS BIGINT) AS error_io_thread,

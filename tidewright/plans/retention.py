@@ -8,6 +8,8 @@ from tidewright.functions.ordered import SEGMENT_ROWS
 from tidewright.functions.text import epoch_seconds
 from tidewright.operators import retention as rt
 from tidewright.plans.tables import Query, table
+from tidewright.session import scratch_path
+from tidewright.sources.inventory import read_files, read_keys
 
 FILES_NOW, KEYS_NOW = "2001-08-02 00:00:00", "2024-02-01 00:00:00"
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -49,6 +51,38 @@ def incremental_copy_plan(spark, sf_dir):
     )
 
 
+def file_sync_plan(spark, sf_dir):
+    """Customers as files on two sides, a folder per nation: the target lacks some, has shorter ones and ones of its own. The
+    plan is made at once, and once more as if two years had passed."""
+    work = scratch_path(spark, "sync")
+    customer = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_name")
+    n = F.col("nation")
+    target = customer.filter((n < 20) & ((n % 5 != 0) | (F.col("c_custkey") % 2 == 0)))
+    own = customer.filter(n < 3).withColumn("nation", n + 100)
+    sides = customer.withColumn("side", F.lit("source")).unionByName(target.unionByName(own).withColumn("side", F.lit("target")))
+    # One task writes all, so a nation's file has one name on both sides.
+    sides.coalesce(1).write.partitionBy("side", "nation").parquet(work)
+
+    def files(side):
+        return read_files(spark, f"{work}/side={side}").withColumnRenamed("modificationTime", "mtime")
+
+    plans = []
+    for later in (False, True):
+        now = F.current_timestamp() + F.expr(f"INTERVAL {730 * later} DAYS")
+        roots = [f"{work}/side=source", f"{work}/side=target"]
+        plan = rt.sync_plan(files("source"), files("target"), *roots, 30, now)
+        nation = F.regexp_extract("relative", r"^nation=(\d+)/", 1).cast("bigint")
+        plans.append(plan.select(nation.alias("nation"), "action", F.lit(later).alias("later")))
+    return plans[0].unionByName(plans[1])
+
+
+def idle_keys_file(spark, sf_dir):
+    """The keys as an exported listing that is read back."""
+    path = scratch_path(spark, "keys")
+    _keys(spark, sf_dir).write.option("header", True).csv(path)
+    return rt.idle_keys(read_keys(spark, path), 172_800)
+
+
 def _keys(spark, sf_dir):
     last = table(spark, sf_dir, "events").groupBy("user_id").agg(
         F.max_by(F.struct("ts", "props"), "event_id").alias("l")
@@ -96,7 +130,7 @@ def completeness_check(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        retention_plan, history_expiry, incremental_copy_plan, idle_keys, head_trim_rounds,
+        retention_plan, history_expiry, incremental_copy_plan, idle_keys, idle_keys_file, file_sync_plan, head_trim_rounds,
         next_generation, completeness_check,
     )
 }
@@ -123,6 +157,11 @@ ORACLES: dict[str, str] = {
         date_diff('second', date_trunc('second', ts), TIMESTAMP '{KEYS_NOW}') AS idle_sec, CAST(-1 AS BIGINT) AS ttl_sec
       FROM l WHERE rn = 1 AND k % 2 = 0
         AND date_diff('second', date_trunc('second', ts), TIMESTAMP '{KEYS_NOW}') > 172800""",
+    "file_sync_plan": """WITH n AS (SELECT DISTINCT c_nationkey AS nation FROM customer),
+      p AS (SELECT nation, CASE WHEN nation >= 20 OR nation % 5 = 0 THEN 'copy' ELSE 'keep' END AS action, nation < 20 AS there FROM n
+        UNION ALL SELECT nation + 100, 'keep', true FROM n WHERE nation < 3)
+      SELECT nation, action, false AS later FROM p
+      UNION ALL SELECT nation, CASE WHEN there THEN 'delete' ELSE 'skip' END, true FROM p""",
     "head_trim_rounds": """WITH n AS (SELECT event_type, event_id,
           row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn,
           count(*) OVER (PARTITION BY event_type) AS total FROM events)
@@ -137,3 +176,4 @@ ORACLES: dict[str, str] = {
       LEFT JOIN orders ON o_orderpriority = pattern AND CAST(o_orderdate AS DATE) = DATE '1998-10-03'
       GROUP BY pattern""",
 }
+ORACLES["idle_keys_file"] = ORACLES["idle_keys"]

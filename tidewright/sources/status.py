@@ -48,6 +48,33 @@ def read_metric_log(spark: SparkSession, path: str) -> DataFrame:
     return metric_rows(spark.read.text(path))
 
 
+def read_dated_log(spark: SparkSession, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """The metric samples of a log kept in ``dump_date=…`` folders, of the days asked for; other folders are not read."""
+    lines = spark.read.schema("value string, dump_date date").text(path)
+    if first:
+        lines = lines.filter(F.col("dump_date") >= F.lit(first).cast("date"))
+    if last:
+        lines = lines.filter(F.col("dump_date") <= F.lit(last).cast("date"))
+    return metric_rows(lines)
+
+
+# Fixed value: what stands before every record of vertical output, around its number.
+RECORD_LINE = "*************************** "
+
+
+def read_vertical(spark: SparkSession, path: str) -> DataFrame:
+    """The records of vertical (``\\G``) output, whole: ``file, row_no, record``.
+
+    The reader cuts the files at the line before a record, so a record is one row however many lines it has,
+    and a long file still is many tasks.
+    """
+    parts = spark.read.option("lineSep", RECORD_LINE).text(path).select(F.input_file_name().alias("file"), "value")
+    head = r"^(\d+)\. row \*+\s*\n"
+    return parts.filter(F.col("value").rlike(head)).select(
+        "file", F.regexp_extract("value", head, 1).cast("bigint").alias("row_no"), F.regexp_replace("value", head, "").alias("record")
+    )
+
+
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """Snapshot listing: name, timestamp text and status."""
     return spark.read.schema("snapshot string, ts string, status string").csv(path, header=True)
