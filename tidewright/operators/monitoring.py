@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.functions.measures import half_even, ratio_percent, rounded
+from tidewright.functions.measures import half_even, pages_to_gib, ratio_percent, rounded
 from tidewright.functions.ordered import with_previous
 from tidewright.functions.text import clock_text, host_part, port_part
 
@@ -118,6 +118,29 @@ def latest_rates(rates: DataFrame) -> DataFrame:
     return rates.groupBy("instance", "item").agg(F.max_by("rate", "ts").alias("value"))
 
 
+def server_items(status: DataFrame) -> DataFrame:
+    """Running threads, memory and buffer pool of each instance from its status rows (``instance, item, value``), one wide row each.
+
+    Memory is given in KiB, the pool in pages; both are whole GiB here, each rounded before the used part is taken. A missing
+    item leaves those that need it NULL.
+    """
+
+    def value(name: str) -> Column:
+        return F.max(F.when(F.col("item") == name, F.col("value")))
+
+    most, free = F.col("buffer_max_size_gb"), F.col("_free")
+    return (
+        status.groupBy("instance").agg(
+            value("Threads_running").cast("bigint").alias("conn_active"),
+            half_even(value("MemTotal") / 1024 / 1024).alias("mem_max_size_gb"),
+            pages_to_gib(value("Innodb_buffer_pool_pages_total")).alias("buffer_max_size_gb"),
+            pages_to_gib(value("Innodb_buffer_pool_pages_free")).alias("_free"),
+        )
+        .withColumns({"buffer_used_size_gb": most - free, "buffer_used_ratio": ratio_percent(most - free, most)})
+        .drop("_free")
+    )
+
+
 def long_form(gauges: DataFrame, ts: Column) -> DataFrame:
     """Wide gauges as ``ts, instance, item, value`` rows."""
     items = [c for c in gauges.columns if c != "instance"]

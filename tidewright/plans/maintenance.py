@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidewright.functions.sql_functions import register
 from tidewright.operators import maintenance as mt
+from tidewright.operators.jobs import calendar_run, executed
 from tidewright.plans import tables as t
 from tidewright.plans.tables import Query, stats_sql, table
 from tidewright.session import scratch_path
@@ -197,6 +200,29 @@ def calendar_table_plan(spark, sf_dir):
     return mt.calendar_plan(_controls(spark, sf_dir), existing, at(CALENDAR_NOW))
 
 
+def _refusing():
+    """Runs statements; an index on the table of a part whose number is a multiple of seven is refused."""
+
+    def run(statement: str) -> None:
+        found = re.search(r"^create index \S+ on \w+?_(\d+)_", statement)
+        if found and int(found[1]) % 7 == 0:
+            raise ValueError("no space")
+
+    return run
+
+
+def calendar_run_log(spark, sf_dir):
+    """The calendar tables' statements are run, some fail; the job's log as it is stored, and its control rows."""
+    controls, now = _controls(spark, sf_dir), at(CALENDAR_NOW)
+    work = scratch_path(spark, "calendar-run")
+    executed(calendar_table_plan(spark, sf_dir), "table_name", ["piece_no"], _refusing).write.parquet(f"{work}/done")
+    log, after = calendar_run(controls, spark.read.parquet(f"{work}/done"), now, now, now)
+    mt.job_log_rows(log, now).write.parquet(f"{work}/log")
+    stored = spark.read.parquet(f"{work}/log").select(F.lit("log").alias("kind"), F.col("proc_desc").alias("text"), F.col("proc_status").alias("status"))
+    rows = after.select(F.lit("control").alias("kind"), F.concat_ws(",", "tabname", F.col("tabdate").cast("string")).alias("text"), F.col("tabstatus").alias("status"))
+    return stored.unionByName(rows)
+
+
 def calendar_control_advance(spark, sf_dir):
     return mt.advance_controls(_controls(spark, sf_dir), at(CALENDAR_NOW))
 
@@ -265,7 +291,7 @@ QUERIES: dict[str, Query] = {
         wasted_space_report, batch_replace, fragmented_partitions, empty_partitions,
         space_action_plan, report_after_run,
         partition_listing, indexes_to_rebuild, tables_without_key, property_audit,
-        calendar_table_plan, calendar_control_advance, sequence_step_plan, job_log_append,
+        calendar_table_plan, calendar_run_log, calendar_control_advance, sequence_step_plan, job_log_append,
         control_state_transition, split_to_rows, split_sql_rows,
     )
 }
@@ -358,6 +384,25 @@ ORACLES: dict[str, str] = {
       FROM e WHERE s = 'click'
       UNION ALL SELECT s, n, 'view', 'CREATE MATERIALIZED VIEW `' || s || '`.`' || n
         || '` PROPERTIES ("k" = "1") AS SELECT 1' FROM e WHERE s = 'signup'""",
+    "calendar_run_log": f"""WITH {_CONTROLS},
+      l AS (
+        SELECT *, strftime(x, '%Y%m%d') AS label FROM (
+          SELECT *, unnest(generate_series(CAST(date_trunc('month', tabdate) AS DATE), last_day(tabdate), INTERVAL 1 DAY)) AS x
+          FROM d WHERE due AND tabinterval = 'D')
+        UNION ALL SELECT *, NULL, CASE tabinterval WHEN 'M' THEN strftime(tabdate, '%Y%m')
+            WHEN 'S' THEN strftime(tabdate, '%Y') || '_S' || CAST(quarter(tabdate) AS VARCHAR)
+            ELSE strftime(tabdate, '%Y') END
+          FROM d WHERE due AND tabinterval <> 'D'),
+      m AS (SELECT * FROM l WHERE NOT (p_retailprice > 950 AND label IN ('202402', '2024', '20240215'))),
+      g AS (SELECT *, upper(tabname) || '_' || label AS table_name, CAST(regexp_extract(tabname, '_([0-9]+)$', 1) AS BIGINT) % 7 = 0 AS bad FROM m),
+      f AS (SELECT tabname, min(table_name) AS table_name, arg_min(label, table_name) AS label FROM g WHERE bad GROUP BY tabname),
+      w AS (SELECT d.*, f.table_name, f.label FROM d LEFT JOIN f USING (tabname))
+      SELECT 'log' AS kind, '20240410 00:00:00,' || table_name || ',created successful' AS text, '1' AS status FROM g WHERE NOT bad
+      UNION ALL SELECT 'log', CASE WHEN table_name IS NULL THEN '20240410 00:00:00,' || tabname || ',run successful'
+          ELSE 'Exception:20240410 00:00:00,' || table_name || ',no space->create index ix_' || label || ' on ' || tabname || '_' || label || '(a)' END, '1'
+        FROM w WHERE due
+      UNION ALL SELECT 'control', tabname || ',' || CAST(CAST(CASE WHEN due AND table_name IS NULL THEN {_NEXT} ELSE tabdate END AS DATE) AS VARCHAR),
+        CASE WHEN NOT due THEN tabstatus WHEN table_name IS NULL THEN '0' ELSE '2' END FROM w""",
     "calendar_table_plan": f"""WITH {_CONTROLS},
       l AS (
         SELECT *, strftime(x, '%Y%m%d') AS label FROM (

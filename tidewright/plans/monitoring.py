@@ -318,6 +318,18 @@ def replica_status_log(spark, sf_dir):
     return mon.replica_items(key_value_rows(records, "row_no", "record"), "row_no")
 
 
+def server_items_long(spark, sf_dir):
+    """Threads, memory, buffer pool and replica items of a poll as long rows; status rows come from the customers' numbers."""
+    customer = table(spark, sf_dir, "customer").select(F.concat(F.lit("330"), (F.col("c_custkey") % 4).cast("string")).alias("instance"), "c_custkey")
+    n, keys = F.count("*"), F.sum("c_custkey")
+    items = {"Threads_running": n, "MemTotal": keys * 100, "Innodb_buffer_pool_pages_total": keys * 5, "Innodb_buffer_pool_pages_free": n * 1000}
+    wide = customer.groupBy("instance").agg(*[v.cast("double").alias(k) for k, v in items.items()])
+    server = mon.server_items(wide.unpivot("instance", list(items), "item", "value"))
+    text = F.concat(F.lit("Slave_IO_Running: "), F.when(F.col("instance") == "3301", "No").otherwise("Yes"), F.lit("\nSeconds_Behind_Master: 7"))
+    replica = mon.replica_items(key_value_rows(customer.select("instance").distinct().withColumn("text", text), "instance", "text"), "instance")
+    return mon.long_form(server.join(replica, "instance"), at(EVENTS_NOW))
+
+
 def dated_state_dump(spark, sf_dir):
     """Every process appended under its kind and day, read back as counts."""
     work = scratch_path(spark, "state-dump")
@@ -346,7 +358,7 @@ QUERIES: dict[str, Query] = {
         counter_rates, counter_rates_stream, gauge_ratios, session_gauges, size_rollup,
         trx_current_statement, lock_wait_graph, monitor_long_form, item_max, latest_error,
         longest_first, usage_threshold, backlog_eta, peak_interval, peak_report_plan,
-        heartbeat_status, heartbeat_deadlines, check_interval, health_changes, throughput_rating, replica_status, replica_status_log, metric_log_changes,
+        heartbeat_status, heartbeat_deadlines, check_interval, health_changes, throughput_rating, replica_status, replica_status_log, metric_log_changes, server_items_long,
         dated_state_dump, distinct_instances,
     )
 }
@@ -498,6 +510,14 @@ ORACLES: dict[str, str] = {
           ELSE CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) END AS mbps FROM events)
       SELECT event_id, mbps, CASE WHEN mbps > 100 THEN 'excellent' WHEN mbps > 50 THEN 'good'
         WHEN mbps IS NOT NULL THEN 'fair' END AS rating FROM s""",
+    "server_items_long": f"""
+      WITH s AS (SELECT '330' || CAST(c_custkey % 4 AS VARCHAR) AS instance, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS k FROM customer GROUP BY 1),
+      g AS (SELECT *, CAST(round_even(k * 5.0::DOUBLE * 16 / 1024 / 1024, 0) AS BIGINT) AS most, CAST(round_even(n * 1000.0::DOUBLE * 16 / 1024 / 1024, 0) AS BIGINT) AS free FROM s)
+      SELECT TIMESTAMP '{EVENTS_NOW}' AS ts, instance, unnest(['conn_active', 'mem_max_size_gb', 'buffer_max_size_gb', 'buffer_used_size_gb', 'buffer_used_ratio',
+          'replica_delay_sec', 'error_io_thread', 'error_sql_thread']) AS item,
+        unnest([n, CAST(round_even(k * 100.0::DOUBLE / 1024 / 1024, 0) AS BIGINT), most, most - free,
+          CASE WHEN most <> 0 THEN CAST(round_even((most - free) / most::DOUBLE * 100, 0) AS BIGINT) END, 7, CAST(instance = '3301' AS BIGINT), 0]) AS value
+      FROM g""",
     "replica_status_log": """SELECT c_custkey AS row_no, c_custkey * 3 AS replica_delay_sec, CAST(c_nationkey % 6 = 0 AS BIGINT) AS error_io_thread,
         CAST(0 AS BIGINT) AS error_sql_thread FROM customer""",
     "metric_log_changes": f"""WITH {SAMPLES_SQL},
