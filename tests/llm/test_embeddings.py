@@ -94,5 +94,14 @@ def test_other_lengths_link_with_nothing(spark):
     assert sorted(map(tuple, embedding_dedup.near_duplicates(df).collect())) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 0, 4, True)]
 
 
+def test_each_length_is_compared_with_itself(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.normal(size=3).tolist()) for k in range(20)] + [(30, [1.0, 2.0]), (31, [1.0, 2.0]), (32, [2.0, 4.1]), (33, [-1.0, 2.0]), (34, [5.0]), (35, [-5.0]), (36, [3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert {k: v for k, v in out.items() if k >= 30} == {30: (2, 30), 31: (2, 30), 32: (2, 30), 33: (0, 33), 34: (1, 34), 35: (0, 35), 36: (1, 34)}
+    assert len(out) == len(rows)
+
+
 def test_empty_table(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0

@@ -13,6 +13,7 @@ the triangle inequality on angles, so no link of a crowd's vector is missed.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.graph import components
+from tidewright.llm.text import grouped, mapped
 from tidewright.session import settled_rows
 
 THRESHOLD = 0.9
@@ -204,38 +206,22 @@ def _tile(threshold: float, shared: int, n_pivots: int):
     return run
 
 
-def near_duplicates(
-    vectors: DataFrame,
-    threshold: float = THRESHOLD,
-    nearest: int = NEAREST,
-    shared: int = SHARED,
-    block: int = BLOCK,
-    id_col: str = "vec_id",
-    vector_col: str = "embedding",
-) -> DataFrame:
-    """``(vec_id, n_links, component_id, kept)`` of every row.
-
-    Vectors link at a cosine of ``threshold`` or more. Rows with equal vectors are one class, linked with each
-    other and counted by number. Null or zero vectors, vectors with null or non-finite components and
-    rows with a null id link with nothing and are their own component; ``kept`` is false for a null id.
-    Vectors have the length that most rows have; others link with nothing. Repeated rows are rows of their own with one id.
-    """
-    spark = vectors.sparkSession
-    width = classes(vectors, id_col, vector_col).groupBy(F.size("vector").alias("w")).agg(F.sum("rows").alias("n")).orderBy(F.desc("n"), F.desc("w")).first()
-    found = settled_rows(classes(vectors, id_col, vector_col).filter(F.size("vector") == (width["w"] if width else 0)))
+def _linked(found: DataFrame, width: int, threshold: float, nearest: int, shared: int, block: int) -> DataFrame:
+    """``(vector, rows, met, component)`` of the different vectors of one length, linked by pivots of their own."""
+    spark = found.sparkSession
     total = found.count()
     n_pivots = pivot_count(total)
     sample = found.orderBy(F.xxhash64("node"), "node").limit(n_pivots).select("vector").toArrow()
-    pivots = _unit(sample["vector"], width["w"]) if sample.num_rows else np.zeros((0, 1))
+    pivots = _unit(sample["vector"], width) if sample.num_rows else np.zeros((0, 1))
     chosen = centres(pivots, nearest, threshold)
     known = spark.sparkContext.broadcast((pivots, chosen))
     fields = f"node long, rows long, vector {found.schema['vector'].dataType.simpleString()}, described array<int>, home int"
-    described = found.select("node", "rows", "vector").mapInArrow(_described(known, nearest, threshold), f"{fields}, angle double")
+    described = found.select("node", "rows", "vector").mapInArrow(mapped(_described(known, nearest, threshold)), f"{fields}, angle double")
     radii = {}
     if len(chosen):
         described = settled_rows(described)
         radii = {r.home: r.radius for r in described.filter("home >= 0").groupBy("home").agg(F.max("angle").alias("radius")).collect()}
-    lists = described.mapInArrow(_listed(known, radii, threshold), f"pivot int, {fields}")
+    lists = described.mapInArrow(mapped(_listed(known, radii, threshold)), f"pivot int, {fields}")
     sizes = lists.groupBy("pivot").agg(F.count("*").alias("n"))
     dealt = lists.join(sizes, "pivot").withColumn("p", F.ceil(F.col("n") / block).cast("int"))
     own = F.pmod(F.xxhash64("node"), F.col("p")).cast("int")
@@ -245,14 +231,37 @@ def near_duplicates(
     )
     tiled = dealt.select("pivot", "node", "rows", "vector", "described", "home", F.inline(tiles))
     # On the diagonal a vector stands on both sides.
-    met = settled_rows(tiled.groupBy("pivot", "i", "j").applyInArrow(_tile(threshold, shared, len(pivots)), "node long, met long, other long"))
+    met = settled_rows(tiled.groupBy("pivot", "i", "j").applyInArrow(grouped(_tile(threshold, shared, len(pivots))), "node long, met long, other long"))
     counts = met.groupBy("node").agg(F.sum("met").alias("met"))
     groups = components(met.filter("other IS NOT NULL").select(F.col("node").alias("u"), F.col("other").alias("v")))
-    named = (
+    return (
         found.join(counts, "node", "left")
         .join(groups, "node", "left")
         .select("vector", "rows", F.coalesce("met", F.lit(0)).alias("met"), F.coalesce("component", "node").alias("component"))
     )
+
+
+def near_duplicates(
+    vectors: DataFrame,
+    threshold: float = THRESHOLD,
+    nearest: int = NEAREST,
+    shared: int = SHARED,
+    block: int = BLOCK,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+) -> DataFrame:
+    """``(vec_id, n_links, component_id, kept)`` of every row.
+
+    Vectors link at a cosine of ``threshold`` or more. Rows with equal vectors are one class, linked with each
+    other and counted by number. Null or zero vectors, vectors with null or non-finite components and
+    rows with a null id link with nothing and are their own component; ``kept`` is false for a null id.
+    Vectors of different length do not link; each length is compared by itself. Repeated rows are rows of their own with one id.
+    """
+    found = settled_rows(classes(vectors, id_col, vector_col))
+    widths = [r.w for r in found.groupBy(F.size("vector").alias("w")).count().orderBy("w").collect()]
+    parts = [_linked(found.filter(F.size("vector") == w), w, threshold, nearest, shared, block) for w in widths]
+    nothing = found.select("vector", "rows", F.lit(0).cast("long").alias("met"), F.col("node").alias("component")).limit(0)
+    named = reduce(lambda a, b: a.unionByName(b), parts, nothing)
     asked = vectors.select(F.col(id_col).cast("long").alias("vec_id"), plain(vectors, vector_col).alias("asked"))
     out = asked.join(named, (F.col("asked") == F.col("vector")) & F.col("vec_id").isNotNull(), "left")
     component = F.coalesce("component", "vec_id")
