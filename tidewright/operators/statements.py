@@ -87,6 +87,13 @@ PLACED = [
 ]
 
 
+# A word that one of these places has; without any, nothing is taken out.
+SUSPECT = (
+    r"(?i)::|\b(?:as|using|convert|interval|extract|trim|timestampdiff|timestampadd|date|time|timestamp|datetime|rows|range|groups|"
+    r"nulls|within|filter|collate|zone|separator|escape)\b"
+)
+
+
 @dataclass
 class Dictionary:
     """Columns by table: ``place, column_name, position``; ``place`` makes that key of a table's name in a statement."""
@@ -136,8 +143,11 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def columns_in(expression: Column) -> Column:
     """``(q, c)`` of the columns that a computed item reads: names that are no function, value, type, unit or keyword."""
+    cleared = expression
     for pattern, instead in PLACED:
-        expression = F.regexp_replace(expression, f"(?i){pattern}", instead)
+        cleared = F.regexp_replace(cleared, f"(?i){pattern}", instead)
+    # Most items have none of these words and keep their text.
+    expression = F.when(expression.rlike(SUSPECT), cleared).otherwise(expression)
     found = F.array_distinct(F.regexp_extract_all(expression, F.lit(COLUMN), F.lit(1)))
     named = F.filter(found, lambda c: ~F.lower(c).isin([*RESERVED_WORDS, *VALUE_WORDS]))
     return F.transform(
@@ -148,7 +158,12 @@ def columns_in(expression: Column) -> Column:
     )
 
 
-def _items(body: Column) -> Column:
+def _labels(body: Column) -> Column:
+    """Only the names that select items give their columns, and which are stars."""
+    return _items(body, False)
+
+
+def _items(body: Column, with_columns: bool = True) -> Column:
     """Select items: the name each gives its column (``label``), whether it is a star, its qualifier, and its columns (``refs``)."""
 
     def facts(item: Column) -> Column:
@@ -156,6 +171,8 @@ def _items(body: Column) -> Column:
             bare, made = match["bare"], match["made"]
             is_bare, star = F.size(bare) == 3, (F.size(bare) == 3) & (F.get(bare, 1) == "*")
             label = F.when(is_bare, F.when(bare[2] != "", bare[2]).otherwise(bare[1])).when(F.size(made) == 2, made[1])
+            if not with_columns:
+                return F.struct(label.alias("label"), star.alias("star"))
             value = star | ((F.get(bare, 0) == "") & F.lower(F.get(bare, 1)).isin(VALUE_WORDS))
             none = F.array().cast("array<struct<q:string,c:string>>")
             own = F.array(F.struct(F.lower(F.get(bare, 0)).alias("q"), F.get(bare, 1).alias("c")))
@@ -282,7 +299,7 @@ def parse_insert_select(statements: DataFrame, sql_col: str, dictionary: Diction
     is that of the only source, of the only one that the dictionary gives it, or of the only one the dictionary lacks
     if no other has it. Each column that finds no source or no target is in ``lost`` with its reason.
     """
-    rows = settled(_with_known(_arms(statements, sql_col), dictionary), {"_items": _items(F.col("_body")), "_first": _items(F.col("_head"))})
+    rows = settled(_with_known(_arms(statements, sql_col), dictionary), {"_items": _items(F.col("_body")), "_first": _labels(F.col("_head"))})
     rows = settled(rows, {"_cells": _cells(F.col("_items"))})
     n, stars = F.size("_cells"), F.filter(F.transform("_cells", lambda c, i: F.when(c["star"], i)), lambda i: i.isNotNull())
     rows = settled(
