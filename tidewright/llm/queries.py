@@ -196,34 +196,53 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op9_sql() -> str:
+    def quoted(word: str) -> str:
+        return "'" + word.replace("'", "''") + "'"
+
     rows = ", ".join(
-        f"({k}, '{name}', {licenses.bigrams(text)!r}::VARCHAR[])" for k, (name, text) in enumerate(licenses.TEMPLATES)
+        f"({k}, '{name}', {len(licenses.words_of(text))}, [{', '.join(map(quoted, licenses.bigrams(text)))}])"
+        for k, (name, text) in enumerate(licenses.TEMPLATES)
     )
+    anchors = ", ".join(f"({k}, {quoted(g)}, {at})" for k, (_, text) in enumerate(licenses.TEMPLATES) for g, at in licenses.anchors(text))
     return (
         r"""
-WITH docs AS (
-    SELECT row_number() OVER () AS rid, doc_id, lower(coalesce(text, '')) AS text FROM documents
-), units AS (
-    SELECT rid, unnest(list_append(string_split(text, chr(10)), replace(text, chr(10), ' '))) AS unit FROM docs
-), words AS (
-    SELECT rid, regexp_extract_all(unit, '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM units
-), grams AS (
-    SELECT DISTINCT rid, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g,
-           array_to_string(w, ' ') AS line
-    FROM words WHERE len(w) > 1
-), templates(k, name, t) AS (VALUES """
+WITH templates(k, name, m, t) AS (VALUES """
         + rows
         + r"""
-), scored AS (
-    SELECT rid, line, k, name, 2.0::DOUBLE * len(list_intersect(t, g)) / (len(t) + len(g)) AS dice FROM grams, templates
+), anchors(k, gram, spot) AS (VALUES """
+        + anchors
+        + r"""
+), docs AS (
+    SELECT row_number() OVER () AS rid, doc_id, lower(coalesce(text, '')) AS text FROM documents
+), words AS (
+    SELECT rid, unnest(list_append(string_split(text, chr(10)), replace(text, chr(10), ' '))) AS unit FROM docs
+), lines AS (
+    SELECT DISTINCT rid, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g, array_to_string(w, ' ') AS line
+    FROM (SELECT rid, regexp_extract_all(unit, '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM words) WHERE len(w) > 1
+), matched AS (
+    SELECT rid, line, k, name, 2.0::DOUBLE * len(list_intersect(t, g)) / (len(t) + len(g)) AS dice
+    FROM lines JOIN templates ON 200 * least(len(t), len(g)) >= 80 * (len(t) + len(g))
+), notices AS (
+    SELECT rid, count(DISTINCT line) AS n FROM matched WHERE dice * 100 >= 80 GROUP BY rid
+), pairs AS (
+    SELECT rid, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS p
+    FROM (SELECT rid, regexp_extract_all(replace(text, chr(10), ' '), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM docs) WHERE len(w) > 1
+), starts AS (
+    SELECT DISTINCT rid, k, i - spot AS start
+    FROM (SELECT rid, unnest(p) AS gram, unnest(range(len(p))) AS i FROM pairs) JOIN anchors USING (gram)
+), passages AS (
+    SELECT rid, k, name, t, greatest(start, 0) AS place, list_distinct(p[greatest(start, 0) + 1 : start + m - 1]) AS g
+    FROM starts JOIN pairs USING (rid) JOIN templates USING (k)
+), units AS (
+    SELECT rid, k, name, dice, NULL AS place FROM matched
+    UNION ALL
+    SELECT rid, k, name, 2.0::DOUBLE * len(list_intersect(t, g)) / (len(t) + len(g)), place FROM passages
 ), best AS (
-    SELECT rid, line, max(dice) AS dice, arg_max(name, dice * 1000 - k / 1000.0) AS name, arg_max(k, dice * 1000 - k / 1000.0) AS k
-    FROM scored WHERE dice * 100 >= 80 GROUP BY rid, line
-), top AS (
-    SELECT rid, max(dice) AS dice, arg_max(name, dice * 1000 - k / 1000.0) AS name, arg_max(k, dice * 1000 - k / 1000.0) AS k, count(*) AS n
-    FROM best GROUP BY rid
+    SELECT * FROM units WHERE dice * 100 >= 80
+    QUALIFY row_number() OVER (PARTITION BY rid ORDER BY dice DESC, k, place NULLS LAST) = 1
 )
-SELECT doc_id, name AS license, k::INTEGER AS template, dice, coalesce(n, 0)::BIGINT AS n_notices FROM docs LEFT JOIN top USING (rid)
+SELECT doc_id, name AS license, k::INTEGER AS template, dice, place::INTEGER AS place, coalesce(n, 0)::BIGINT AS n_notices
+FROM docs LEFT JOIN best USING (rid) LEFT JOIN notices USING (rid)
 """
     )
 
@@ -266,7 +285,8 @@ WITH pieces AS (
     SELECT coalesce(lang, 'und') AS lang,
            unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                         '[.,;:!?
--]')) AS piece
+-
+]')) AS piece
     FROM documents
 ), texts AS (
     SELECT row_number() OVER () AS pid, lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces
