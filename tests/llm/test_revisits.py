@@ -79,5 +79,43 @@ def test_oracle(spark):
         assert not compare(spark, sf_dir, "op8_revisits", queries.op8_revisits, queries.OP8_SQL)[0]
 
 
+def test_hot_groups(spark):
+    """A third of the rows at one moment of one URL and a third without URL: every segment is short, every visit resolved."""
+    from pyspark.sql import functions as F
+
+    n = 30_000
+    at = F.when(F.col("id") % 3 == 0, 50).otherwise(F.col("id") % 1_000)
+    df = spark.range(n).select(
+        F.col("id").alias("record_id"), F.when(F.col("id") % 2 == 0, "response").otherwise("revisit").alias("kind"),
+        F.when(F.col("id") % 3 == 0, "http://hot.com/").when(F.col("id") % 3 == 1, "http://hot.com/x").alias("url"), at.cast("long").alias("captured"),
+        F.create_map(F.lit("etag"), F.lit("1")).alias("headers"), F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).alias("digest"),
+    )
+    keyed = df.withColumn("url_key", revisits.canonical_url(F.col("url"))).filter("url_key IS NOT NULL")
+    times = revisits.capture_times(keyed).groupBy("url_key", F.floor(F.col("captured") / 100)).count()
+    assert times.agg(F.max("count")).first()[0] <= 2 * 100
+    got = revisits.resolved(df, 100)
+    assert got.count() == n // 2
+    outcomes = {(r.url_key, r.outcome): r["count"] for r in got.groupBy("url_key", "outcome").count().collect()}
+    assert outcomes[(None, "no_original")] == n // 6
+    assert outcomes[("hot.com", "no_original")] == n // 6
+    rows = [(r.record_id, r.captured, r.kind) for r in keyed.filter("url_key = 'hot.com/x'").collect()]
+    newest = {}
+    for i, t, kind in rows:
+        if kind == "response":
+            newest[t] = max(i, newest.get(t, -1))
+    for r in got.filter("url_key = 'hot.com/x'").sample(0.05, 3).collect():
+        earlier = [t for t in newest if t < r.captured]
+        assert r.original_id == (newest[max(earlier)] if earlier else None)
+
+
+def test_odd_rows(spark):
+    """Null ids and times, an unknown kind and a repeated response."""
+    rows = [(None, "response", "http://a/", 1, {"etag": "1"}, "d", 0), (2, "revisit", "http://a/", 5, {"etag": "1"}, None, 0), (3, "metadata", "http://a/", 4, {}, "x", 0),
+            (4, "revisit", "http://a/", None, {"etag": "1"}, None, 0), (5, "response", "http://b/", -7, {"etag": "2"}, "e", 0), (5, "response", "http://b/", -7, {"etag": "2"}, "e", 0),
+            (6, "revisit", "http://b/", -7, {"etag": "2"}, None, 0), (7, "revisit", "http://b/", -6, {"etag": "2"}, None, 0)]
+    got = {r.record_id: (r.original_id, r.outcome, r.digest) for r in revisits.resolved(spark.createDataFrame(rows, SCHEMA), 3).collect()}
+    assert got == {2: (None, "resolved", "d"), 4: (None, "no_original", None), 6: (None, "no_original", None), 7: (5, "resolved", "e")}
+
+
 def test_empty_table(spark):
     assert revisits.resolved(spark.createDataFrame([], SCHEMA)).count() == 0

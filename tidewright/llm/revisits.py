@@ -8,9 +8,11 @@ all captures is many tasks; one row per segment carries the latest response over
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.functions.ordered import with_last
+
 SEGMENT = 4096  # units of capture time in one segment
 
 # Header fields that a not-modified answer does not renew (HTTP semantics and caching RFCs).
@@ -55,6 +57,21 @@ def merged_headers(stored: Column, renewed: Column) -> Column:
     return F.map_concat(kept, permitted)
 
 
+def capture_times(records: DataFrame) -> DataFrame:
+    """One row for each ``url_key``, ``captured`` and kind (``full`` for responses), with the largest ``top`` id of its rows."""
+    full = (F.col("kind") == "response").alias("full")
+    return records.filter("kind IN ('response', 'revisit')").groupBy("url_key", "captured", full).agg(F.max("record_id").alias("top"))
+
+
+def latest_responses(records: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """``found`` (``captured`` and ``record_id`` of the latest earlier response, null if none) for each capture time of revisits."""
+    response = F.when(F.col("full"), F.struct("captured", F.col("top").alias("record_id")))
+    # At equal times the revisit comes before the response, which is not earlier.
+    cut = F.floor(F.col("captured") / segment)
+    carried = with_last(capture_times(records), ["url_key"], ["captured", "full"], {"found": response}, cut)
+    return carried.filter("NOT full").select("url_key", "captured", "found")
+
+
 def resolved(records: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """One row per revisit: ``record_id``, ``url_key``, ``captured``, ``original_id``, ``outcome``, ``headers``, ``digest``.
 
@@ -69,31 +86,24 @@ def resolved(records: DataFrame, segment: int = SEGMENT) -> DataFrame:
         "record_id", "kind", canonical_url(F.col("url")).alias("url_key"), "captured",
         F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), "digest",
     )
-    slim = slim.withColumn("part", F.floor(F.col("captured") / segment))
-    response = F.when(
-        F.col("kind") == "response",
-        F.struct("captured", "record_id", F.to_json("headers").alias("headers"), "digest"),
-    )
-    inside = Window.partitionBy("url_key", "part").orderBy("captured").rangeBetween(Window.unboundedPreceding, -1)
-    by_part = Window.partitionBy("url_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        slim.filter("url_key IS NOT NULL AND captured IS NOT NULL")
-        .withColumn("response", response)
-        .groupBy("url_key", "part")
-        .agg(F.max("response").alias("latest"))
-        .withColumn("carried", F.max("latest").over(by_part))
-        .select("url_key", "part", "carried")
-    )
-    asked = slim.withColumn("response", response).withColumn("near", F.max("response").over(inside)).filter("kind = 'revisit'")
-    found = asked.join(carried, ["url_key", "part"], "left").withColumn(
-        "found", F.when(F.col("url_key").isNotNull() & F.col("captured").isNotNull(), F.coalesce("near", "carried"))
+    timed = F.col("url_key").isNotNull() & F.col("captured").isNotNull()
+    visits = slim.filter("kind = 'revisit'").drop("kind", "digest")
+    found = visits.filter(timed).join(latest_responses(slim.filter(timed), segment), ["url_key", "captured"], "left")
+    # Repeated rows of a response are one; rows of one id and time that differ give the largest.
+    stored = (
+        slim.filter(timed & (F.col("kind") == "response"))
+        .groupBy(F.col("url_key").alias("_key"), F.col("captured").alias("_at"), F.col("record_id").alias("_id"))
+        .agg(F.max(F.struct(F.to_json("headers").alias("headers"), "digest")).alias("stored"))
     )
+    same = (F.col("url_key") == F.col("_key")) & (F.col("found.captured") == F.col("_at")) & F.col("found.record_id").eqNullSafe(F.col("_id"))
+    found = found.join(stored, same, "left").drop("_key", "_at", "_id")
+    found = found.unionByName(visits.filter(~timed), allowMissingColumns=True)
     original = F.when(
         F.col("found").isNotNull(),
         F.struct(
             F.col("found.record_id").alias("record_id"),
-            F.from_json("found.headers", "map<string,string>").alias("headers"),
-            F.col("found.digest").alias("digest"),
+            F.from_json("stored.headers", "map<string,string>").alias("headers"),
+            F.col("stored.digest").alias("digest"),
         ),
     )
     out = found.withColumn("original", original).withColumn("outcome", _outcome(F.col("original")))
