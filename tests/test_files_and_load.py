@@ -104,6 +104,19 @@ def test_latest_snapshot(spark):
     assert rows(sn.invalid_names(df), "n") == [(4,), (5,)]
 
 
+def test_catalog_statistics_in_one_command(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS tidewright_cat")
+    spark.range(7).selectExpr("id", "id % 2 AS b", "id % 3 AS c").write.partitionBy("b", "c").mode("overwrite").saveAsTable("tidewright_cat.parted")
+    spark.range(4).write.mode("overwrite").saveAsTable("tidewright_cat.unknown")
+    spark.sql("ANALYZE TABLE tidewright_cat.parted COMPUTE STATISTICS")
+    spark.range(1).createOrReplaceTempView("passing")
+    got = inventory.catalog_statistics(spark, "tidewright_cat")
+    assert rows(got, "table_name", "table_type", "is_partitioned", "partition_columns", "num_rows") == [
+        ("parted", "MANAGED", True, "b,c", 7), ("unknown", "MANAGED", False, None, None)]
+    assert all(r.table_schema == "tidewright_cat" and r.provider == "parquet" for r in got.collect())
+    spark.sql("DROP DATABASE tidewright_cat CASCADE")
+
+
 def test_snapshot_export_and_read_back(spark, tmp_path):
     spark.sql("CREATE DATABASE IF NOT EXISTS tidewright_snap")
     spark.sql("DROP TABLE IF EXISTS tidewright_snap.t")

@@ -47,3 +47,18 @@ def test_calendar_run_logs_and_moves_control_rows(spark):
     assert rows(after.select("tabname", "tabstatus", F.col("tabdate").cast("string"))) == [
         ("a", "0", "2024-04-01"), ("b", "2", "2024-03-01"), ("c", "1", "2024-03-01"), ("d", "0", "2025-01-01"), ("e", "0", "2024-03-01")
     ]
+
+
+def test_space_run_logs_steps_and_marks_tables(spark):
+    now = ts("2024-03-05 10:00:00")
+    report = spark.createDataFrame([("a", 0), ("b", 0), ("c", 1), ("d", 1), ("e", 1)], "tabname string, is_parttab int").withColumn("status", F.lit("0"))
+    plan = [("a", 1, "move a"), ("a", 4, "index a"), ("b", 1, "move b"), ("c", 2, "bad c"), ("c", 3, "never"), ("d", 2, "drop d"), ("d", 4, "bad d")]
+    done = jobs.executed(spark.createDataFrame(plan, "table_name string, step int, statement string"), "table_name", ["step", "statement"], refusing).cache()
+    log, after = jobs.space_run(report, done, now, now)
+    assert rows(log, "proc_name", "proc_status", "proc_desc") == sorted(
+        [(jobs.SPACE_JOB, "1", label) for label in jobs.SPACE_STEPS[:3]] + [(jobs.SPACE_JOB, "2", "bad c->refused bad c")], key=repr
+    )
+    assert rows(after, "tabname", "status") == [("a", "1"), ("b", "1"), ("c", "0"), ("d", "0"), ("e", "1")]
+    # Nothing to do: every step is logged, nothing is marked.
+    log, after = jobs.space_run(report.limit(0), done.limit(0), now, now)
+    assert log.filter("proc_status = '1'").count() == 4 and after.count() == 0

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.operators.maintenance import control_transition, due_controls
+from tidewright.operators.maintenance import control_transition, due_controls, mark_done
 
 RAN, FAILED = "ok", "message"
 
@@ -53,11 +53,11 @@ def outcomes(done: DataFrame, units: list[str], order: list[str]) -> DataFrame:
     ).select(*units, "ok", "n_run", F.col("_first.statement").alias("statement"), F.col("_first.message").alias("message"))
 
 
-def log_entries(rows: DataFrame, proc_name: str, started: Column, ended: Column, text: Column) -> DataFrame:
-    """Entries of a job log, one for each row; their numbers are unique within this run."""
+def log_entries(rows: DataFrame, proc_name: str, started: Column, ended: Column, text: Column, status: Column | None = None) -> DataFrame:
+    """Entries of a job log, one for each row, of status 1 if none is given; their numbers are unique within this run."""
     return rows.select(
         F.monotonically_increasing_id().alias("log_id"), F.lit(proc_name).alias("proc_name"),
-        started.alias("starttime"), ended.alias("endtime"), F.lit("1").alias("proc_status"), text.alias("proc_desc"),
+        started.alias("starttime"), ended.alias("endtime"), (F.lit("1") if status is None else status).alias("proc_status"), text.alias("proc_desc"),
     )
 
 
@@ -86,3 +86,28 @@ def calendar_run(controls: DataFrame, done: DataFrame, now: Column, started: Col
     after = control_transition(controls.join(worked.select("tabname"), "tabname", "left_semi"), worked, "tabname")
     same = idle.select("tabname", "tabstatus", F.col("tabdate").cast("date").alias("tabdate"))
     return log, after.unionByName(same)
+
+
+# What the space job writes into its log.
+SPACE_JOB = "proc_clear_tabhwm"
+SPACE_STEPS = ("step1:程序开始", "step2:插入到tb_clear_hwm", "step3:已清理非分区表", "step4:已清理分区表")
+
+
+def space_run(report: DataFrame, done: DataFrame, started: Column, ended: Column) -> tuple[DataFrame, DataFrame]:
+    """The log and the report after the statements of ``action_plan`` were run (``done``).
+
+    Start and report are an entry each, then the plain and the partitioned tables: an entry of status 1 where every statement
+    worked, else one of status 2 with the statement and message of the first table that failed. Tables are worked on
+    side by side, so a failure ends its own table only. A table is marked in the report when all its statements
+    worked; one without statements has nothing left to do and is marked too.
+    """
+    tables = outcomes(done, ["table_name"], ["step", "statement"])
+    bad = tables.filter("NOT ok").select(F.col("table_name").alias("tabname"), "statement", "message")
+    states = report.select("tabname", "is_parttab").join(bad, "tabname", "left").withColumn("failed", F.col("statement").isNotNull())
+    failure = F.concat_ws("->", "statement", "message")
+    parts = states.groupBy("is_parttab").agg(F.min_by(failure, F.when(F.col("failed"), F.col("tabname"))).alias("failure"))
+    steps = report.sparkSession.createDataFrame([(k + 1, label, k - 2 if k > 1 else None) for k, label in enumerate(SPACE_STEPS)], "step int, label string, part int")
+    entries = steps.join(parts, F.col("part") == F.col("is_parttab"), "left")
+    status = F.when(F.col("failure").isNull(), "1").otherwise("2")
+    log = log_entries(entries, SPACE_JOB, started, ended, F.coalesce("failure", "label"), status)
+    return log, mark_done(report, states.filter("NOT failed"))

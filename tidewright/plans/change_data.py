@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewright.operators import change_data as cd
 from tidewright.plans.tables import FEED_SQL, Query, as_feed, feed, feed_rows, stream_table, table
 from tidewright.session import scratch_path
+from tidewright.sinks.tables import write_script
 from tidewright.sources.change_feed import canal_changes, stream_feed
 from tidewright.streaming.bucketed import BucketedTable, Flush, start_bucketed
 from tidewright.streaming.tail import undo_available, undo_slice
@@ -44,6 +45,15 @@ def undo_ordered_script(spark, sf_dir):
     return cd.recovery_script(feed(spark, sf_dir)).select("seq", "log_pos", "block")
 
 
+def recovery_script_files(spark, sf_dir):
+    """The recovery script as files in a folder per table, read back: each line, and how often it stands there."""
+    path = scratch_path(spark, "script")
+    write_script(cd.recovery_script(feed(spark, sf_dir)), path)
+    # A line feed alone ends a line.
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.groupBy("db", "tbl", F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
 def rollback_to_time(spark, sf_dir):
     return image_columns(cd.state_as_of(feed(spark, sf_dir, before=False, end=END), "id", END), "log_pos")
 
@@ -209,7 +219,7 @@ def replica_repaired(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        change_feed_filter, undo_statements, undo_update_as_replace, undo_ordered_script,
+        change_feed_filter, undo_statements, undo_update_as_replace, undo_ordered_script, recovery_script_files,
         rollback_to_time, cdc_upsert_latest, cdc_stream_upsert, cdc_bucketed_upsert, undo_stream_tail, gtid_next, txn_slice, txn_of_rows, txn_marker_span,
         replica_reconcile_plan, replica_repaired,
     )
@@ -375,3 +385,6 @@ ORACLES: dict[str, str] = {
       WHERE r.id NOT IN (SELECT id FROM plan WHERE action IN ('insert', 'replace'))""",
 }
 ORACLES["cdc_stream_upsert"] = ORACLES["cdc_bucketed_upsert"] = ORACLES["cdc_upsert_latest"]
+
+ORACLES["recovery_script_files"] = f"""WITH b AS ({ORACLES['undo_ordered_script']})
+  SELECT 'app' AS db, 'accounts' AS tbl, line, count(*) AS n FROM (SELECT unnest(string_split(block, chr(10))) AS line FROM b) GROUP BY line"""

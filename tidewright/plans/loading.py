@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -10,8 +11,9 @@ from tidewright.functions.ordered import SEGMENT_ROWS
 from tidewright.operators import snapshots as sn
 from tidewright.plans.tables import Query, table
 from tidewright.session import scratch_path
-from tidewright.sinks.tables import export_queries
+from tidewright.sinks.tables import append_table, export_queries
 from tidewright.sources import csv_load
+from tidewright.sources.inventory import catalog_statistics
 
 STAMP = "20240131020000"
 
@@ -146,6 +148,35 @@ def snapshot_round_trip(spark, sf_dir):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def _new_schema(spark) -> str:
+    """A schema of its own, with its tables in the shared folder."""
+    name = f"tidewright_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{scratch_path(spark, 'schema')}'")
+    return name
+
+
+def append_in_batches(spark, sf_dir):
+    """Orders appended to a catalog table by status: the first batch creates it, later ones add to it."""
+    name = f"{_new_schema(spark)}.orders"
+    orders = table(spark, sf_dir, "orders")
+    for status in ("O", "F", "P"):
+        append_table(orders.filter(F.col("o_orderstatus") == status).select("o_orderkey", "o_orderstatus", "o_orderpriority"), name)
+    return spark.table(name)
+
+
+def catalog_sizes(spark, sf_dir):
+    """Tables of a schema, one of them partitioned, one a view, and their rows as the catalog knows them."""
+    schema = _new_schema(spark)
+    for name in ("nation", "customer", "orders", "lineitem"):
+        writer = table(spark, sf_dir, name).write
+        (writer.partitionBy("o_orderstatus") if name == "orders" else writer).saveAsTable(f"{schema}.{name}")
+        spark.sql(f"ANALYZE TABLE {schema}.{name} COMPUTE STATISTICS")
+    spark.sql(f"CREATE VIEW {schema}.buyers AS SELECT c_custkey FROM {schema}.customer")
+    return catalog_statistics(spark, schema).select(
+        "table_name", "table_type", "provider", "is_partitioned", "partition_columns", (F.col("size_bytes") > 0).alias("sized"), "num_rows"
+    )
+
+
 def invalid_snapshot_names(spark, sf_dir):
     return sn.invalid_names(_snapshots(spark, sf_dir)).select("ordinal", "snapshot")
 
@@ -154,7 +185,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         csv_type_inference, csv_typed_load, query_batch_export, schema_snapshot_manifest,
-        latest_snapshot_plan, invalid_snapshot_names, snapshot_round_trip,
+        latest_snapshot_plan, invalid_snapshot_names, snapshot_round_trip, append_in_batches, catalog_sizes,
     )
 }
 
@@ -236,4 +267,11 @@ ORACLES: dict[str, str] = {
         )
     ),
     "invalid_snapshot_names": f"WITH {_SNAP} SELECT ordinal, snapshot FROM n WHERE ok AND taken_at IS NULL",
+    "append_in_batches": "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus IN ('O', 'F', 'P')",
+    "catalog_sizes": " UNION ALL ".join(
+        f"""SELECT '{name}' AS table_name, 'MANAGED' AS table_type, 'parquet' AS provider, {part is not None} AS is_partitioned,
+          {f"'{part}'" if part else 'NULL'} AS partition_columns, true AS sized, count(*) AS num_rows FROM {name}"""
+        for name, part in (("nation", None), ("customer", None), ("orders", "o_orderstatus"), ("lineitem", None))
+    )
+    + " UNION ALL SELECT 'buyers', 'VIEW', NULL, false, NULL, NULL, NULL",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.sql_functions import register
 from tidewright.operators import maintenance as mt
-from tidewright.operators.jobs import calendar_run, executed
+from tidewright.operators.jobs import SPACE_STEPS, calendar_run, executed, space_run
 from tidewright.plans import tables as t
 from tidewright.plans.tables import Query, stats_sql, table
 from tidewright.session import scratch_path
@@ -77,6 +77,28 @@ def space_action_plan(spark, sf_dir):
     return mt.action_plan(report, empty, fragmented, _rebuilds(spark, sf_dir, report))
 
 
+def _crowded():
+    """Runs statements; indexes of a supplier whose number is a multiple of seven are refused."""
+
+    def run(statement: str) -> None:
+        found = re.search(r"^alter index IX_(\d+)_", statement)
+        if found and int(found[1]) % 7 == 0:
+            raise ValueError("no space")
+
+    return run
+
+
+def space_run_log(spark, sf_dir):
+    """The report's statements are run, some fail; the job's log as it is stored, and the report's marks."""
+    work, now = scratch_path(spark, "space-run"), at(CALENDAR_NOW)
+    _report(spark, sf_dir).write.parquet(f"{work}/report")
+    executed(space_action_plan(spark, sf_dir), "table_name", ["step", "statement"], _crowded).write.parquet(f"{work}/done")
+    log, after = space_run(spark.read.parquet(f"{work}/report"), spark.read.parquet(f"{work}/done"), now, now)
+    mt.job_log_rows(log, now).write.parquet(f"{work}/log")
+    stored = spark.read.parquet(f"{work}/log").select(F.lit("log").alias("kind"), F.col("proc_desc").alias("text"), F.col("proc_status").alias("status"))
+    return stored.unionByName(after.select(F.lit("report").alias("kind"), F.col("tabname").alias("text"), "status"))
+
+
 def report_after_run(spark, sf_dir):
     """The report once every plain table has been moved."""
     report = _report(spark, sf_dir)
@@ -289,7 +311,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         wasted_space_report, batch_replace, fragmented_partitions, empty_partitions,
-        space_action_plan, report_after_run,
+        space_action_plan, space_run_log, report_after_run,
         partition_listing, indexes_to_rebuild, tables_without_key, property_audit,
         calendar_table_plan, calendar_run_log, calendar_control_advance, sequence_step_plan, job_log_append,
         control_state_transition, split_to_rows, split_sql_rows,
@@ -453,3 +475,13 @@ ORACLES: dict[str, str] = {
         FROM documents)""",
 }
 ORACLES["split_sql_rows"] = ORACLES["split_to_rows"]
+
+ORACLES["space_run_log"] = f"""WITH p AS ({ORACLES['space_action_plan']}), r AS ({_REPORT} SELECT tabname, is_parttab FROM report),
+  bad AS (SELECT table_name AS tabname, min(statement) || '->no space' AS failure FROM p
+    WHERE step = 4 AND CAST(regexp_extract(table_name, '([0-9]+)$', 1) AS BIGINT) % 7 = 0 GROUP BY table_name),
+  w AS (SELECT r.*, failure FROM r LEFT JOIN bad USING (tabname)),
+  f AS (SELECT is_parttab, arg_min(failure, tabname) AS failure FROM w WHERE failure IS NOT NULL GROUP BY is_parttab),
+  steps(label, part) AS (VALUES ('{SPACE_STEPS[0]}', -1), ('{SPACE_STEPS[1]}', -1), ('{SPACE_STEPS[2]}', 0), ('{SPACE_STEPS[3]}', 1))
+  SELECT 'log' AS kind, coalesce(failure, label) AS text, CASE WHEN failure IS NULL THEN '1' ELSE '2' END AS status
+    FROM steps LEFT JOIN f ON part = is_parttab
+  UNION ALL SELECT 'report', tabname, CASE WHEN failure IS NULL THEN '1' ELSE '0' END FROM w"""
