@@ -1,4 +1,7 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -86,3 +89,33 @@ def test_empty_tables(spark, grades):
     model = toxicity.train(docs, spark.createDataFrame([], grades), 3)
     assert [r.rejected for r in toxicity.severities(docs, model).collect()] == [False]
     assert toxicity.severities(docs.limit(0), model).count() == 0
+
+
+def test_scores_equal_a_plain_scorer(spark):
+    """Every row scored word by word in Python: counts, damping, thresholds and the most likely grade."""
+    rng = np.random.default_rng(5)
+    model = toxicity.Model(np.where(rng.random(toxicity.DIMENSIONS) < 0.5, rng.normal(0, 0.3, toxicity.DIMENSIONS), 0), np.array([-0.5, 0.4, 1.3]))
+    hashes = {}
+
+    def hashed(piece):
+        if piece not in hashes:
+            hashes[piece] = int(toxicity.Words([piece], toxicity._OUTSIDE).hashes[0])
+        return hashes[piece]
+
+    def by_hand(text):
+        words = re.findall(rb"[a-z0-9\x80-\xff]+", (text or "").lower().encode())
+        pieces = [hashed(w) for w in words] + [(hashed(w[:n]) + n) % 2**64 for w in words for n in toxicity.BEGINNINGS if len(w) > n]
+        counts = Counter(p % toxicity.DIMENSIONS for p in pieces)
+        score = sum(math.log(1 + c) / max(len(words) / 100, 1) ** 0.25 * model.weights[f] for f, c in counts.items())
+        above = [1.0, *(1 / (1 + math.exp(t - score)) for t in model.thresholds), 0.0]
+        masses = [a - b for a, b in zip(above, above[1:])]
+        return sum(above[1:-1]), masses.index(max(masses))
+
+    texts = [t for _, t, _ in corpus(150, 9)] + [None, "", "...", "Ünï çödé wörds", "a", "one " * 3_000, "Mixed-CASE, words_and 12345 ciphers!" * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = toxicity.severities(docs, model).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        severity, grade = by_hand(r.text)
+        assert r.severity == pytest.approx(severity, abs=1e-8) and r.grade == grade and r.rejected == (r.severity >= toxicity.REJECT_AT)
+    assert len({r.grade for r in out}) > 1
