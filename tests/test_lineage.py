@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from tidewright.operators import lineage as ln
 from tidewright.operators.statements import Dictionary
+from tidewright.plans import lineage as plans
 from tidewright.sources.definitions import datasource_urls, stream_scripts, task_rows
 
 
@@ -393,3 +394,26 @@ def test_definition_readers(spark):
     encoded = base64.b64encode("insert 表".encode()).decode()
     jobs = spark.createDataFrame([(1, 1, encoded), (2, 2, encoded)], "app_id int, app_type int, flink_sql string")
     assert rows(stream_scripts(jobs)) == [(1, "insert 表")]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def physical_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_definitions_of_one_file_are_read_in_many_tasks(spark, sf_dir):
+    """The tables are files of one row group each."""
+    for made in (plans._copy_jobs, plans._stream_scripts, plans._properties, plans._tasks):
+        assert "RoundRobinPartitioning" in physical_plan(made(spark, sf_dir)), made.__name__
+    for made in (plans._copy_jobs, plans._stream_scripts, plans._properties):
+        assert made(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism, made.__name__
+
+
+def test_select_list_is_cut_out_once(spark):
+    df = spark.createDataFrame([("select `a`, f(b, ')') as c, 'x, (y' from s.t",), ("no list",), (None,)], "q string")
+    read = df.select(ln.select_items(F.col("q")).alias("i"))
+    assert [r.i for r in read.collect()] == [["`a`", "f(b, ')') as c", "'x, (y'"], [], None]
+    assert plan_of(read).count(ln.SELECTED) == 1
