@@ -417,3 +417,13 @@ def test_select_list_is_cut_out_once(spark):
     read = df.select(ln.select_items(F.col("q")).alias("i"))
     assert [r.i for r in read.collect()] == [["`a`", "f(b, ')') as c", "'x, (y'"], [], None]
     assert plan_of(read).count(ln.SELECTED) == 1
+
+
+
+def test_copy_jobs_are_taken_apart_once(spark, names):
+    """Their URLs are looked up without it; a job without edges asks as well, and changes nothing."""
+    df = spark.createDataFrame([("1", copy_job("a, b", ["x", "y"]), "d"), ("2", copy_job("a, b", ["x"]), "d"), ("3", "not json", "d")],
+                               "source_id string, json string, description string")
+    edges = ln.copy_edges(df, names)
+    assert plan_of(edges).count(ln.SELECTED) == 1
+    assert rows(edges, "source_id", "from_col", "to_col") == [("1", "a", "x"), ("1", "b", "y")]
