@@ -427,3 +427,12 @@ def test_copy_jobs_are_taken_apart_once(spark, names):
     edges = ln.copy_edges(df, names)
     assert plan_of(edges).count(ln.SELECTED) == 1
     assert rows(edges, "source_id", "from_col", "to_col") == [("1", "a", "x"), ("1", "b", "y")]
+
+
+def test_topics_do_not_meet_in_one_task(spark, names):
+    """The bus is the same for all instances, so their rows must not be shuffled by it."""
+    text = "canal.instance.master.address=h1:3306\ncanal.mq.dynamicTopic=\\\nods-a:db.t,\n\n"
+    edges = ln.topic_edges(spark.createDataFrame([("1", text, "d"), ("2", "a=b", "d")], "source_id string, text string, description string"), names)
+    assert rows(edges, "source_id", "from_fqn", "to_fqn") == [("1", "svc-a.default.db.t", "bus.ods-a")]
+    assert plan_of(edges).count("Join LeftOuter, (") == 1
+    assert plan_of(edges).count(ln.TOPIC_BLOCK) == 1
