@@ -436,3 +436,13 @@ def test_topics_do_not_meet_in_one_task(spark, names):
     assert rows(edges, "source_id", "from_fqn", "to_fqn") == [("1", "svc-a.default.db.t", "bus.ods-a")]
     assert plan_of(edges).count("Join LeftOuter, (") == 1
     assert plan_of(edges).count(ln.TOPIC_BLOCK) == 1
+
+
+def test_tasks_of_one_url_are_read_in_many_tasks(spark, names):
+    """The lookup brings them together, and reading them is the long part."""
+    sql = "insert into a.b select c from d.e"
+    df = spark.createDataFrame([(k, sql, "jdbc:mysql://h1:3306/x", "d") for k in range(500)], "task_code int, sql string, jdbc_url string, description string")
+    read = ln._read_tasks(df, names, None)
+    assert {len(p) > 0 for p in read.select("target").rdd.glom().collect()} == {True}
+    assert read.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert {r.from_fqn for r in ln.sql_edges(df, names).collect()} == {"svc-a.default.d.e"}
