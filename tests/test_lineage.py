@@ -419,7 +419,6 @@ def test_select_list_is_cut_out_once(spark):
     assert plan_of(read).count(ln.SELECTED) == 1
 
 
-
 def test_copy_jobs_are_taken_apart_once(spark, names):
     """Their URLs are looked up without it; a job without edges asks as well, and changes nothing."""
     df = spark.createDataFrame([("1", copy_job("a, b", ["x", "y"]), "d"), ("2", copy_job("a, b", ["x"]), "d"), ("3", "not json", "d")],
@@ -446,3 +445,15 @@ def test_tasks_of_one_url_are_read_in_many_tasks(spark, names):
     assert {len(p) > 0 for p in read.select("target").rdd.glom().collect()} == {True}
     assert read.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert {r.from_fqn for r in ln.sql_edges(df, names).collect()} == {"svc-a.default.d.e"}
+
+
+def test_stream_scripts_are_taken_apart_once(spark, names):
+    """Their URLs are those of the declared tables, used or not, and that of names without a table."""
+    script = (
+        "create table s (id bigint) with ('connector'='mysql-cdc', 'hostname'='h1', 'port'='3306', 'database-name'='d', 'table-name'='t');\n"
+        "create table o (id bigint) with ('connector'='starrocks', 'load-url'='star:8030', 'database-name'='w', 'table-name'='p');\n"
+        "insert into o select id from s;\ninsert into o select id from other;"
+    )
+    edges = ln.stream_edges(spark.createDataFrame([("1", script, "d"), ("2", None, "d")], "source_id string, script string, description string"), names)
+    assert rows(edges, "from_fqn", "to_fqn") == [("svc-a.default.d.t", "star.default.w.p"), ("uat.default.other.other", "star.default.w.p")]
+    assert plan_of(edges).count("overwrite)") == 1
