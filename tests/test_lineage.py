@@ -457,3 +457,8 @@ def test_stream_scripts_are_taken_apart_once(spark, names):
     edges = ln.stream_edges(spark.createDataFrame([("1", script, "d"), ("2", None, "d")], "source_id string, script string, description string"), names)
     assert rows(edges, "from_fqn", "to_fqn") == [("svc-a.default.d.t", "star.default.w.p"), ("uat.default.other.other", "star.default.w.p")]
     assert plan_of(edges).count("overwrite)") == 1
+
+
+def test_topic_reasons_are_not_found_before_the_rows_are_dealt_out(spark, sf_dir):
+    plan = plan_of(ln.topic_unparsed(plans._properties(spark, sf_dir)))
+    assert ln.ADDRESS not in plan[plan.index("Repartition"):]
